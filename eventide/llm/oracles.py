@@ -43,3 +43,48 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_COMMON = (
+    "a al and are as at auf be by con das dans de dem den der des die du ein en est et for from has have in is it la las le les los "
+    "mit nicht of on or par pas pour que qui se sich sur that the this to un una und une von was with y zu"
+).split()
+_CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[#*$%&|<>]", r"[\x00-\x08\x0E-\x1F!\x22\x27()+,\-./:;=?@\[\\\]^_`{}~\x7F]", r"[^\x00-\x7F]")
+
+QUALITY = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text,
+         CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang ELSE 'other' END AS lang
+  FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+windows AS (
+  SELECT r, i, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+rep AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, s) AS c FROM windows) WHERE c >= 2) GROUP BY r),
+dup AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+base AS (
+  SELECT r, doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
+hist AS (
+  SELECT r, lang, 'c' AS kind, k AS bin, length(text) - length(regexp_replace(text, pattern, '', 'gs')) AS n
+  FROM d, (SELECT unnest(range(1, {len(_CLASSES) + 1})) AS k, unnest([{", ".join("'" + c + "'" for c in _CLASSES)}]) AS pattern)
+  UNION ALL
+  SELECT r, lang, 'w' AS kind, coalesce(list_position([{", ".join("'" + c + "'" for c in _COMMON)}], translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 0) AS bin, count(*) AS n
+  FROM (SELECT r, lang, unnest(w) AS x FROM w) GROUP BY ALL),
+ref AS (SELECT lang, kind, bin, sum(n) AS n FROM hist GROUP BY ALL),
+q AS (SELECT lang, kind, bin, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM ref),
+p AS (SELECT r, lang, kind, bin, n / sum(n) OVER (PARTITION BY r, kind) AS p FROM hist),
+js AS (
+  SELECT docs.r, q.kind, sum(CASE WHEN coalesce(p, 0) > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((coalesce(p, 0) + q) / 2)) ELSE 0 END) / 2 AS x
+  FROM (SELECT r, lang FROM d) docs JOIN q USING (lang) LEFT JOIN p ON p.r = docs.r AND p.kind = q.kind AND p.bin = q.bin
+  GROUP BY docs.r, q.kind),
+far AS (SELECT r, max(CASE WHEN kind = 'c' THEN sqrt(greatest(x, 0)) END) AS cd, max(CASE WHEN kind = 'w' THEN sqrt(greatest(x, 0)) END) AS wd FROM js GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words >= 50 AND (coalesce(cd, 0) > 0.25 OR coalesce(wd, 0) > 0.30)) AS kept
+FROM base LEFT JOIN far USING (r)
+"""

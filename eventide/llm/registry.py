@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .decontaminate import digest_items, overlaps
+from .packing import pack
+from .quality import quality
 from .urls import judge_urls
 
 
@@ -15,6 +17,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_read(spark, sf_dir, "documents")).drop("char_distance", "common_distance")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"))
 
@@ -25,6 +35,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality_rules": op4_quality_rules,
+        "op8_packing": op8_packing,
         "op9_url_filters": op9_url_filters,
         "op10_decontamination": op10_decontamination,
     }
@@ -32,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_quality_rules": oracles.QUALITY,
         "op9_url_filters": oracles.URLS,
         "op10_decontamination": oracles.DECONTAMINATION,
     }

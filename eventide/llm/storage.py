@@ -29,7 +29,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: columns can be pruned and it is compressed."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    """The rows as a Parquet table in the shared folder: columns can be pruned and it is compressed. The table goes when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped: whoever owns the folder clears it
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
