@@ -10,6 +10,7 @@ below a full sequence is cut at powers of two, which need no padding.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +26,8 @@ from .textnum import LOWER, counts_by, mix, owners, span_hashes, text_slices, wo
 CAPACITY = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 16
-#: Distinct words a worker remembers the ids of, and bytes of text it encodes at a time.
-MEMO, SLICE = 200_000, 1 << 20
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -35,13 +36,20 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _byte_symbols() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts by a byte-level BPE tokenizer.
+    """Ids of whole texts by the tokenizer in a file.
 
-    Its pre-tokens never reach from a word into a following blank, so a text is
-    the sequence of its first word and of " word" for each further one, each
-    encoded once and remembered. Texts with other white space beside a blank are
-    encoded whole.
+    A byte-level BPE vocabulary whose ids follow the order of its merges has the
+    same ids by its ranks alone, which is several times faster; the file is
+    checked for that, and any other tokenizer, or text with a special token's
+    string, goes the plain way.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,27 +57,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo: dict[str, bytes] = {}
-        self.unsafe: set[str] = set()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.ranked, self.marks = self._by_rank(path)
+
+    @staticmethod
+    def _by_rank(path: str) -> tuple[object, list[str]]:
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, before = file["model"], file["pre_tokenizer"] or {}
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+        ordered = model["type"] == "BPE" and all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+        if not byte_level or file["normalizer"] or not ordered or model.get("dropout") or model.get("ignore_merges"):
+            return None, []
+        byte_of = _byte_symbols()
+        special = {t["content"] for t in file["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sorted(special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.unsafe.clear()
-        heads = self._whole([t.split(" ", 1)[0] for t in texts])
-        cut = [t.split(" ")[1:] for t in texts]
-        new = list(set().union(*cut) - self.memo.keys())
-        self.memo.update(zip(new, self._whole([f" {w}" for w in new]), strict=True))
-        self.unsafe.update(w for w in new if not w or w[0].isspace() or w[-1].isspace())
-        out = [h + b"".join(map(self.memo.__getitem__, ws)) for h, ws in zip(heads, cut, strict=True)]
-        odd = [i for i, (t, ws) in enumerate(zip(texts, cut, strict=True)) if ws and (t[:1].isspace() or t.split(" ", 1)[0][-1:].isspace() or not t[0].strip() or (self.unsafe and not self.unsafe.isdisjoint(ws)))]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
+        if self.ranked is None:
+            return self.plain(texts)
+        out = [b"" if any(m in t for m in self.marks) else np.array(self.ranked.encode_ordinary(t), self.kind).tobytes() for t in texts]
+        odd = [i for i, t in enumerate(texts) if any(m in t for m in self.marks)]
+        for i, ids in zip(odd, self.plain([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out
 
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
