@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .decontaminate import digest_items, overlaps
+from .html import extract_text
 from .packing import pack
 from .quality import quality
+from .toxicity import fit_toxicity, score_toxicity
 from .urls import judge_urls
 
 
@@ -17,10 +19,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return score_toxicity(documents, fit_toxicity(documents, _read(spark, sf_dir, "labels")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents")).drop("char_distance", "common_distance")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
@@ -35,7 +46,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op4_quality_rules": op4_quality_rules,
+        "op6_html_extraction": op6_html_extraction,
         "op8_packing": op8_packing,
         "op9_url_filters": op9_url_filters,
         "op10_decontamination": op10_decontamination,
