@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A term is a word, hashed to one of 2**18 places; a document is the set of its
-terms. Beside a weight each term has a short factor vector, and the score adds
+A term is a word or the beginning of a longer word, which word forms share,
+hashed to one of 2**18 places; a document is the set of its terms. Beside a weight each term has a short factor vector, and the score adds
 the inner products of the vectors of all pairs of terms that occur together, so
 a pair can mean more than its terms do apart. Which terms enter is decided by how
 far their share among labelled documents departs from chance.
@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from .textnum import ALNUM, LOWER, owners, span_hashes, text_slices, words
 
 TERM_BITS = 18
+#: Lengths in bytes of the word beginnings that are terms of their own.
+STEMS = (6, 7)
 #: Bound of the labelled sample that the machine is fitted on, in rows.
 MOST_ROWS = 20_000
 #: Terms that enter, at most; documents that a term must be in; standard deviations from chance.
 MOST_TERMS, LEAST_DOCUMENTS, LEAST_Z = 512, 5, 4.0
-FACTORS, ROUNDS, RATE, DECAY = 8, 200, 0.05, 1e-4
+FACTORS, ROUNDS, RATE, DECAY = 8, 400, 0.05, 1e-5
 THRESHOLD = 0.3
 
 
@@ -33,12 +35,17 @@ def held_out(id_column: Column) -> Column:
 
 
 def _terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, term) of every word."""
+    """(document, term) of every word and of the beginnings of longer words."""
     lower = LOWER[data]
     starts, ends, first = words(lower, off, ALNUM)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return owners(first), (span_hashes(lower, starts, ends) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+    owner, at, to = [owners(first)], [starts], [ends]
+    for size in STEMS:
+        longer = ends - starts > size
+        owner.append(owner[0][longer])
+        at.append(starts[longer])
+        to.append(starts[longer] + size)
+    hashes = span_hashes(lower, np.concatenate(at), np.concatenate(to))
+    return np.concatenate(owner), (hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
 
 def term_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
