@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .storage import stage
 from .textnum import LOWER, counts_by, mix, owners, span_hashes, text_slices, words
@@ -53,14 +54,16 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        self.path = path
+        self.ranked, self.marks, largest = self._by_rank(path)
+        self.kind = np.dtype("<u2") if largest < 1 << 16 else np.dtype("<u4")
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.ranked, self.marks = self._by_rank(path)
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)  # only loaded for what needs it
 
     @staticmethod
-    def _by_rank(path: str) -> tuple[object, list[str]]:
+    def _by_rank(path: str) -> tuple[object, list[str], int]:
         import tiktoken
         from public_tokenizers import PATTERN
 
@@ -71,11 +74,11 @@ class Encoder:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
         ordered = model["type"] == "BPE" and all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
         if not byte_level or file["normalizer"] or not ordered or model.get("dropout") or model.get("ignore_merges"):
-            return None, []
+            return None, [], 1 << 16
         byte_of = _byte_symbols()
         special = {t["content"] for t in file["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sorted(special)
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sorted(special), max(model["vocab"].values(), default=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.ranked is None:
@@ -140,10 +143,10 @@ def encoded(documents: DataFrame, id_col: str, text_col: str, tokenizer: str) ->
             texts = batch.column(1)
             for row, end, data, off in text_slices(texts, SLICE):
                 ids = e.encode([t or "" for t in texts.slice(row, end - row).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(curve_keys(data, off)), pa.array(ids, pa.binary())], names=[batch.schema.names[0], "key", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(curve_keys(data, off)), pa.array(ids, pa.binary()), pa.array(np.full(end - row, e.kind.itemsize, np.int8))], names=[batch.schema.names[0], "key", "ids", "width"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, key bigint, ids binary")
+    return documents.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, key bigint, ids binary, width tinyint")
 
 
 def pack(
@@ -166,7 +169,6 @@ def pack(
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = encoder(path).kind
         base = TaskContext.get().partitionId() << 40
         sequence = filled = 0
         held: list[tuple] = []  # pieces of the sequence that is not full yet
@@ -184,7 +186,8 @@ def pack(
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for key, raw, width in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                unit = np.dtype(f"<u{width}")
                 ids = np.append(np.frombuffer(raw.as_buffer(), unit), unit.type(end_id))
                 at = 0
                 while at < len(ids):

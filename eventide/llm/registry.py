@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .decontaminate import digest_items, overlaps
 from .html import extract_text
+from .line_dedup import line_classes
+from .ngram_join import ngram_components
 from .packing import pack
 from .quality import quality
 from .toxicity import fit_toxicity, score_toxicity
@@ -19,6 +21,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return score_toxicity(documents, fit_toxicity(documents, _read(spark, sf_dir, "labels")))
@@ -32,6 +38,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = line_classes(_read(spark, sf_dir, "documents"))
+    return classes.selectExpr("id AS doc_id", "CAST(pos AS BIGINT) AS line_no", "class_id AS class_doc_id", "CAST(class_pos AS BIGINT) AS class_line_no", "kept")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
@@ -46,9 +57,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op3_toxicity": op3_toxicity,
         "op4_quality_rules": op4_quality_rules,
         "op6_html_extraction": op6_html_extraction,
+        "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
         "op9_url_filters": op9_url_filters,
         "op10_decontamination": op10_decontamination,
@@ -57,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard": oracles.NGRAMS,
         "op4_quality_rules": oracles.QUALITY,
         "op9_url_filters": oracles.URLS,
         "op10_decontamination": oracles.DECONTAMINATION,
