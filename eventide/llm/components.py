@@ -21,7 +21,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     star = checkpoint(_minor(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))))
     for _ in range(MOST_ROUNDS):
-        if not star.join(star.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+        chained = star.join(star.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        if not chained and not star.groupBy("u").count().where("count > 1").limit(1).count():
             return star.select(F.col("u").alias("node"), F.col("v").alias("component"))
         star = checkpoint(_small_star(_large_star(star)))
     raise RuntimeError(f"components not reached after {MOST_ROUNDS} rounds")
