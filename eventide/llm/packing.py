@@ -197,7 +197,7 @@ def pack(
                     if filled == capacity:
                         done += held
                         held, filled, sequence = [], 0, sequence + 1
-                if len(done) >= 20_000:
+                if len(done) >= 4_000:
                     yield batch_of(done)
                     done = []
         left = filled
