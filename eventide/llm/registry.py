@@ -13,6 +13,7 @@ from .line_dedup import line_classes
 from .ngram_join import ngram_components
 from .packing import pack
 from .quality import quality
+from .suffix_dedup import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 from .urls import judge_urls
 
@@ -34,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents")).drop("char_distance", "common_distance")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages"))
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op3_toxicity": op3_toxicity,
         "op4_quality_rules": op4_quality_rules,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_html_extraction": op6_html_extraction,
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
