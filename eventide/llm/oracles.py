@@ -102,3 +102,59 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.b AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = d.doc_id
 """
+
+_TEMPLATES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
+    ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0, Creative Commons Attribution ShareAlike."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal, public domain dedication."),
+    ("GPL-2.0", "This program is free software; you can redistribute it under the GNU General Public License, version 2."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("MIT", "Released under the MIT License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+)
+_TRIGGER = r"(?i)licen[cs]e|copyright|spdx|creative commons|public domain|redistribution|\bcc[ -](by|0)"
+
+LICENSES = rf"""
+WITH tt AS (
+  SELECT license, term, count(*) AS n FROM (
+    SELECT license, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS term FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _TEMPLATES)}) v(license, t)) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + {len(_TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
+tn AS (SELECT license, sqrt(sum((n * idf) ** 2)) AS norm FROM tt JOIN idf USING (term) GROUP BY license),
+tw AS (SELECT license, term, n * idf / norm AS weight FROM tt JOIN idf USING (term) JOIN tn USING (license)),
+d AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, text FROM documents),
+l AS (
+  SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '{_TRIGGER}')),
+c AS (
+  SELECT doc_id, pos, term, count(*) AS n FROM (
+    SELECT doc_id, pos, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS term FROM l) GROUP BY ALL),
+w AS (SELECT doc_id, pos, term, n * coalesce(idf, ln(1 + {len(_TEMPLATES)}) + 1) AS w FROM c LEFT JOIN idf USING (term)),
+norm AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+score AS (
+  SELECT doc_id, pos, license, round(sum(w * weight) / any_value(norm), 6) AS cosine
+  FROM w JOIN tw USING (term) JOIN norm USING (doc_id, pos) GROUP BY ALL),
+line_best AS (
+  SELECT doc_id, pos, license, cosine, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY cosine DESC, license) AS k FROM score) JOIN l USING (doc_id, pos) WHERE k = 1 AND cosine >= 0.75),
+own AS (
+  SELECT doc_id, license AS own_license, cosine, words FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS k FROM line_best)
+  JOIN (SELECT doc_id, sum(words) AS license_words FROM line_best GROUP BY doc_id) USING (doc_id) WHERE k = 1),
+owned AS (
+  SELECT d.doc_id, d.path, own_license, cosine, 100 * license_words >= 50 * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS is_file
+  FROM d JOIN own USING (doc_id) JOIN (SELECT doc_id, sum(words) AS license_words FROM line_best GROUP BY doc_id) USING (doc_id)),
+speaks AS (
+  SELECT above, own_license AS inherited_license FROM (
+    SELECT regexp_extract(path, '^(.*)/', 1) AS above, own_license, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/', 1) ORDER BY cosine DESC, own_license) AS k
+    FROM owned WHERE is_file) WHERE k = 1),
+near AS (
+  SELECT doc_id, inherited_license FROM (
+    SELECT doc_id, inherited_license, row_number() OVER (PARTITION BY doc_id ORDER BY length(above) DESC) AS k
+    FROM d JOIN speaks ON above = '' OR starts_with(path, above || '/')) WHERE k = 1)
+SELECT d.doc_id, d.path, own_license, cosine, coalesce(is_file, false) AS is_file, inherited_license, coalesce(own_license, inherited_license) AS license
+FROM d LEFT JOIN owned USING (doc_id) LEFT JOIN near USING (doc_id)
+"""

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import digest_items, overlaps
 from .html import extract_text
+from .licenses import scan_licenses
 from .line_dedup import line_classes
 from .ngram_join import ngram_components
 from .packing import pack
@@ -26,6 +28,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_read(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directories of a document are its source and language."""
+    return scan_licenses(_read(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return score_toxicity(documents, fit_toxicity(documents, _read(spark, sf_dir, "labels")))
@@ -63,6 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_license_scan": op2_license_scan,
         "op3_toxicity": op3_toxicity,
         "op4_quality_rules": op4_quality_rules,
         "op5_suffix_dedup": op5_suffix_dedup,
@@ -77,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": oracles.NGRAMS,
+        "op2_license_scan": oracles.LICENSES,
         "op4_quality_rules": oracles.QUALITY,
         "op9_url_filters": oracles.URLS,
         "op10_decontamination": oracles.DECONTAMINATION,
