@@ -109,8 +109,8 @@ def frequencies(documents: DataFrame, text_col: str, k: int) -> np.ndarray:
     return out
 
 
-def prefixes(g: np.ndarray, first: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix shingles of every document, the document of each, and the matches each document requires."""
+def prefixes(g: np.ndarray, first: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix shingles of every document, the document and the rank of each, and the matches each document requires."""
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
     often = table[(g >> U(64 - FREQUENCY_BITS)).astype(np.int64)]
@@ -126,8 +126,9 @@ def prefixes(g: np.ndarray, first: np.ndarray, table: np.ndarray, percent: int)
         better = total < best
         best, matches = np.where(better, total, best), np.where(better, m, matches)
     length = np.minimum(n, n - least + matches)
-    keep = np.arange(len(g)) - np.repeat(first[:-1], n) < np.repeat(length, n)
-    return g[keep], doc[keep], matches
+    rank = np.arange(len(g)) - np.repeat(first[:-1], n)
+    keep = rank < np.repeat(length, n)
+    return g[keep], doc[keep], rank[keep], matches
 
 
 def _postings(k: int, percent: int, table: object):
@@ -136,9 +137,10 @@ def _postings(k: int, percent: int, table: object):
             for row, end, data, off in text_slices(batch.column(1)):
                 g, first = shingle_sets(data, off, k)
                 n, node = np.diff(first), _nodes(g, first)
-                token, doc, matches = prefixes(g, first, table.value, percent)
+                token, doc, rank, matches = prefixes(g, first, table.value, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [_long(token), _long(node[doc]), pa.array(n[doc].astype(np.int32)), pa.array(matches[doc].astype(np.int8))], names=["token", "node", "size", "matches"]
+                    [_long(token), _long(node[doc]), pa.array(n[doc].astype(np.int32)), pa.array(matches[doc].astype(np.int8)), pa.array(rank.astype(np.int32))],
+                    names=["token", "node", "size", "matches", "place"],
                 )
 
     return post
@@ -202,6 +204,14 @@ class _Join:
         return checkpoint(both.mapInArrow(_similar(self.k, self.percent), "a bigint, b bigint").distinct())
 
 
+def _meet_hubs(lists: DataFrame) -> DataFrame:
+    """For every node the hub it shares most shingles with. The hub of a list is its member with the most entries in lists: the text its variants have in common has the fewest shingles of its own."""
+    weight = lists.groupBy("node").agg(F.count(F.lit(1)).alias("entries"), F.first("size").alias("size")).select("node", F.struct((F.col("entries") / F.col("size")).alias("share"), "node").alias("rank"))
+    hubs = lists.join(weight, "node").groupBy("token").agg(F.max("rank").alias("rank")).select("token", F.col("rank.node").alias("hub"))
+    met = lists.join(hubs, "token").where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+    return met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
+
+
 def _spanning(lists: DataFrame, component: DataFrame) -> DataFrame:
     """The entries of the lists whose members lie in several components, with their component."""
     placed = lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -209,6 +219,28 @@ def _spanning(lists: DataFrame, component: DataFrame) -> DataFrame:
     return checkpoint(placed.join(open_lists, "token"))
 
 
+def _across(spanning: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes in different components that share as many prefix shingles as the less demanding of them requires.
+
+    Sets of sizes n >= m with enough in common share at least percent (n + m) / (100 + percent) shingles. So the smaller
+    one needs only the prefix that this leaves it beside an equal partner, and a shared shingle counts only
+    where enough shingles can come with it: as many before it as its places allow, and as many behind.
+    """
+    index = F.col("place") < F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + F.col("matches")
+    column = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "matches", "place", "component")]
+    x, y = spanning.select("token", *column("x")), spanning.where(index).select("token", *column("y"))
+    order = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("node_x") > F.col("node_y")))
+    sizes = 100 * F.col("size_y") >= percent * F.col("size_x")
+    reach = F.least("place_x", "place_y") + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    enough = (100 + percent) * reach >= percent * (F.col("size_x") + F.col("size_y"))
+    met = x.join(y, "token").where(order & sizes & enough & (F.col("component_x") != F.col("component_y")))
+    grouped = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), F.first(F.least("matches_x", "matches_y")).alias("needed"),
+        F.least(F.max(F.col("size_x") - F.col("place_x")), F.max(F.col("size_y") - F.col("place_y"))).alias("most"), F.first(F.col("size_x") + F.col("size_y")).alias("both"),
+    )
+    return grouped.where(F.expr(f"c >= needed AND {100 + percent} * most >= {percent} * both")).select("a", "b")
+
+
 def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -226,23 +258,13 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     profiles = checkpoint(rows.mapInArrow(_profiles(k), f"`{id_col}` {kind}, n_shingles bigint, node bigint, sketch array<bigint>"))
     join = _Join(documents, profiles, id_col, text_col, k, percent)
     table = spark.sparkContext.broadcast(frequencies(documents, text_col, k))
-    postings = rows.where(F.col(id_col).isNotNull()).mapInArrow(_postings(k, percent, table), "token bigint, node bigint, size int, matches tinyint")
-    shared = postings.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("token", "hub")
+    postings = rows.where(F.col(id_col).isNotNull()).mapInArrow(_postings(k, percent, table), "token bigint, node bigint, size int, matches tinyint, place int")
+    shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
     lists = checkpoint(checkpoint(postings.join(shared, "token")).distinct())
+    links = join.verified(_meet_hubs(lists))
 
-    met = lists.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-    best = met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
-    links = join.verified(best)
-
-    spanning = _spanning(lists.drop("hub"), components(links))
-    x, y = (spanning.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "matches", "component"))) for s in "xy")
-    sizes = 100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")
-    pairs = (
-        x.join(y, "token").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & sizes)
-        .groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"), F.first(F.least("matches_x", "matches_y")).alias("needed"))
-        .where("c >= needed").select("a", "b")
-    )
+    spanning = _spanning(lists, components(links))
+    pairs = _across(spanning, percent)
     links = links.union(join.verified(pairs))
 
     placed = join.sketches.select("node", "rep").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
