@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import inputs  # noqa: F401  defines the named inputs
+from .dialect import Statement
+from .lists import QUERIES as LISTS
+from .temporal import QUERIES as TEMPORAL
+
+STATEMENTS: dict[str, Statement] = {**TEMPORAL, **LISTS}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: s.query() for name, s in STATEMENTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s.duckdb() for name, s in STATEMENTS.items()}
