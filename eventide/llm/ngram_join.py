@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .candidates import SKETCH, meet_hubs, pairs_across, spanning_entries
 from .components import components
 from .storage import checkpoint
 from .textnum import LOWER, U, mix, ngrams, span_hashes, text_slices, words
@@ -204,43 +205,6 @@ class _Join:
         return checkpoint(both.mapInArrow(_similar(self.k, self.percent), "a bigint, b bigint").distinct())
 
 
-def _meet_hubs(lists: DataFrame) -> DataFrame:
-    """For every node the hub it shares most shingles with. The hub of a list is its member with the most entries in lists: the text its variants have in common has the fewest shingles of its own."""
-    weight = lists.groupBy("node").agg(F.count(F.lit(1)).alias("entries"), F.first("size").alias("size")).select("node", F.struct((F.col("entries") / F.col("size")).alias("share"), "node").alias("rank"))
-    hubs = lists.join(weight, "node").groupBy("token").agg(F.max("rank").alias("rank")).select("token", F.col("rank.node").alias("hub"))
-    met = lists.join(hubs, "token").where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-    return met.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
-
-
-def _spanning(lists: DataFrame, component: DataFrame) -> DataFrame:
-    """The entries of the lists whose members lie in several components, with their component."""
-    placed = lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    return checkpoint(placed.join(open_lists, "token"))
-
-
-def _across(spanning: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes in different components that share as many prefix shingles as the less demanding of them requires.
-
-    Sets of sizes n >= m with enough in common share at least percent (n + m) / (100 + percent) shingles. So the smaller
-    one needs only the prefix that this leaves it beside an equal partner, and a shared shingle counts only
-    where enough shingles can come with it: as many before it as its places allow, and as many behind.
-    """
-    index = F.col("place") < F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + F.col("matches")
-    column = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "matches", "place", "component")]
-    x, y = spanning.select("token", *column("x")), spanning.where(index).select("token", *column("y"))
-    order = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("node_x") > F.col("node_y")))
-    sizes = 100 * F.col("size_y") >= percent * F.col("size_x")
-    reach = F.least("place_x", "place_y") + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
-    enough = (100 + percent) * reach >= percent * (F.col("size_x") + F.col("size_y"))
-    met = x.join(y, "token").where(order & sizes & enough & (F.col("component_x") != F.col("component_y")))
-    grouped = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(
-        F.count(F.lit(1)).alias("c"), F.first(F.least("matches_x", "matches_y")).alias("needed"),
-        F.least(F.max(F.col("size_x") - F.col("place_x")), F.max(F.col("size_y") - F.col("place_y"))).alias("most"), F.first(F.col("size_x") + F.col("size_y")).alias("both"),
-    )
-    return grouped.where(F.expr(f"c >= needed AND {100 + percent} * most >= {percent} * both")).select("a", "b")
-
-
 def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -261,10 +225,11 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     postings = rows.where(F.col(id_col).isNotNull()).mapInArrow(_postings(k, percent, table), "token bigint, node bigint, size int, matches tinyint, place int")
     shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
     lists = checkpoint(checkpoint(postings.join(shared, "token")).distinct())
-    links = join.verified(_meet_hubs(lists))
+    links = join.verified(meet_hubs(lists))
 
-    spanning = _spanning(lists, components(links))
-    pairs = _across(spanning, percent)
+    spanning = spanning_entries(lists, components(links))
+    folded = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.aggregate(F.slice("sketch", i * (SKETCH_WORDS // SKETCH) + 1, SKETCH_WORDS // SKETCH), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b)))
+    pairs = pairs_across(spanning.join(join.sketches.select("node", folded.alias("sketch")), "node"), percent)
     links = links.union(join.verified(pairs))
 
     placed = join.sketches.select("node", "rep").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))

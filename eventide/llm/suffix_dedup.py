@@ -29,6 +29,8 @@ LENGTH, GRAM = 50, 16
 FILTER_BITS = 24
 #: Parts per shuffle partition that the anchors are dealt to.
 PARTS = 4
+#: Contexts that are compared at a time; one anchor's stay together.
+BATCH = 8192
 _RECORD = np.dtype([("anchor", "<u8"), ("check", "<u8"), ("start", "<i4"), ("before", "u1"), ("more", "u1")])
 
 
@@ -252,14 +254,22 @@ def _compare(length: int):
         table = pa.Table.from_batches(held) if held else None
         if table is None or not table.num_rows:
             return
-        start = table.column("start").to_numpy()
-        ids = table.column("id").to_numpy()
-        runs = shared_runs(table.column("anchor").to_numpy(), ids, table.column("before").to_numpy().astype(np.int64), table.column("bytes").to_pylist(), length)
-        if runs:
-            who, low, high = np.array(runs, np.int64).T
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[who]), pa.array((start[who] + low).astype(np.int32)), pa.array((start[who] + high).astype(np.int32))], names=["id", "start", "stop"]
-            )
+        table = table.sort_by("anchor")
+        anchor, ids, start = (table.column(c).to_numpy() for c in ("anchor", "id", "start"))
+        before, pieces = table.column("before").to_numpy().astype(np.int64), table.column("bytes")
+        del held
+        group = np.append(_starts(anchor), len(anchor))
+        at = 0
+        while at < len(anchor):  # whole groups, about BATCH contexts at a time
+            end = int(group[max(np.searchsorted(group, at + BATCH, "right") - 1, np.searchsorted(group, at, "right"))])
+            runs = shared_runs(anchor[at:end], ids[at:end], before[at:end], pieces.slice(at, end - at).to_pylist(), length)
+            if runs:
+                who, low, high = np.array(runs, np.int64).T
+                who += at
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[who]), pa.array((start[who] + low).astype(np.int32)), pa.array((start[who] + high).astype(np.int32))], names=["id", "start", "stop"]
+                )
+            at = end
 
     return compare
 
