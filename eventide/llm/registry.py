@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import oracles
 from .decontaminate import digest_items, overlaps
 from .html import extract_text
@@ -69,6 +71,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_license_scan": op2_license_scan,
         "op3_toxicity": op3_toxicity,
