@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import inputs  # noqa: F401  defines the named inputs
+from .built import QUERIES as BUILT
 from .dialect import Statement
 from .lists import QUERIES as LISTS
 from .temporal import QUERIES as TEMPORAL
 
-STATEMENTS: dict[str, Statement] = {**TEMPORAL, **LISTS}
+STATEMENTS: dict[str, Statement] = {**BUILT, **TEMPORAL, **LISTS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: s.duckdb() for name, s in STATEMENTS.items()}
+    return {name: s.duckdb() for name, s in STATEMENTS.items() if s.sql or s.oracle}
