@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import checkpoint
+from .storage import stage
 from .suffix_array import common_prefixes, suffix_array
 from .textnum import U, _powers, mix, text_slices
 
@@ -32,16 +32,38 @@ PARTS = 4
 #: Contexts that are compared at a time; one anchor's stay together.
 BATCH = 8192
 _RECORD = np.dtype([("anchor", "<u8"), ("check", "<u8"), ("start", "<i4"), ("before", "u1"), ("more", "u1")])
+#: Bytes that are sent of each number. Anchors are also told apart by their part; those that still fall together are compared byte by byte.
+_SENT = {"id": 8, "anchor": 5, "check": 6, "start": 4, "before": 1, "more": 1}
 
 
-def _sliding(x: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray:
-    """best over x[i : i + width] for every i with a whole window, in time independent of the width."""
-    n = len(x) - width + 1
-    pad = np.full(-len(x) % width, fill, x.dtype)
-    rows = np.concatenate([x, pad]).reshape(-1, width)
-    right = best.accumulate(rows, axis=1).ravel()
-    left = best.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(left[:n], right[width - 1 : width - 1 + n])
+def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best over x[i : i + width] for every i with a whole window, by windows of doubled width."""
+    size = 1
+    while 2 * size <= width:
+        x = best(x[:-size], x[size:])
+        size *= 2
+    return best(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
+
+
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of numbers, first bytes first: numbers of like size compress well that way."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def _from_planes(blobs: list[bytes], size: int) -> np.ndarray:
+    parts = []
+    for blob in blobs:
+        wide = np.zeros((len(blob) // size, 8), np.uint8)
+        wide[:, :size] = np.frombuffer(blob, np.uint8).reshape(size, -1).T
+        parts.append(wide.view("<u8").ravel())
+    return np.concatenate(parts)
+
+
+def _near_ends(off: np.ndarray, length: int, n: int) -> np.ndarray:
+    """The places below n from which fewer than ``length`` bytes are left in their document."""
+    near = off[1:, None] - np.arange(1, length)
+    near = near[near >= off[:-1, None]]
+    return near[near < n]
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -54,27 +76,27 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     sums = np.zeros(n + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
     h = mix((sums[gram:] - sums[:-gram]) * down[: n + 1 - gram]) | U(1)
-    end = np.repeat(off[1:], np.diff(off))  # of the document, by byte
-    at = np.arange(len(h))
-    h[at + gram > end[at]] = U(0xFFFFFFFFFFFFFFFF)
-    least = _sliding(h, width, np.minimum, 0xFFFFFFFFFFFFFFFF)
-    whole = np.arange(len(least)) + length <= end[: len(least)]
-    least[~whole] = 0
+    h[_near_ends(off, gram, len(h))] = U(0xFFFFFFFFFFFFFFFF)
+    least = _sliding(h, width, np.minimum)
+    least[_near_ends(off, length, len(least))] = 0  # no whole stretch of a document
     padded = np.concatenate([np.zeros(width - 1, U), least, np.zeros(width - 1, U)])
-    place = np.flatnonzero(_sliding(padded, width, np.maximum, 0)[: len(h)] == h)
+    place = np.flatnonzero(_sliding(padded, width, np.maximum)[: len(h)] == h)
     if not len(place):
         return none
-    # The stretches that use an anchor begin after the last place before it with a hash as small (ties: any place with its hash
-    # may serve, so the widest range is taken) and are whole; they are found by comparing the windows' minima.
-    lo = np.full(len(place), width, np.int64)
-    hi = np.full(len(place), -1, np.int64)
-    for back in range(width):
-        first = place - back
-        ok = (first >= 0) & (first < len(least))
-        ok[ok] = least[first[ok]] == h[place[ok]]
-        lo[ok] = np.minimum(lo[ok], back)
-        hi[ok] = np.maximum(hi[ok], back)
-    start, stop = place - hi, place - lo + length
+    # The stretches that use an anchor lie in one run of equal minima, the last before the anchor with its hash.
+    first = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
+    value = least[first]
+    run = np.zeros(len(place), np.int64)
+    todo = np.arange(len(place))
+    at = np.searchsorted(first, place, "right") - 1
+    while len(todo):
+        miss = value[at] != h[place[todo]]
+        run[todo[~miss]] = at[~miss]
+        todo, at = todo[miss], at[miss] - 1
+    low = np.maximum(first[run], place - width + 1)
+    high = np.minimum(np.append(first[1:], len(least))[run] - 1, place)
+    hi, lo = place - low, place - high
+    start, stop = low, high + length
     context = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(U) * U(0x9E3779B97F4A7C15) + hi.astype(U))
     out = np.zeros(len(place), _RECORD)
     doc = np.searchsorted(off, place, "right") - 1
@@ -84,6 +106,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
 
 def _emit(parts: int, length: int, gram: int):
     """(id, text) to one row per part and slice: part, ids, records."""
+    zero, shift = 0, {"anchor": U(24), "check": U(16)}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,11 +124,10 @@ def _emit(parts: int, length: int, gram: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(full.astype(np.int32)),
-                        pa.array([who[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary()),
-                        # Field by field, so that what can be compressed lies together.
-                        *(pa.array([np.ascontiguousarray(found[f][cut[p] : cut[p + 1]]).tobytes() for p in full], pa.binary()) for f in _RECORD.names),
+                        pa.array([_planes(who[cut[p] : cut[p + 1]], 8) for p in full], pa.binary()),
+                        *(pa.array([_planes(found[f][cut[p] : cut[p + 1]] >> shift.get(f, zero), _SENT[f]) for p in full], pa.binary()) for f in _RECORD.names),
                     ],
-                    names=["part", "ids", *_RECORD.names],
+                    names=["part", "id", *_RECORD.names],
                 )
 
     return emit
@@ -127,8 +149,12 @@ def _resolve(length: int):
                 held.setdefault(part, []).append(blobs)
         for part in list(held):
             rows = held.pop(part)
-            ids = np.frombuffer(b"".join(r[0] for r in rows), "<i8")
-            f = {name: np.frombuffer(b"".join(r[k + 1] for r in rows), _RECORD[name]) for k, name in enumerate(_RECORD.names)}
+            f = {name: _from_planes([r[k] for r in rows], size) for k, (name, size) in enumerate(_SENT.items())}
+            del rows
+            ids = f.pop("id").view("<i8")
+            # The part makes anchors of different parts different in the later grouping, too.
+            f["anchor"] = (f["anchor"] << U(20)) | U(part & 0xFFFFF)
+            f["start"] = f["start"].astype(np.int64)
             order = np.lexsort((f["start"], ids, f["check"], f["anchor"]))
             ids = ids[order]
             f = {k: v[order] for k, v in f.items()}
@@ -139,8 +165,8 @@ def _resolve(length: int):
             of_same = np.diff(np.append(same, len(ids)))
             kinds = np.repeat(np.add.reduceat(np.isin(np.arange(len(ids)), same, assume_unique=True).astype(np.int64), group), sizes)
             later = ids > np.repeat(ids[same], of_same)
-            start = f["start"].astype(np.int64)
-            stop = start + f["more"] + length
+            start = f["start"]
+            stop = start + f["more"].astype(np.int64) + length
             for keep, named in ((shared & later, False), (shared & ~later & (kinds > 1), True)):
                 at = np.flatnonzero(keep)
                 for low in range(0, len(at), 1 << 16):
@@ -333,14 +359,15 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     integers; rows that repeat an id do not remove from each other what both have
     at the same place, and each is returned; texts under one id count as that id's.
     Null texts are empty; with a null id nothing is removed. Other columns are
-    ignored. Equality of contexts is taken from 64-bit hashes.
+    ignored. Equality of whole contexts of
+    one anchor is taken from 48-bit hashes.
     """
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    records = named.mapInArrow(_emit(n * PARTS, length, gram), "part int, ids binary, " + ", ".join(f"{f} binary" for f in _RECORD.names))
-    found = checkpoint(records.repartition(n, "part").mapInArrow(_resolve(length), "id bigint, start int, stop int, anchor bigint, before int"))
+    records = named.mapInArrow(_emit(n * PARTS, length, gram), "part int, " + ", ".join(f"{f} binary" for f in _SENT))
+    found = stage(records.repartition(n, "part").mapInArrow(_resolve(length), "id bigint, start int, stop int, anchor bigint, before int"))
     removed = found.where(F.col("anchor").isNull()).select("id", "start", "stop")
 
     open_ones = found.where(F.col("anchor").isNotNull())
@@ -349,7 +376,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = _screened(named, spark.sparkContext.broadcast(mask), bit, "bigint", True)
     contexts = texts.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_contexts, "anchor bigint, id bigint, start int, before int, bytes binary")
     compared = contexts.repartition(n, "anchor").mapInArrow(_compare(length), "id bigint, start int, stop int")
-    spans = checkpoint(removed.union(compared).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    spans = stage(removed.union(compared).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
 
     mask, bit = _bit_mask(spans)
     shared = spark.sparkContext.broadcast(mask)
