@@ -193,86 +193,122 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "id", "start", "before", "bytes"])
 
 
-def shared_runs(anchor: np.ndarray, ids: np.ndarray, before: np.ndarray, pieces: list[bytes], length: int) -> list[tuple[int, int, int]]:
-    """(context, first byte, byte after the last) of the runs of a context that some context of the same anchor and a smaller id shares at the same distance from the anchor."""
-    m, left = len(pieces), int(before.max())
-    sizes = np.array([len(p) for p in pieces])
-    width = int((left - before + sizes).max())
+def _classes(group: np.ndarray, data: np.ndarray, first: np.ndarray, step: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far each row reads the same as some other row of its group, going byte by byte from ``first`` in direction ``step``.
+
+    Returns, by row and distance, the class of rows that have read the same so far
+    and the size of that class (0 where a row is alone), and the reach of each row.
+    """
+    m, width = len(group), int(sizes.max(initial=0))
+    label, members, reach = np.zeros((m, width), np.int32), np.zeros((m, width), np.int32), np.zeros(m, np.int64)
+    active, now = np.arange(m), group.astype(np.int64)
+    for c in range(width):
+        active = active[sizes[active] > c]
+        _, inverse, count = np.unique(now[active] * 256 + data[first[active] + step * c], return_inverse=True, return_counts=True)
+        kept = count[inverse] > 1
+        active, inverse = active[kept], inverse[kept]
+        if not len(active):
+            break
+        now[active] = label[active, c] = inverse
+        members[active, c] = count[inverse]
+        reach[active] = c + 1
+    return label, members, reach
+
+
+def _blocks(side: int, group: np.ndarray, label: np.ndarray, members: np.ndarray, reach: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The blocks of some rows on one side: row, nearest and farthest distance from the anchor, and what names the block's content.
+
+    Distances fall into one block as long as no class of the group splits.
+    """
+    if not label.shape[1]:
+        return [np.zeros(0, np.int64)] * 6
+    split = np.ones(members.shape, bool)
+    split[:, 1:] = (members[:, 1:] != members[:, :-1]) & (members[:, :-1] > 0)
+    cut = np.logical_or.reduceat(split, _starts(group), axis=0)
+    cut[:, 0] = True
+    mine = cut[group[rows]] & (np.arange(label.shape[1]) < reach[rows][:, None])
+    r, c = np.nonzero(mine)
+    last = np.append(r[1:] != r[:-1], True)
+    end = np.where(last, reach[rows][r], np.append(c[1:], 0))
+    return [rows[r], c, end, np.full(len(r), side), group[rows][r] * label.shape[1] + c, label[rows[r], c].astype(np.int64)]
+
+
+def shared_runs(anchor: np.ndarray, ids: np.ndarray, before: np.ndarray, pieces: list[bytes], length: int, gram: int) -> list[tuple[int, int, int]]:
+    """(context, first byte, byte after the last) of the runs of a context that some context of the same anchor and a smaller id shares at the same distance from the anchor.
+
+    A shared run of ``length`` bytes reaches over the whole anchor, so only what two
+    contexts have in common going outwards from it counts, and a context that is
+    alone too early on both sides shares none. What is left is cut into blocks
+    where the classes of equal contexts split.
+    """
     order = np.lexsort((ids, anchor))
-    cells = np.full((m, width), 256, np.int64)
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
-    row = np.repeat(np.arange(m), sizes)
-    shift = np.repeat(left - before - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    cells[row, np.arange(len(flat)) + shift] = flat
-    cells, group = cells[order], _starts(anchor[order])
-    of = np.repeat(np.arange(len(group)), np.diff(np.append(group, m)))
-    # In each column a cell is labelled by the first row of its group that has the same byte there; no byte equals nothing.
-    key = (of[:, None] * width + np.arange(width)) * 257 + cells
-    _, first, inverse = np.unique(key.ravel(), return_index=True, return_inverse=True)
-    label = (first // width)[inverse.ravel()].reshape(m, width)
-    empty = cells == 256
-    label[empty] = (m + np.broadcast_to(np.arange(m)[:, None], label.shape))[empty]
-    cut = np.ones((len(group), width), bool)
-    cut[:, 1:] = np.logical_or.reduceat(label[:, 1:] != label[:, :-1], group, axis=0)
-    heads = cut[of] & ~empty
-    r, c = np.nonzero(heads)
-    block = np.cumsum(cut, axis=1)
-    symbols = np.unique((of[r] * (width + 1) + block[of[r], c]) * (2 * m) + label[r, c], return_inverse=True)[1]
-    last = width - np.argmax(~empty[:, ::-1], axis=1)
-    weight = np.where(np.append(r[1:] != r[:-1], True), last[r], np.append(c[1:], 0)) - c
-    # One text: the blocks of every context, then a mark of its own.
-    row_at = np.searchsorted(r, np.arange(m + 1))
-    n_symbols = int(symbols.max(initial=-1)) + 1
+    sizes = np.array([len(p) for p in pieces])[order]
+    at = np.concatenate([[0], np.cumsum(np.array([len(p) for p in pieces]))])[:-1][order]
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    before_at = before[order]
+    heads = _starts(anchor[order])
+    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    right = _classes(group, data, at + before_at, 1, sizes - before_at)
+    left = _classes(group, data, at + before_at - 1, -1, before_at)
+    rows = np.flatnonzero((right[2] >= gram) & (left[2] + right[2] >= length))
+    if not len(rows):
+        return []
+    sides = [_blocks(0, group, *left, rows), _blocks(1, group, *right, rows)]
+    row, near, far, side, block, label = (np.concatenate(x) for x in zip(*sides, strict=True))
+    low = np.where(side == 0, -far, near)
+    by = np.lexsort((low, row))
+    row, low, weight = row[by], low[by], (far - near)[by]
+    new = np.lexsort((label[by], block[by], side[by]))
+    symbol = np.zeros(len(by), np.int64)
+    symbol[new] = np.cumsum(np.isin(np.arange(len(by)), _starts(side[by][new], block[by][new], label[by][new]))) - 1
+    # One text: the blocks of every context from left to right, then a mark of its own.
+    marks, total = int(symbol.max()) + 1, np.concatenate([[0], np.cumsum(weight)]).tolist()
+    cuts = [*_starts(row).tolist(), len(row)]
     text: list[int] = []
-    owner: list[int] = []
     place: list[int] = []
-    sym = symbols.tolist()
-    for i in range(m):
-        a, b = int(row_at[i]), int(row_at[i + 1])
-        text += sym[a:b]
-        owner += [i] * (b - a)
+    named = symbol.tolist()
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        text += named[a:b]
         place += range(a, b)
-        text.append(n_symbols + i)
-        owner.append(-1)
+        text.append(marks + k)
         place.append(-1)
-    sa = suffix_array(text)
-    lcp = common_prefixes(text, sa)
-    who = ids[order].tolist()
-    total = np.concatenate([[0], np.cumsum(weight)]).tolist()
-    best = [0] * len(text)  # blocks shared with a smaller id, by suffix
-    for step in (1, -1):  # nearest suffix of a smaller id above, then below
-        stack: list[tuple[int, int]] = []  # (id, blocks shared with the suffix at hand), ids ascending
-        places = range(len(sa)) if step == 1 else range(len(sa) - 1, -1, -1)
-        for k in places:
-            shared = lcp[k] if step == 1 else (lcp[k + 1] if k + 1 < len(sa) else 0)
-            i = sa[k]
-            if shared == 0:
-                stack.clear()
-            elif stack and stack[-1][1] > shared:
-                stack = [(x, min(s, shared)) for x, s in stack]
-            if owner[i] < 0:
-                continue
-            mine = who[owner[i]]
-            while stack and stack[-1][0] >= mine:
-                stack.pop()
-            if stack:
-                best[i] = max(best[i], stack[-1][1])
-            stack.append((mine, len(text)))
-    runs = []
-    order_list, base = order.tolist(), (left - before).tolist()
-    columns = c.tolist()
+    who = ids[order][row].tolist()
+    best = _shared_with_smaller(text, [who[p] if p >= 0 else None for p in place])
+    runs, context, start = [], order[row].tolist(), (before_at[row] + low).tolist()
     for i, blocks in enumerate(best):
         if blocks:
             p = place[i]
             size = total[p + blocks] - total[p]
             if size >= length:
-                who_at = order_list[owner[i]]
-                low = columns[p] - base[who_at]
-                runs.append((who_at, low, low + size))
+                runs.append((context[p], start[p], start[p] + size))
     return runs
 
 
-def _compare(length: int):
+def _shared_with_smaller(text: list[int], owner: list[int | None]) -> list[int]:
+    """For each place of a text the most symbols from there that also stand at a place of a smaller owner; 0 at marks, which have no owner."""
+    sa = suffix_array(text)
+    lcp = [*common_prefixes(text, sa), 0]
+    best = [0] * len(text)
+    for step in (1, -1):  # against the suffixes before it in the order, then against those after
+        held: list[tuple[int, int]] = []  # (owner, symbols shared with the suffix at hand), both ascending
+        for k in range(len(sa)) if step == 1 else range(len(sa) - 1, -1, -1):
+            i, shared = sa[k], lcp[k] if step == 1 else lcp[k + 1]
+            if not shared:
+                held.clear()
+            elif held and held[-1][1] > shared:
+                held = [(o, min(n, shared)) for o, n in held]
+            mine = owner[i]
+            if mine is None:
+                continue
+            while held and held[-1][0] >= mine:
+                held.pop()
+            if held and held[-1][1] > best[i]:
+                best[i] = held[-1][1]
+            held.append((mine, len(text)))
+    return best
+
+
+def _compare(length: int, gram: int):
     """All contexts of some anchors to removed (id, start, stop)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +324,7 @@ def _compare(length: int):
         at = 0
         while at < len(anchor):  # whole groups, about BATCH contexts at a time
             end = int(group[max(np.searchsorted(group, at + BATCH, "right") - 1, np.searchsorted(group, at, "right"))])
-            runs = shared_runs(anchor[at:end], ids[at:end], before[at:end], pieces.slice(at, end - at).to_pylist(), length)
+            runs = shared_runs(anchor[at:end], ids[at:end], before[at:end], pieces.slice(at, end - at).to_pylist(), length, gram)
             if runs:
                 who, low, high = np.array(runs, np.int64).T
                 who += at
@@ -375,7 +411,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = open_ones.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "stop", "before")).alias("wanted"))
     texts = _screened(named, spark.sparkContext.broadcast(mask), bit, "bigint", True)
     contexts = texts.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_contexts, "anchor bigint, id bigint, start int, before int, bytes binary")
-    compared = contexts.repartition(n, "anchor").mapInArrow(_compare(length), "id bigint, start int, stop int")
+    compared = contexts.repartition(n, "anchor").mapInArrow(_compare(length, gram), "id bigint, start int, stop int")
     spans = stage(removed.union(compared).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
 
     mask, bit = _bit_mask(spans)
