@@ -113,3 +113,16 @@ def test_plan_shapes(spark, capsys):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_rankers(spark, tmp_path):
+    from eventide.operators import learned
+
+    rows = spark.createDataFrame([(q, p, float(p == 0) + (q * 7 + p * 3) % 5 / 10, (q + p) % 3 / 3.0, int(p == 0)) for q in range(40) for p in range(4)], "qid bigint, pos bigint, a double, b double, label int")
+    best = learned.tune(rows, ["a", "b"])
+    learned.save_model(best, f"{tmp_path}/m")
+    got = {(r.qid, r.pos): r.s for r in learned.score(learned.load_model(f"{tmp_path}/m"), rows).collect()}
+    assert all(got[q, 0] > got[q, p] for q in range(40) for p in (1, 2, 3))
+    drop = {r.feature: r.gap for r in learned.permutation_importance(best, rows, ["a", "b"]).collect()}
+    assert drop["none"] >= drop["a"] - 1e-9
+    assert learned.leave_one_out(rows, ["a", "b"]) == [("a", "b"), ("b",), ("a",)]
