@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .candidates import SKETCH, meet_hubs, pairs_across, spanning_entries
 from .components import components
-from .storage import checkpoint
+from .storage import checkpoint, stage
 from .textnum import LOWER, U, mix, ngrams, span_hashes, text_slices, words
 
 WORDS, PERCENT = 4, 85
@@ -45,21 +45,27 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     starts, ends, first = words(lower, off)
     n = np.diff(first)
     h = span_hashes(lower, starts, ends)
-    at, g = ngrams(h, first, k)
-    doc = np.searchsorted(first, at, "right") - 1
-    for size in range(1, k):  # a shorter document is one shingle
-        which = np.flatnonzero(n == size)
-        if len(which):
+    _, grams = ngrams(h, first, k)
+    begin = np.concatenate([[0], np.cumsum(np.where(n >= k, n - k + 1, n > 0))])
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):  # a shorter document is one shingle
+        g, full = np.empty(begin[-1], U), np.ones(begin[-1], bool)
+        full[begin[short]] = False
+        g[full] = grams
+        for size in range(1, k):
+            which = short[n[short] == size]
             whole = np.full(len(which), size, U)
             for j in range(size):
                 whole = mix(whole * U(0x9FB21C651E98DF25) + h[first[which] + j])
-            doc, g = np.concatenate([doc, which]), np.concatenate([g, whole])
-    order = np.lexsort((g, doc))
-    doc, g = doc[order], g[order]
+            g[begin[which]] = whole
+    else:
+        g = grams
+    for low, high in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        g[low:high].sort()
     new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    doc, g = doc[new], g[new]
-    return g, np.searchsorted(doc, np.arange(len(n) + 1))
+    new[1:] = g[1:] != g[:-1]
+    new[begin[:-1][np.diff(begin) > 0]] = True
+    return g[new], np.concatenate([[0], np.cumsum(new)])[begin]
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -73,40 +79,36 @@ def _nodes(g: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _profiles(k: int):
-    """(id, text) to id, set size, class digest and bit sketch."""
+    """(id, text) to id, set size, class digest and bit sketch; then, per task, how many sets hold a shingle of each hashed place."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kind = np.zeros(1 << FREQUENCY_BITS, np.int64), None
+        names = ["id", "n_shingles", "node", "sketch", "place", "held"]
         for batch in batches:
+            kind = batch.schema.field(0).type
             for row, end, data, off in text_slices(batch.column(1)):
                 g, first = shingle_sets(data, off, k)
-                n, node = np.diff(first), _nodes(g, first)
-                doc = np.repeat(np.arange(end - row), n)
-                odd = np.bincount(doc * (64 * SKETCH_WORDS) + (g & U(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=(end - row) * 64 * SKETCH_WORDS) & 1
+                total += np.bincount((g >> U(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total))
+                m, n = end - row, np.diff(first)
+                doc = np.repeat(np.arange(m), n)
+                odd = np.bincount(doc * (64 * SKETCH_WORDS) + (g & U(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=m * 64 * SKETCH_WORDS) & 1
                 sketch = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), _long(n), _long(node), pa.FixedSizeListArray.from_arrays(pa.array(sketch), SKETCH_WORDS).cast(pa.list_(pa.int64()))],
-                    names=[batch.schema.names[0], "n_shingles", "node", "sketch"],
-                )
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(sketch), SKETCH_WORDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, m), _long(n), _long(_nodes(g, first)), lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names)
+        full = np.flatnonzero(total)
+        for at in range(0, len(full), 1 << 16):
+            part = full[at : at + (1 << 16)]
+            empty = [pa.nulls(len(part), t) for t in (kind, pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(part.astype(np.int32)), pa.array(total[part])], names=names)
 
     return profile
 
 
-def frequencies(documents: DataFrame, text_col: str, k: int) -> np.ndarray:
+def frequencies(profiles: DataFrame) -> np.ndarray:
     """How many documents' sets hold a shingle of each hashed place, over all documents; 2**FREQUENCY_BITS counts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << FREQUENCY_BITS, np.int64)
-        for batch in batches:
-            for _, _, data, off in text_slices(batch.column(0)):
-                total += np.bincount((shingle_sets(data, off, k)[0] >> U(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total))
-        full = np.flatnonzero(total)
-        for at in range(0, len(full), 1 << 16):
-            part = full[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["place", "n"])
-
-    table = documents.select(text_col).mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    table = profiles.where(F.col("place").isNotNull()).groupBy("place").agg(F.sum("held").alias("held")).toArrow()
     out = np.zeros(1 << FREQUENCY_BITS, np.int64)
-    out[table.column("place").to_numpy()] = table.column("n").to_numpy()
+    out[table.column("place").to_numpy()] = table.column("held").to_numpy()
     return out
 
 
@@ -115,7 +117,8 @@ def prefixes(g: np.ndarray, first: np.ndarray, table: np.ndarray, percent: int)
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
     often = table[(g >> U(64 - FREQUENCY_BITS)).astype(np.int64)]
-    order = np.lexsort((g, often, doc))
+    rare = (often.astype(U) << U(40)) | (g >> U(24))
+    order = np.concatenate([low + np.argsort(rare[low:high]) for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]) if len(n) else np.zeros(0, np.int64)
     g, often = g[order], often[order]
     background = table.sum() // max(len(table), 1)
     cost = np.concatenate([[0.0], np.cumsum(np.maximum(often - background, 1).astype(float))])
@@ -219,9 +222,10 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(id_col, text_col)
-    profiles = checkpoint(rows.mapInArrow(_profiles(k), f"`{id_col}` {kind}, n_shingles bigint, node bigint, sketch array<bigint>"))
+    found = stage(rows.mapInArrow(_profiles(k), f"id {kind}, n_shingles bigint, node bigint, sketch array<bigint>, place int, held bigint"))
+    profiles = found.where(F.col("place").isNull()).select(F.col("id").alias(id_col), "n_shingles", "node", "sketch")
     join = _Join(documents, profiles, id_col, text_col, k, percent)
-    table = spark.sparkContext.broadcast(frequencies(documents, text_col, k))
+    table = spark.sparkContext.broadcast(frequencies(found))
     postings = rows.where(F.col(id_col).isNotNull()).mapInArrow(_postings(k, percent, table), "token bigint, node bigint, size int, matches tinyint, place int")
     shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
     lists = checkpoint(checkpoint(postings.join(shared, "token")).distinct())
