@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import checkpoint
-
 #: Numbers of 64 bits in a sketch: bit i is the parity of the set's tokens whose hash falls on it.
 SKETCH = 4
 
@@ -39,10 +37,10 @@ def meet_several(entries: DataFrame, several: int = 6) -> DataFrame:
 
 
 def spanning_entries(lists: DataFrame, component: DataFrame) -> DataFrame:
-    """The entries of the lists whose members lie in several components, with their component."""
+    """The entries of the lists whose members lie in several components, with their component and the number of the list's members."""
     placed = lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    return checkpoint(placed.join(open_lists, "token"))
+    open_lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo != hi").select("token", "members")
+    return placed.join(open_lists, "token")
 
 
 def pairs_across(spanning: DataFrame, percent: int) -> DataFrame:

@@ -228,10 +228,10 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     table = spark.sparkContext.broadcast(frequencies(found))
     postings = rows.where(F.col(id_col).isNotNull()).mapInArrow(_postings(k, percent, table), "token bigint, node bigint, size int, matches tinyint, place int")
     shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
-    lists = checkpoint(checkpoint(postings.join(shared, "token")).distinct())
+    lists = stage(stage(postings.join(shared, "token")).distinct())
     links = join.verified(meet_hubs(lists))
 
-    spanning = spanning_entries(lists, components(links))
+    spanning = stage(spanning_entries(lists, components(links)))
     folded = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.aggregate(F.slice("sketch", i * (SKETCH_WORDS // SKETCH) + 1, SKETCH_WORDS // SKETCH), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b)))
     pairs = pairs_across(spanning.join(join.sketches.select("node", folded.alias("sketch")), "node"), percent)
     links = links.union(join.verified(pairs))
