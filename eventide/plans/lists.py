@@ -122,7 +122,7 @@ QUERIES = {
         snap AS (SELECT min(CASE WHEN g.seq = f.b1 THEN f.first_seq END) AS s1, min(CASE WHEN g.seq = f.b2 THEN f.first_seq END) AS s2, min(CASE WHEN g.seq = f.b3 THEN f.first_seq END) AS s3
                  FROM (SELECT t, min(seq) AS first_seq, max(b1) AS b1, max(b2) AS b2, max(b3) AS b3 FROM f GROUP BY t) f JOIN {ix} g ON g.t = f.t)
         SELECT ix.seq, CASE WHEN seq < s1 THEN 0 WHEN seq < s2 THEN 1 WHEN seq < s3 THEN 2 ELSE 3 END AS fold FROM {ix} ix CROSS JOIN snap"""),
-    "l5_rolling_origin": S("L5", """SELECT k AS fold, CASE WHEN k < 4 THEN 'selection' ELSE 'gate' END AS role, count(CASE WHEN seq < lo THEN 1 END) AS n_train, count(CASE WHEN seq >= lo THEN 1 END) AS n_score
+    "l5_rolling_origin": S("L5", """SELECT CAST(k AS BIGINT) AS fold, CASE WHEN k < 4 THEN 'selection' ELSE 'gate' END AS role, count(CASE WHEN seq < lo THEN 1 END) AS n_train, count(CASE WHEN seq >= lo THEN 1 END) AS n_score
         FROM (SELECT ix.seq, g.k, CAST(floor(n * (0.4 + 0.1 * g.k)) AS BIGINT) AS lo, CAST(floor(n * (0.5 + 0.1 * g.k)) AS BIGINT) AS hi, CAST(floor(n * 0.1 * g.k) AS BIGINT) AS start FROM {ix} ix CROSS JOIN (SELECT n, EACH(1, 5)) AS k FROM {span}) g) x WHERE seq >= start AND seq < hi GROUP BY k"""),
     "l6_contiguous_folds": S("L6", "SELECT qid, CAST(ntile(5) OVER (ORDER BY qid) AS BIGINT) AS fold FROM (SELECT DISTINCT qid FROM {q}) x"),
     "l7_multi_horizon": S("L7", """WITH f AS (SELECT qid, CAST(ntile(4) OVER (ORDER BY qid) AS BIGINT) AS fold FROM (SELECT DISTINCT qid FROM {q}) x), s AS (SELECT fold, count(*) AS n FROM f GROUP BY fold)
@@ -168,5 +168,6 @@ QUERIES = {
     "n19_compare_outputs": S("N19", """WITH k AS (SELECT qid, pos, s, r, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS kr FROM {sc}), g AS (SELECT qid, corr(s, r) AS corr_sr, avg(abs(ks - kr)) AS moved, count(CASE WHEN ks <= 5 AND kr <= 5 THEN 1 END) AS top5, max(CASE WHEN ks = 1 AND kr = 1 THEN 1 ELSE 0 END) AS top1 FROM k GROUP BY qid)
         SELECT round(avg(corr_sr), 6) AS corr_sr, round(avg(moved), 6) AS moved, round(avg(top5) / 5, 6) AS top5, round(avg(top1), 6) AS top1 FROM g"""),
     "n20_ties": S("N20", "SELECT count(CASE WHEN ties > 0 THEN 1 END) AS rows_with_ties, CAST(sum(ties) AS BIGINT) AS ties, max(ties) AS most FROM (SELECT qid, count(*) - count(DISTINCT r) AS ties FROM {sc} GROUP BY qid) x"),
-    "n21_signatures": S("N21", "SELECT d, count(*) AS groups_, max(n) AS largest, round(avg(n), 6) AS mean_n FROM (SELECT 2 AS d, round(s, 2) AS a, round(u, 2) AS b, count(*) AS n FROM {sc} GROUP BY round(s, 2), round(u, 2) UNION ALL SELECT 1, round(s, 1), round(u, 1), count(*) FROM {sc} GROUP BY round(s, 1), round(u, 1)) x GROUP BY d"),
+    "n21_signatures": S("N21", """WITH g AS (SELECT d, CAST(floor(s * power(10, d) + 1e-6) AS BIGINT) AS a, CAST(floor(u * power(10, d) + 1e-6) AS BIGINT) AS b FROM (SELECT s, u, EACH(CAST(1 AS BIGINT), CAST(2 AS BIGINT))) AS d FROM {sc}) x),
+        n AS (SELECT d, a, b, count(*) AS n FROM g GROUP BY d, a, b) SELECT d, count(*) AS n_groups, max(n) AS largest, round(avg(n), 6) AS mean_n FROM n GROUP BY d"""),
 }
