@@ -218,15 +218,13 @@ def _classes(group: np.ndarray, data: np.ndarray, first: np.ndarray, step: int,
 def _blocks(side: int, group: np.ndarray, label: np.ndarray, members: np.ndarray, reach: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     """The blocks of some rows on one side: row, nearest and farthest distance from the anchor, and what names the block's content.
 
-    Distances fall into one block as long as no class of the group splits.
+    A row's distances fall into one block as long as no member leaves its class;
+    rows of one class have the same blocks so far.
     """
     if not label.shape[1]:
         return [np.zeros(0, np.int64)] * 6
-    split = np.ones(members.shape, bool)
-    split[:, 1:] = (members[:, 1:] != members[:, :-1]) & (members[:, :-1] > 0)
-    cut = np.logical_or.reduceat(split, _starts(group), axis=0)
-    cut[:, 0] = True
-    mine = cut[group[rows]] & (np.arange(label.shape[1]) < reach[rows][:, None])
+    mine = np.arange(label.shape[1]) < reach[rows][:, None]
+    mine[:, 1:] &= members[rows, 1:] != members[rows, :-1]
     r, c = np.nonzero(mine)
     last = np.append(r[1:] != r[:-1], True)
     end = np.where(last, reach[rows][r], np.append(c[1:], 0))
@@ -290,21 +288,20 @@ def _shared_with_smaller(text: list[int], owner: list[int | None]) -> list[int]:
     lcp = [*common_prefixes(text, sa), 0]
     best = [0] * len(text)
     for step in (1, -1):  # against the suffixes before it in the order, then against those after
-        held: list[tuple[int, int]] = []  # (owner, symbols shared with the suffix at hand), both ascending
+        held: list[tuple[int, int]] = []  # (owner, symbols shared with the entry below), owners ascending
+        since = 0  # symbols shared with the last suffix that has an owner
         for k in range(len(sa)) if step == 1 else range(len(sa) - 1, -1, -1):
             i, shared = sa[k], lcp[k] if step == 1 else lcp[k + 1]
-            if not shared:
-                held.clear()
-            elif held and held[-1][1] > shared:
-                held = [(o, min(n, shared)) for o, n in held]
+            since = min(since, shared)
             mine = owner[i]
             if mine is None:
                 continue
             while held and held[-1][0] >= mine:
-                held.pop()
-            if held and held[-1][1] > best[i]:
-                best[i] = held[-1][1]
-            held.append((mine, len(text)))
+                since = min(since, held.pop()[1])
+            if held and since > best[i]:
+                best[i] = since
+            held.append((mine, since))
+            since = len(text)
     return best
 
 
