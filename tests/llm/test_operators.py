@@ -229,13 +229,13 @@ def test_fm_learns_pairs():
 
 
 def test_html(spark):
-    page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class='x'>Site {i} &amp; co</div><div><p>Body  {i}<br>more &lt;b&gt;<p>Next<ul><li>a<li>b</ul></div><footer>f</footer></body></html>"
+    page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class='x'>Site {i} &amp; co</div><div><p>Body  {i}<br>more &lt;b&gt;<p>Next {i}<ul><li>a{i}<li>b{i}</ul></div><footer>f</footer></body></html>"
     rows = [(i, f"http://h.org/{i}", page.replace("Site {i}", "Site").replace("{i}", str(i))) for i in range(8)]
     rows += [(20, None, None), (21, "", ""), (22, "http://h.org/a", "<article><h1>T</h1><div class='comments'>no</div><p>yes & no</article><p>out")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     for most in (100, 0):
         got = {r.page_id: r for r in html.extract_text(pages, most_sent=most).collect()}
-        assert got[3].text == "Body 3 more <b>\nNext\na\nb" and got[3].n_chars == len(got[3].text)
+        assert got[3].text == "Body 3 more <b>\nNext 3\na3\nb3" and got[3].n_chars == len(got[3].text)
         assert got[20].text == got[21].text == "" and got[22].text == "T\nyes & no"
 
 
