@@ -180,9 +180,16 @@ def _resolve(length: int):
     return resolve
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, as what is made of a row is larger than the row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, wanted contexts) to (anchor, id, start, before, bytes)."""
-    for batch in batches:
+    for batch in _pieces(batches):
         out: list[tuple] = []
         for key, text, wanted in zip(*(batch.column(i) for i in range(3)), strict=True):
             data = text.as_buffer().to_pybytes()
@@ -333,11 +340,11 @@ def _compare(length: int, gram: int):
     return compare
 
 
-def _cut_out(id_name: str):
-    """(id, text, spans) to id, n_bytes, n_removed, n_spans and the SHA-256 and bytes of what stays."""
+def _cut_out(id_name: str, with_kept: bool):
+    """(id, text, spans) to id, n_bytes, n_removed, n_spans and the SHA-256, if asked for also the bytes, of what stays."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             out = []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -355,10 +362,10 @@ def _cut_out(id_name: str):
                     at = b
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                out.append((len(data), len(data) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=[id_name, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((len(data), len(data) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), *[rest] * with_kept))
+            columns = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=[id_name, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 1 + len(columns)])
 
     return cut
 
@@ -416,6 +423,5 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     touched = _screened(rows.where(F.col("id").isNotNull()), shared, bit, "bigint", True).join(spans, "id", "left").select("id", "text", "spans")
     empty = F.lit(None).cast("array<struct<start:int,stop:int>>")
     clear = _screened(rows.where(F.col("id").isNotNull()), shared, bit, "bigint", False).union(rows.where(F.col("id").isNull())).select("id", "text", empty.alias("spans"))
-    schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    out = touched.union(clear).mapInArrow(_cut_out(id_col), schema)
-    return out if with_kept else out.drop("kept")
+    schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept
+    return touched.union(clear).mapInArrow(_cut_out(id_col, with_kept), schema)
