@@ -34,7 +34,7 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

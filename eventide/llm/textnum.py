@@ -59,7 +59,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_tables[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
+        n = 1 << 16 if n <= 1 << 16 else max(n, SLICE_BYTES + 1)
         for k, base in enumerate((_BASE, _INV)):
             t = np.full(n, base, U)
             t[0] = 1
