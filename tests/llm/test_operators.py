@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventide.llm import html, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, toxicity, urls
 from eventide.llm.decontaminate import decontaminate, digest_items, item_digest, overlaps
@@ -99,6 +100,25 @@ def test_line_classes(spark):
     assert kept[0] is None and kept[1] == "" and kept[5] == texts[5] and 6 not in kept
 
 
+def test_line_shingles_at_every_offset(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 16))) for _ in range(300)]
+    lines = ["https://example.org/" + "a" * 40, "https://example.org/" + "b" * 40, "日本語の文章" * 9 + "甲" * 20, "日本語の文章" * 2 + "乙" * 60, "\U0001f600 short", "short"]
+    for _ in range(25):
+        line = " ".join(rng.choice(words) for _ in range(30))
+        # Copies that lack a blank, end in one word more or differ in one long word.
+        lines += [line, line.replace(" ", "", 1).replace(" ", "", 1), line + " " + rng.choice(words), line.replace(line.split(" ")[9], "x" * 14), line.replace(" ", "")]
+    lines = list(dict.fromkeys(lines))
+    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in lines]
+    roots = _components(len(lines), [(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    got = {r.id: r.class_id for r in line_dedup.line_classes(_docs(spark, lines)).collect()}
+    assert all(roots[c] == roots[i] for i, c in got.items())  # nothing merges that the definition keeps apart
+    assert sum(got[i] != roots[i] for i in range(len(lines))) <= 0.02 * len(lines)
+    text = "a\U0001f600bc defghijklmnop"
+    n = spark.createDataFrame([(text,), ("abc",)], "line string").select(line_dedup.hashes(F.col("line"))).collect()
+    assert [len(r[0]) for r in n] == [len(text) - 11, 1]
+
+
 @pytest.mark.parametrize("seed", [0, 4])
 def test_remove_repeats(spark, seed):
     rng = random.Random(seed)
