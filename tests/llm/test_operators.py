@@ -278,6 +278,22 @@ def test_licenses(spark):
     assert got == {1: ("MIT", "MIT"), 2: (None, "MIT"), 3: ("Apache-2.0", "Apache-2.0"), 4: (None, "Apache-2.0"), 5: (None, None), 6: ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), 7: (None, None), 8: (None, "MIT")}
 
 
+def test_license_texts_headers_and_identifiers(spark):
+    texts = dict(licenses.full_templates()[:9])
+    gnu = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n"
+    cases = [
+        ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("// SPDX-License-Identifier: MIT", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"), ("MIT License", "MIT"),
+        ("License: MIT", "MIT"), ("The MIT License (MIT)", "MIT"), ("Licensed under the MIT license", "MIT"), ("This work is licensed under CC BY 4.0", "CC-BY-4.0"),
+        ("/*\n" + gnu + " */\n\nint main() { return code + more * here; }\n", "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"),
+        ("Copyright (c) 2020 Somebody\n\n" + texts["MIT"], "MIT"), *((text, name) for name, text in texts.items()), ("a story of a license to fish in the lake", None),
+    ]
+    docs = spark.createDataFrame([(i, f"d{i}/f", t) for i, (t, _) in enumerate(cases)], "doc_id bigint, path string, text string")
+    rows = licenses.scan_licenses(docs, docs["path"]).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(cases) and [got[i].own_license for i in range(len(cases))] == [name for _, name in cases]
+    assert all(got[i].is_file for i in range(10, 20))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert ngram_join.ngram_components(docs).count() == line_dedup.line_classes(docs).count() == suffix_dedup.remove_repeats(docs).count() == 0
