@@ -3,8 +3,9 @@
 Every page is read once into a stream of tags and text. Elements that are
 boilerplate by their kind or by the words in their class, id or role go at once.
 Every other element that could belong to a site's template is hashed with all
-below it; Spark counts the hashes per host, and subtrees that recur on many pages
-of their host are deleted when the text is taken out.
+below it; Spark counts per host how many different texts stand around each hash, so
+that copies of a page count once, and subtrees that recur around many texts of
+their host are deleted when the text is taken out.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is a template from so many pages of a host on, if that is also this share of the host's pages.
+#: A subtree is a template from so many pages of a host on, if that is also this share of the host's pages; pages count once for each text beside it.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
 #: Template lists up to so many subtrees are sent to every task; longer ones are joined.
 MOST_SENT = 200_000
@@ -70,10 +72,10 @@ def _boilerplate(tag: str, markup: str, inside: bool) -> bool:
     return False
 
 
-def read_page(html: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], list[int]]:
-    """The blocks of main text, and the hashes of the subtrees that could be a template."""
+def read_page(html: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The blocks of main text, and without ``templates`` the subtrees with text that could be one: hash, first block, block behind the last."""
     blocks: list[tuple[str, bool]] = []
-    hashes: list[int] = []
+    subtrees: list[tuple[int, int, int]] = []
     text: list[str] = []
     # Open elements: name, start in the page, blocks before it, whether it is dropped, whether it lies in an article, whether it is hashed.
     stack: list[tuple[str, int, int, bool, bool, bool]] = [("", 0, 0, False, False, False)]
@@ -94,7 +96,8 @@ def read_page(html: str, templates: frozenset[int] | set[int] = frozenset()) ->
             h = xxhash.xxh3_64_intdigest(html[start:end].encode()) >> 1
             if h in templates:
                 del blocks[before:]
-            hashes.append(h)
+            if len(blocks) > before:
+                subtrees.append((h, before, len(blocks)))
 
     at, n = 0, len(html)
     while at < n:
@@ -152,22 +155,36 @@ def read_page(html: str, templates: frozenset[int] | set[int] = frozenset()) ->
         close(n)
     flush()
     whole = any(inside for _, inside in blocks)
-    return [line for line, inside in blocks if inside or not whole], hashes
+    lines = [line for line, inside in blocks if inside or not whole]
+    if templates:
+        return lines, []
+    place = list(accumulate((inside or not whole for _, inside in blocks), initial=0))
+    return lines, [(h, place[a], place[b]) for h, a, b in subtrees]
+
+
+def _rests(html: str) -> dict[int, int]:
+    """For every subtree of a page that could be a template a hash of the main text beside it; for 0 that of all."""
+    lines, subtrees = read_page(html)
+    sums = list(accumulate((xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines), initial=0))
+    low = (1 << 63) - 1
+    return {h: (sums[-1] - sums[b] + sums[a]) & low for h, a, b in subtrees} | {0: sums[-1] & low}
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, marks = [], []
+        hosts, marks, rests = [], [], []
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             hosts.append(host_of(url))
-            marks.append(sorted({0, *read_page(html or "")[1]}))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(marks, pa.list_(pa.int64()))], names=["host", "marks"])
+            found = sorted(_rests(html or "").items())
+            marks.append([h for h, _ in found])
+            rests.append([rest for _, rest in found])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.list_(pa.int64())) for x in (marks, rests))], names=["host", "marks", "rests"])
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, mark) of the subtrees that recur on at least ``least_pages`` pages and ``least_share`` of the pages of their host."""
-    seen = pages.select(url_col, html_col).mapInArrow(_candidates, "host string, marks array<bigint>").select("host", F.explode("marks").alias("mark"))
-    counted = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    """(host, mark) of the subtrees that recur on at least ``least_pages`` pages and ``least_share`` of the pages of their host; pages with the same text beside the subtree are one."""
+    seen = pages.select(url_col, html_col).mapInArrow(_candidates, "host string, marks array<bigint>, rests array<bigint>").select("host", F.explode(F.arrays_zip("marks", "rests")).alias("x"))
+    counted = seen.select("host", F.col("x.marks").alias("mark"), F.col("x.rests").alias("rest")).distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     total = counted.where(F.col("mark") == 0).select("host", F.col("n").alias("pages"))
     return counted.where(F.col("mark") != 0).join(total, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "mark")
 
@@ -212,7 +229,7 @@ def extract_text(
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = next(_candidates(iter([batch.select([1, 2])])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found.columns], names=[*batch.schema.names[:2], "host", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found.columns[:2]], names=[*batch.schema.names[:2], "host", "marks"])
 
     def extract_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

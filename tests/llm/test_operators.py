@@ -259,6 +259,19 @@ def test_html(spark):
         assert got[20].text == got[21].text == "" and got[22].text == "T\nyes & no"
 
 
+def test_html_copies_are_no_template(spark):
+    shared = "<div class='site'>Site line</div>"
+    copied = "<html><body>{}<article><h1>T</h1><div class='post-body'><p>The story</p></div></article></body></html>"
+    rows = [(i, f"http://c.org/{i}", copied.format("")) for i in range(6)]
+    rows += [(10 + i, f"http://p.org/{i}", f"<body>{shared}<div><p>The same story</p></div></body>") for i in range(6)]
+    rows += [(20 + i, f"http://p.org/n{i}", f"<body>{shared}<div><p>Story {i}</p></div></body>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for most in (100, 0):
+        got = {r.page_id: r.text for r in html.extract_text(pages, most_sent=most).collect()}
+        assert {got[i] for i in range(6)} == {"T\nThe story"} and {got[10 + i] for i in range(6)} == {"The same story"}
+        assert [got[20 + i] for i in range(6)] == [f"Story {i}" for i in range(6)]
+
+
 def test_urls(spark):
     cases = [None, "x", "http://A.Example.org/en/12?q#f", "https://example.org/es/x", "http://b.com/de/", "ftp://b.com/fr/1", "http://org", "http://notorg/", "http://example.org:80/es/"]
     got = {r.page_id: tuple(r)[1:] for r in urls.judge_urls(spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")).collect()}
