@@ -38,6 +38,13 @@ MARKS = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup popular promo promoted promotion "
     "recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+# A name of several words is marked by its first or last one, unless it has one of these or begins with one of those.
+STATES = frozenset("no not with without has have open closed enabled disabled".split())
+PARTS = frozenset("content category tag type format status layout template".split())
+#: What a header is of, if it holds a title.
+TITLED = frozenset("article entry post story content section".split())
+#: Marks of places that hold articles of their own, such as comments and teasers.
+LISTS = frozenset("comment comments commentlist discussion disqus popular promo promoted recommended related replies reply respond sidebar sponsored widget widgets".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,7 +65,18 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _boilerplate(tag: str, markup: str, inside: bool) -> bool:
+def _marks(name: str, inside: bool) -> frozenset[str]:
+    """The marks of a class or id."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    if not words or len(words) > 1 and (words[0] in PARTS or not STATES.isdisjoint(words)):
+        return frozenset()
+    if "header" in words and (inside or not TITLED.isdisjoint(words)):
+        words = [w for w in words if w != "header"]
+    return MARKS.intersection(words[:1] + words[-1:])
+
+
+def _boilerplate(tag: str, markup: str, inside: bool, sheltered: bool = False) -> bool:
+    """Whether an element is boilerplate; a sheltered one holds the main text, so that only the marks of lists count."""
     if tag in NEVER or (tag == "header" and not inside):
         return True
     if len(markup) <= len(tag) + 2:
@@ -67,13 +85,18 @@ def _boilerplate(tag: str, markup: str, inside: bool) -> bool:
         value, name = "".join(values).lower(), name.lower()
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "main") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id") and tag not in ("body", "html", "main") and (tag != "article" or inside):
+            marks = frozenset().union(*(_marks(x, inside) for x in value.split()))
+            if marks & LISTS if sheltered else marks:
+                return True
     return False
 
 
-def read_page(html: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """The blocks of main text, and without ``templates`` the subtrees with text that could be one: hash, first block, block behind the last."""
+def read_page(html: str, templates: frozenset[int] | set[int] = frozenset(), shelter: frozenset[int] | None = None) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The blocks of main text, and without ``templates`` the subtrees with text that could be one: hash, first block, block behind the last.
+
+    ``shelter`` has where the elements begin that hold the first article or main; without it they are found, if one of them is marked.
+    """
     blocks: list[tuple[str, bool]] = []
     subtrees: list[tuple[int, int, int]] = []
     text: list[str] = []
@@ -144,7 +167,11 @@ def read_page(html: str, templates: frozenset[int] | set[int] = frozenset()) ->
                             close(m.start())
                         break
         _, _, _, dropped, inside, _ = stack[-1]
-        dropped = dropped or _boilerplate(tag, markup, inside)
+        if tag in ("article", "main") and shelter is None:
+            if dropped:
+                return read_page(html, templates, frozenset(x[1] for x in stack[1:]))
+            shelter = frozenset()
+        dropped = dropped or _boilerplate(tag, markup, inside, m.start() in (shelter or ()))
         inside = inside or (tag in ("article", "main") and not dropped)
         # Running text inside an article is its own, however often it is copied; only marked containers there can be a template.
         plain = tag not in BLOCK or tag in ("html", "body", "article", "main") or inside and (tag not in ("div", "section", "ul", "ol", "table", "header") or "=" not in markup)

@@ -272,6 +272,23 @@ def test_html_copies_are_no_template(spark):
         assert [got[20 + i] for i in range(6)] == [f"Story {i}" for i in range(6)]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><header class='entry-header'><h1>T</h1></header><p>x</p></article>", ["T", "x"]),
+        ("<article><div class='article-header'><h1>T</h1></div><p>x</p></article>", ["T", "x"]),
+        ("<article class='post comments-open category-search'><p>x</p></article>", ["x"]),
+        ("<div class='content-with-sidebar'><p>x</p></div><div class='no-sidebar'><p>y</p></div>", ["x", "y"]),
+        ("<div class='banner-page'><article><p>x</p></article></div>", ["x"]),
+        ("<div class='site-header'>h</div><div class='ad-slot'>a</div><div id='sidebar1'>s</div><div class='a cookie-banner'>c</div><p>x</p>", ["x"]),
+        ("<div class='comments'><article><p>c</p></article></div><p>x</p>", ["x"]),
+        ("<article><p>x</p><article class='comment'><p>c</p></article><div class='post-comments'>d</div></article>", ["x"]),
+    ],
+)
+def test_html_marks(page, want):
+    assert html.read_page(f"<body>{page}</body>")[0] == want
+
+
 def test_urls(spark):
     cases = [None, "x", "http://A.Example.org/en/12?q#f", "https://example.org/es/x", "http://b.com/de/", "ftp://b.com/fr/1", "http://org", "http://notorg/", "http://example.org:80/es/"]
     got = {r.page_id: tuple(r)[1:] for r in urls.judge_urls(spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")).collect()}
