@@ -6,7 +6,9 @@ of that token. Only DataFrame operations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Numbers of 64 bits in a sketch: bit i is the parity of the set's tokens whose hash falls on it.
@@ -43,24 +45,33 @@ def spanning_entries(lists: DataFrame, component: DataFrame) -> DataFrame:
     return placed.join(open_lists, "token")
 
 
-def pairs_across(spanning: DataFrame, percent: int) -> DataFrame:
+def sketches_close(percent: int) -> Callable[[str, str], Column]:
+    """Whether two bit sketches, whose columns end in _x and _y as those of the sizes do, allow the similarity."""
+
+    def close(x: str, y: str) -> Column:
+        differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH)), F.lit(0))
+        return (100 + percent) * differ <= (100 - percent) * (F.col("size_x") + F.col("size_y"))
+
+    return close
+
+
+def pairs_across(spanning: DataFrame, percent: int, carried: str, close: Callable[[str, str], Column]) -> DataFrame:
     """Pairs of nodes in different components that share as many prefix tokens as the less demanding of them requires.
 
     Sets of sizes n >= m with enough in common share at least percent (n + m) / (100 + percent) tokens. So the smaller
     one needs only the prefix that this leaves it beside an equal partner, and a shared token counts only
     where enough can come with it: before it those of its set's entries that other components hold too, behind it all.
+    ``close`` of the two nodes' columns ``carried`` leaves out pairs before they are counted.
     """
     spanning = spanning.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1)
     index = F.col("place") < F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + F.col("matches")
-    column = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "matches", "place", "before", "sketch", "component")]
+    column = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "matches", "place", "before", carried, "component")]
     x, y = spanning.select("token", *column("x")), spanning.where(index).select("token", *column("y"))
     order = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("node_x") > F.col("node_y")))
     sizes = 100 * F.col("size_y") >= percent * F.col("size_x")
     reach = F.least("before_x", "before_y") + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
     enough = (100 + percent) * reach >= percent * (F.col("size_x") + F.col("size_y"))
-    differ = sum((F.bit_count(F.col("sketch_x")[i].bitwiseXOR(F.col("sketch_y")[i])) for i in range(SKETCH)), F.lit(0))
-    close = (100 + percent) * differ <= (100 - percent) * (F.col("size_x") + F.col("size_y"))
-    met = x.join(y, "token").where(order & sizes & enough & close & (F.col("component_x") != F.col("component_y")))
+    met = x.join(y, "token").where(order & sizes & enough & close(f"{carried}_x", f"{carried}_y") & (F.col("component_x") != F.col("component_y")))
     grouped = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(
         F.count(F.lit(1)).alias("c"), F.first(F.least("matches_x", "matches_y")).alias("needed"),
         F.least(F.max(F.col("size_x") - F.col("place_x")), F.max(F.col("size_y") - F.col("place_y"))).alias("most"), F.first(F.col("size_x") + F.col("size_y")).alias("both"),

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .candidates import SKETCH, meet_hubs, pairs_across, spanning_entries
+from .candidates import SKETCH, meet_hubs, pairs_across, sketches_close, spanning_entries
 from .components import components
-from .storage import checkpoint, stage
+from .storage import stage
 from .textnum import LOWER, U, mix, ngrams, span_hashes, text_slices, words
 
 WORDS, PERCENT = 4, 85
@@ -186,7 +186,7 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose texts are similar. A bit filter of bounded size keeps most other documents' texts out of the shuffle."""
-        pairs = checkpoint(self.near(pairs))
+        pairs = stage(self.near(pairs))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.sketches.select("node", "rep"), "node")
         bit = F.pmod(F.xxhash64(F.col("rep")), F.lit(1 << FILTER_BITS))
         set_bits = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
@@ -205,7 +205,7 @@ class _Join:
         texts = rows.select(bit.alias("bit"), "text").mapInArrow(texts_of, "node bigint, text string")
         one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-        return checkpoint(both.mapInArrow(_similar(self.k, self.percent), "a bigint, b bigint").distinct())
+        return stage(both.mapInArrow(_similar(self.k, self.percent), "a bigint, b bigint").distinct())
 
 
 def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -233,7 +233,7 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     spanning = stage(spanning_entries(lists, components(links)))
     folded = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.aggregate(F.slice("sketch", i * (SKETCH_WORDS // SKETCH) + 1, SKETCH_WORDS // SKETCH), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b)))
-    pairs = pairs_across(spanning.join(join.sketches.select("node", folded.alias("sketch")), "node"), percent)
+    pairs = pairs_across(spanning.join(join.sketches.select("node", folded.alias("sketch")), "node"), percent, "sketch", sketches_close(percent))
     links = links.union(join.verified(pairs))
 
     placed = join.sketches.select("node", "rep").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import checkpoint
+from .storage import stage
 from .textnum import LEADS, LOWER, NOT_SPACE, U, counts_by, covered, mix, ngrams, owners, repeated, span_hashes, text_slices, words
 
 # Languages with a reference of their own, and their common words.
@@ -116,7 +116,7 @@ def quality(
     for each of at most five languages, which bounds what is broadcast.
     """
     group = F.when(F.col("__lang").isin(*LANGUAGES), F.col("__lang")).otherwise(F.lit("other"))
-    found = checkpoint(measures(documents, id_col, text_col, lang_col).withColumn("__lang", group))
+    found = stage(measures(documents, id_col, text_col, lang_col).withColumn("__lang", group))
     sums = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
     reference = found.groupBy("__lang").agg(sums("chars", CLASSES).alias("all_chars"), sums("common", len(COMMON_WORDS) + 1).alias("all_common"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

@@ -9,32 +9,49 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one that goes at exit."""
+    """The folder in spark.checkpoint.dir; a local session, as in tests, may leave it unset and gets a temporary one that goes at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="eventide-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint(): the rows lie in the shared folder, so losing an executor loses none of them."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
+def stage(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, so losing an executor loses none of them.
 
-def stage(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: columns can be pruned and it is compressed. The table goes when the program ends."""
+    Columns can be pruned and it is compressed. The shuffle files behind it go as
+    soon as it is written, and so do the staged tables ``spent``, which nothing
+    reads any more. The table itself goes when the program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    release(*spent)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for table in tables:
+        path = table.__dict__.pop("_staged_at", None)
+        if path is not None:
+            _remove(table.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

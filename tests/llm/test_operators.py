@@ -77,6 +77,11 @@ def test_prefixes_hold_similar_pairs():
         assert len(np.intersect1d(token[doc == 0], token[doc == 1])) >= matches.min()
 
 
+def _shingles(line, k=7):
+    """Every run of k characters; a shorter line is its only one."""
+    return {line[i : i + k] for i in range(len(line) - k + 1)} or {line}
+
+
 def test_line_classes(spark):
     texts = _texts(2)
     occurrences = collections.defaultdict(list)
@@ -85,7 +90,7 @@ def test_line_classes(spark):
             if re.search(r"[^\x20\x09-\x0D]", line):
                 occurrences[line].append((i, p))
     lines = list(occurrences)
-    sets = [{m[1] for m in re.finditer(r"(?=(.{1,12}))[^ ]*+ *+", x, re.S)} for x in lines]
+    sets = [_shingles(x) for x in lines]
     links = [(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     roots = _components(len(lines), links)
     first = {}
@@ -109,14 +114,78 @@ def test_line_shingles_at_every_offset(spark):
         # Copies that lack a blank, end in one word more or differ in one long word.
         lines += [line, line.replace(" ", "", 1).replace(" ", "", 1), line + " " + rng.choice(words), line.replace(line.split(" ")[9], "x" * 14), line.replace(" ", "")]
     lines = list(dict.fromkeys(lines))
-    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in lines]
+    sets = [_shingles(x) for x in lines]
     roots = _components(len(lines), [(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
     got = {r.id: r.class_id for r in line_dedup.line_classes(_docs(spark, lines)).collect()}
     assert all(roots[c] == roots[i] for i, c in got.items())  # nothing merges that the definition keeps apart
     assert sum(got[i] != roots[i] for i in range(len(lines))) <= 0.02 * len(lines)
     text = "a\U0001f600bc defghijklmnop"
     n = spark.createDataFrame([(text,), ("abc",)], "line string").select(line_dedup.hashes(F.col("line"))).collect()
-    assert [len(r[0]) for r in n] == [len(text) - 11, 1]
+    assert [len(r[0]) for r in n] == [len(text) - 6, 1]
+
+
+def test_lines_that_only_begin_alike_stay(spark):
+    pairs = [
+        ("https://example.com/articles/2019/abc", "https://example.com/about/contact-us-now"),
+        ("name_of_the_row_1\t2019-01-01\tred\t17.5\tyes", "name_of_the_row_1\t2024-11-30\tblue\t3\tno, later"),
+        ("我们今天在北京开会讨论新的计划，大家都同意了。", "我们今天在北京开会之后就去吃饭了，然后回家睡觉。"),
+        ("a" * 30 + " " + "b" * 30, "a" * 30 + " " + "c" * 30),
+    ]
+    texts = [t for pair in pairs for t in pair]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(_docs(spark, texts)).collect()} == dict(enumerate(texts))
+
+
+def test_lines_with_a_typo_or_other_blanks_are_one(spark):
+    words = "several ordinary words of middling length make up this particular line about nothing much".split()
+    line = " ".join(words)
+    texts = [line, line.replace("particular", "particulxr"), line.replace("middling length", "middlinglength"), line + "!", "多" + "我们今天在北京开会讨论新的计划，大家都同意了，" * 2, "我们今天在北京开会讨论新的计划，大家都同意了，" * 2 + "好", None, "\n\n", ""]
+    got = {r.id: r.class_id for r in line_dedup.line_classes(_docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4}
+    assert set({r.doc_id: r.text for r in line_dedup.dedup_lines(_docs(spark, texts)).collect()}) == {0, 4, 6, 7, 8}
+
+
+def test_line_recall_at_the_threshold(spark):
+    """Pairs of a similarity of 0.80 to 0.83, one by one, so that no third line ties them together."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n))
+    lines = []
+    while len(lines) < 600:
+        a = text(rng.randrange(60, 400))
+        b = a
+        for _ in range(60):
+            x, y = _shingles(a), _shingles(b)
+            if len(x & y) / len(x | y) < 0.83:
+                break
+            at = rng.randrange(len(b))
+            b = b[:at] + rng.choice("0123456789") + b[at + 1 :]
+        if a != b and 100 * len(x & y) >= 80 * len(x | y):
+            lines += [a, b]
+    got = {r.id: r.class_id for r in line_dedup.line_classes(_docs(spark, lines)).collect()}
+    found = sum(got[i + 1] == i for i in range(0, len(lines), 2))
+    assert found >= 0.98 * len(lines) / 2 and all(c in (i, i - 1) for i, c in got.items())
+
+
+def test_line_groups_of_many_kinds(spark):
+    """Copies, a large group of near copies, a very common line, and lines with much in common that are not similar."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    base, start = [word() for _ in range(40)], " ".join(word() for _ in range(12))
+    lines = [" ".join(base)] * 30 + ["the very same line"] * 60
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = word()
+        lines.append(" ".join(w))
+    lines += [start + " " + " ".join(word() for _ in range(rng.randrange(6, 12))) for _ in range(60)]
+    rng.shuffle(lines)
+    kinds = list(dict.fromkeys(lines))
+    sets = [_shingles(x) for x in kinds]
+    roots = _components(len(kinds), [(i, j) for j in range(len(kinds)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    first = {}
+    for i, line in enumerate(lines):
+        first.setdefault(roots[kinds.index(line)], i)
+    got = {r.id: r.class_id for r in line_dedup.line_classes(_docs(spark, lines)).collect()}
+    assert got == {i: first[roots[kinds.index(line)]] for i, line in enumerate(lines)}
 
 
 @pytest.mark.parametrize("seed", [0, 4])
