@@ -119,9 +119,9 @@ def test_line_shingles_at_every_offset(spark):
     got = {r.id: r.class_id for r in line_dedup.line_classes(_docs(spark, lines)).collect()}
     assert all(roots[c] == roots[i] for i, c in got.items())  # nothing merges that the definition keeps apart
     assert sum(got[i] != roots[i] for i in range(len(lines))) <= 0.02 * len(lines)
-    text = "a\U0001f600bc defghijklmnop"
-    n = spark.createDataFrame([(text,), ("abc",)], "line string").select(line_dedup.hashes(F.col("line"))).collect()
-    assert [len(r[0]) for r in n] == [len(text) - 6, 1]
+    for line in ("a\U0001f600bc défghijklmnop", "abc", "ééé", "1234567", "aaaaaaaaaaaa"):
+        data = np.frombuffer(line.encode(), np.uint8)
+        assert len(line_dedup.shingle_sets(data, np.array([0, len(data)]), 7)[0]) == len(_shingles(line))
 
 
 def test_lines_that_only_begin_alike_stay(spark):
@@ -188,8 +188,9 @@ def test_line_groups_of_many_kinds(spark):
     assert got == {i: first[roots[kinds.index(line)]] for i, line in enumerate(lines)}
 
 
-@pytest.mark.parametrize("seed", [0, 4])
-def test_remove_repeats(spark, seed):
+@pytest.mark.parametrize(("seed", "options"), [(0, {}), (4, {}), (0, {"piece": 64, "most_held": 50}), (4, {"piece": 100, "most_held": 9})])
+def test_remove_repeats(spark, seed, options):
+    """The last two cut the longer texts into pieces and send records a few at a time."""
     rng = random.Random(seed)
     base = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(10, 60))) for _ in range(6)]
     texts = [None, "", "ab" * 60, "ab" * 40, base[0], base[0]]
@@ -208,7 +209,7 @@ def test_remove_repeats(spark, seed):
                 gone[k : k + 50] = b"\1" * 50
         rest = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(rest).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(_docs(spark, texts).repartition(3)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(_docs(spark, texts).repartition(3), **options).collect()}
     assert got == want
 
 
