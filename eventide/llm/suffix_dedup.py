@@ -30,10 +30,14 @@ FILTER_BITS = 24
 #: Parts per shuffle partition that the anchors are dealt to.
 PARTS = 4
 #: Contexts that are compared at a time; one anchor's stay together.
-BATCH = 8192
+BATCH = 4096
+#: Bytes that anchors are taken from at a time, and what is seen before and behind such a piece of a longer text.
+SLICE, MARGIN = 1 << 19, 256
+#: Records that are held before equal ones fall together and the rest is sent.
+HELD = 1 << 18
 _RECORD = np.dtype([("anchor", "<u8"), ("check", "<u8"), ("start", "<i4"), ("before", "u1"), ("more", "u1")])
 #: Bytes that are sent of each number. Anchors are also told apart by their part; those that still fall together are compared byte by byte.
-_SENT = {"id": 8, "anchor": 5, "check": 6, "start": 4, "before": 1, "more": 1}
+_SENT = {"id": 8, "anchor": 5, "check": 8, "start": 4, "before": 1, "more": 1}
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -104,31 +108,75 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return doc, out
 
 
-def _emit(parts: int, length: int, gram: int):
-    """(id, text) to one row per part and slice: part, ids, records."""
-    zero, shift = 0, {"anchor": U(24), "check": U(16)}
+def _records(column: pa.Array, length: int, gram: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The row and the record of every anchor of a column of texts, a bounded number of bytes at a time whatever a text's length."""
+    for row, _, data, off in text_slices(column, piece):
+        if len(data) <= 2 * piece:
+            doc, found = anchors(data, off, length, gram)
+            yield row + doc, found
+            continue
+        margin = max(MARGIN, 4 * length)  # more than the context of an anchor reaches
+        for low in range(0, len(data), piece):
+            first, last = max(0, low - margin), min(len(data), low + piece + margin)
+            _, found = anchors(data[first:last], np.array([0, last - first]), length, gram)
+            place = found["start"] + found["before"] + first
+            found = found[(low <= place) & (place < low + piece)]
+            found["start"] += first
+            yield np.full(len(found), row), found
+
+
+def _fold(ids: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the records that puts equal contexts side by side, and which of them a smaller id has as well."""
+    key = found["anchor"] ^ mix(found["check"])
+    order = np.argsort(key, kind="stable")
+    anchor, check, who = found["anchor"][order], found["check"][order], ids[order]
+    same = _starts(anchor, check)
+    return order, who > np.repeat(np.minimum.reduceat(who, same), np.diff(np.append(same, len(who))))
+
+
+def _emit(parts: int, length: int, gram: int, piece: int, most_held: int):
+    """(id, text) to one row per part and piece: part, ids, records; where anchor is null, what is removed already: ids, starts, stops.
+
+    Of equal contexts that come together here only those of the smallest id are
+    sent on, so one that very many documents have travels once for each piece.
+    """
+    names = ["part", "id", *_RECORD.names, "stop"]
+
+    def rows_of(ids: np.ndarray, found: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
+        order, later = _fold(ids, found)
+        gone, rest = order[later], order[~later]
+        columns = {n: [] for n in names}
+        if len(gone):
+            start = found["start"][gone].astype(np.int64)
+            stop = start + found["more"][gone] + length
+            row = {"part": turn % parts, "id": _planes(ids[gone], 8), "start": _planes(start, 4), "stop": _planes(stop, 4)}
+            for n in names:
+                columns[n].append(row.get(n))
+        part = (found["anchor"][rest] >> U(8)) % U(parts)
+        by = np.argsort(part, kind="stable")
+        cut, rest = np.searchsorted(part[by], np.arange(parts + 1).astype(U)), rest[by]
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            k = rest[cut[p] : cut[p + 1]]
+            columns["part"].append(p)
+            columns["id"].append(_planes(ids[k], 8))
+            columns["stop"].append(None)
+            for f in _RECORD.names:
+                columns[f].append(_planes(found[f][k] >> U(24) if f == "anchor" else found[f][k], _SENT[f]))
+        yield pa.RecordBatch.from_arrays([pa.array(columns["part"], pa.int32()), *(pa.array(columns[n], pa.binary()) for n in names[1:])], names=names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = turn = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            for row, _, data, off in text_slices(batch.column(1)):
-                doc, found = anchors(data, off, length, gram)
-                if not len(doc):
-                    continue
-                part = (found["anchor"] >> U(8)) % U(parts)
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(parts + 1).astype(U))
-                full = np.flatnonzero(np.diff(cut))
-                who = ids[row + doc[order]]
-                found = found[order]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full.astype(np.int32)),
-                        pa.array([_planes(who[cut[p] : cut[p + 1]], 8) for p in full], pa.binary()),
-                        *(pa.array([_planes(found[f][cut[p] : cut[p + 1]] >> shift.get(f, zero), _SENT[f]) for p in full], pa.binary()) for f in _RECORD.names),
-                    ],
-                    names=["part", "id", *_RECORD.names],
-                )
+            for row, found in _records(batch.column(1), length, gram, piece):
+                held.append((ids[row], found))
+                count += len(found)
+                if count >= most_held:
+                    yield from rows_of(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), turn)
+                    held, count, turn = [], 0, turn + 1
+        if count:
+            yield from rows_of(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), turn)
 
     return emit
 
@@ -145,8 +193,16 @@ def _resolve(length: int):
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list[bytes]]] = {}
         for batch in batches:
-            for part, *blobs in zip(*(batch.column(i).to_pylist() for i in range(len(_RECORD.names) + 2)), strict=True):
-                held.setdefault(part, []).append(blobs)
+            for part, ids, *blobs, stop in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if stop is None:
+                    held.setdefault(part, []).append([ids, *blobs])
+                    continue
+                start = blobs[_RECORD.names.index("start")]
+                columns = [_from_planes([x], size) for x, size in ((ids, 8), (start, 4), (stop, 4))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0].view("<i8")), *(pa.array(x.astype(np.int32)) for x in columns[1:]), pa.nulls(len(columns[0]), pa.int64()), pa.nulls(len(columns[0]), pa.int32())],
+                    names=["id", "start", "stop", "anchor", "before"],
+                )
         for part in list(held):
             rows = held.pop(part)
             f = {name: _from_planes([r[k] for r in rows], size) for k, (name, size) in enumerate(_SENT.items())}
@@ -391,7 +447,7 @@ def _screened(rows: DataFrame, mask: object, bit: object, kind: str, wanted: boo
     return rows.select(bit.alias("bit"), "id", "text").mapInArrow(screen, f"id {kind}, text string")
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_kept: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_kept: bool = False, piece: int = SLICE, most_held: int = HELD) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_kept`` also the bytes that stay.
 
     Each byte covered by a string of ``length`` bytes that also starts in a
@@ -400,13 +456,13 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     at the same place, and each is returned; texts under one id count as that id's.
     Null texts are empty; with a null id nothing is removed. Other columns are
     ignored. Equality of whole contexts of
-    one anchor is taken from 48-bit hashes.
+    one anchor is taken from 64-bit hashes.
     """
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    records = named.mapInArrow(_emit(n * PARTS, length, gram), "part int, " + ", ".join(f"{f} binary" for f in _SENT))
+    records = named.mapInArrow(_emit(n * PARTS, length, gram, piece, most_held), "part int, " + ", ".join(f"{f} binary" for f in [*_SENT, "stop"]))
     found = stage(records.repartition(n, "part").mapInArrow(_resolve(length), "id bigint, start int, stop int, anchor bigint, before int"))
     removed = found.where(F.col("anchor").isNull()).select("id", "start", "stop")
 
