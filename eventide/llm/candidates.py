@@ -45,12 +45,12 @@ def spanning_entries(lists: DataFrame, component: DataFrame) -> DataFrame:
     return placed.join(open_lists, "token")
 
 
-def sketches_close(percent: int) -> Callable[[str, str], Column]:
-    """Whether two bit sketches, whose columns end in _x and _y as those of the sizes do, allow the similarity."""
+def sketches_close(percent: int, numbers: int = SKETCH) -> Callable[[str, str], Column]:
+    """Whether two bit sketches allow the similarity; their columns end in the same letters as those of the sizes."""
 
     def close(x: str, y: str) -> Column:
-        differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH)), F.lit(0))
-        return (100 + percent) * differ <= (100 - percent) * (F.col("size_x") + F.col("size_y"))
+        differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(numbers)), F.lit(0))
+        return (100 + percent) * differ <= (100 - percent) * (F.col(f"size_{x[-1]}") + F.col(f"size_{y[-1]}"))
 
     return close
 

@@ -32,7 +32,7 @@ PARTS = 4
 #: Contexts that are compared at a time; one anchor's stay together.
 BATCH = 4096
 #: Bytes that anchors are taken from at a time, and what is seen before and behind such a piece of a longer text.
-SLICE, MARGIN = 1 << 19, 256
+SLICE, MARGIN = 1 << 18, 256
 #: Records that are held before equal ones fall together and the rest is sent.
 HELD = 1 << 18
 _RECORD = np.dtype([("anchor", "<u8"), ("check", "<u8"), ("start", "<i4"), ("before", "u1"), ("more", "u1")])

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18  # what is made of a slice then stays in a core's cache
 _BASE = 0xD6E8FEB86659FD93
 _INV = pow(_BASE, -1, 1 << 64)
 _tables: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
