@@ -5,19 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_ROUNDS = 60
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Rows in the shared checkpoint folder, with the lineage cut."""
+    """Rows in the shared checkpoint folder, with the lineage cut. Only a local session may leave the folder unset."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventide-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="eventide-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -43,17 +48,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
 
 
-def fifo_cooccurrence(events: DataFrame, limit: int) -> DataFrame:
-    """(a, b, t): each destination new to its source's history with those in it, at the later insertion, in both directions.
+def insertions(events: DataFrame, limit: int) -> DataFrame:
+    """(src, dst, t, k): the destinations as they enter the history of their source, numbered from 0.
 
     The history holds the last ``limit`` inserted destinations, first in first out:
     seeing one again while it is held changes nothing; once expired it may be
-    inserted and paired anew. The insertions of a source are found in its own
-    order; the pairs are then a self-join on insertion numbers at most ``limit``
-    apart.
+    inserted anew. A source that meets no more than ``limit`` destinations inserts
+    each at its first event; only the others are walked through in their order.
     """
 
-    def insertions(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         held: dict[int, None] = {}
         rows = []
         for d, t in pdf.sort_values(["t", "seq"])[["dst", "t"]].itertuples(index=False):
@@ -65,10 +69,31 @@ def fifo_cooccurrence(events: DataFrame, limit: int) -> DataFrame:
                 del held[next(iter(held))]
         return pd.DataFrame(rows, columns=["dst", "t", "k"]).assign(src=pdf["src"].iloc[0])[["src", "dst", "t", "k"]]
 
-    put = events.groupBy("src").applyInPandas(insertions, "src bigint, dst bigint, t bigint, k bigint")
-    x, y = (put.select("src", F.col("dst").alias(f"d{s}"), F.col("t").alias(f"t{s}"), F.col("k").alias(f"k{s}")) for s in "xy")
-    one = x.join(y, "src").where((F.col("ky") - F.col("kx")).between(1, limit) & (F.col("dx") != F.col("dy")))
-    return one.select(F.col("dx").alias("a"), F.col("dy").alias("b"), F.col("ty").alias("t")).union(one.select("dy", "dx", "ty"))
+    first = events.groupBy("src", "dst").agg(F.min(F.struct("t", "seq")).alias("f"))
+    own = Window.partitionBy("src")
+    numbered = first.select("src", "dst", F.col("f.t").alias("t"), (F.row_number().over(own.orderBy("f.t", "f.seq")) - 1).cast("bigint").alias("k"), F.count(F.lit(1)).over(own).alias("n"))
+    wide = first.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("src")
+    walked = events.select("src", "dst", "t", "seq").join(wide, "src", "left_semi").groupBy("src").applyInPandas(walk, "src bigint, dst bigint, t bigint, k bigint")
+    return numbered.where(F.col("n") <= limit).drop("n").union(walked)
+
+
+def paired(put: DataFrame, limit: int) -> DataFrame:
+    """(a, b, t): each insertion with the ``limit`` of its source before it, at its own time, both ways.
+
+    Insertions meet by the stretch of ``limit`` numbers that they or their
+    successors lie in, so a source's rows are joined stretch by stretch.
+    """
+    stretch = F.floor(F.col("k") / limit)
+    x = put.select("src", F.col("dst").alias("x"), F.col("k").alias("kx"), F.explode(F.array(stretch, stretch + 1)).alias("h"))
+    y = put.select("src", F.col("dst").alias("y"), F.col("k").alias("ky"), "t", stretch.alias("h"))
+    one = x.join(y, ["src", "h"]).where((F.col("ky") - F.col("kx")).between(1, limit) & (F.col("x") != F.col("y")))
+    ways = F.array(*[F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p, q in ("xy", "yx")])
+    return one.select(F.explode(ways).alias("p"), "t").select("p.a", "p.b", "t")
+
+
+def fifo_cooccurrence(events: DataFrame, limit: int) -> DataFrame:
+    """(a, b, t): each destination new to its source's history with those in it, at the later insertion, in both directions."""
+    return paired(insertions(events, limit), limit)
 
 
 def interest_centres(history: DataFrame, key: str = "src", vector: str = "embedding", order: str = "t", centres: int = 2, rounds: int = 10) -> DataFrame:

@@ -121,13 +121,21 @@ d AS (SELECT v.vec_id, c.label, sum(v.x * c.c) AS dot FROM v JOIN c USING (i) GR
 k AS (SELECT vec_id, cos, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC) AS k, max(cos) OVER (PARTITION BY vec_id) AS best FROM s)
 SELECT vec_id, round(max(best), 6) AS best, round(max(CASE WHEN k = 2 THEN cos END), 6) AS second, count(CASE WHEN cos >= 0.5 * best THEN 1 END) AS coverage FROM k GROUP BY vec_id"""
 
+_FIFO = """WITH RECURSIVE w AS (SELECT src, k, dst, TRUE AS put, [dst] AS held FROM {num} WHERE k = 1
+  UNION ALL SELECT n.src, n.k, n.dst, NOT list_contains(w.held, n.dst), CASE WHEN list_contains(w.held, n.dst) THEN w.held ELSE list_append(w.held, n.dst)[-16:] END FROM w JOIN {num} n ON n.src = w.src AND n.k = w.k + 1),
+p AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY k) AS i FROM w WHERE put), one AS (SELECT x.dst AS a, y.dst AS b FROM p x JOIN p y ON x.src = y.src AND y.i - x.i BETWEEN 1 AND 16 AND x.dst <> y.dst)
+SELECT a, b, count(*) AS n FROM (SELECT a, b FROM one UNION ALL SELECT b, a FROM one) x GROUP BY a, b"""
+
+_SPREAD = """WITH RECURSIVE p AS (SELECT qid, r AS s, row_number() OVER (PARTITION BY qid ORDER BY r DESC, u DESC, c, pos) AS place FROM {sc}),
+w AS (SELECT qid, place, s FROM p WHERE place = 1 UNION ALL SELECT p.qid, p.place, least(p.s, nextafter(w.s, '-infinity'::DOUBLE)) FROM w JOIN p ON p.qid = w.qid AND p.place = w.place + 1) SELECT qid, place, s FROM w"""
+
 QUERIES = {
     "stats_features": S("C1 C2 C3 C4 C5 C6 C7 C8", "", _STATS, stats_features),
     "node_ids": S("A11 B11", "", "SELECT 'src' AS role, src AS raw, dense_rank() OVER (ORDER BY src) - 1 AS id FROM (SELECT DISTINCT src FROM {ix}) UNION ALL SELECT 'dst', dst, dense_rank() OVER (ORDER BY dst) - 1 FROM (SELECT DISTINCT dst FROM {ix})", node_ids),
     "n7_components": S("N7", "", _COMPONENTS, components),
-    "f5_fifo_cooccurrence": S("F5", "", None, fifo_cooccurrence),
+    "f5_fifo_cooccurrence": S("F5", "", _FIFO, fifo_cooccurrence),
     "f5_fifo_unexpired": S("F5", "", "SELECT a, b, n FROM {con}", fifo_unexpired),
-    "h18_spread_ties": S("A5 H18", "", None, spread_ties),
+    "h18_spread_ties": S("A5 H18", "", _SPREAD, spread_ties),
     "g16_interest_centres": S("G16", "", None, interest_centres),
     "g17_affinity": S("G17", "", _AFFINITY, affinity),
     "b4_chronological_sample": S("B4", "", None, sample),

@@ -8,6 +8,7 @@ here and spelled out for each.
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -25,11 +26,11 @@ SPELLINGS = (
     ("JOINED(", "array_join(", "array_to_string("),
 )
 
-#: Inputs: name, (names it uses, SQL). Tables of the driver are inputs by their own names.
-INPUTS: dict[str, tuple[str, str]] = {}
+#: Inputs: name, (SQL for Spark or a function of one other input, SQL for DuckDB). Tables of the driver are inputs by their own names.
+INPUTS: dict[str, tuple[str | Callable[[DataFrame], DataFrame], str]] = {}
 
 
-def define(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
+def define(name: str, spark_sql: str | Callable[[DataFrame], DataFrame], duck_sql: str | None = None) -> None:
     INPUTS[name] = (spark_sql, duck_sql or spark_sql)
 
 
@@ -47,8 +48,14 @@ def frame(spark: SparkSession, sf_dir: str, sql: str, held: dict[str, DataFrame]
     """The statement as a DataFrame over the tables in a folder."""
     held = {} if held is None else held
     for name in _names(sql):
-        if name not in held:
-            held[name] = frame(spark, sf_dir, INPUTS[name][0], held) if name in INPUTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name in held:
+            continue
+        made = INPUTS[name][0] if name in INPUTS else None
+        if callable(made):
+            (of,) = inspect.signature(made).parameters
+            held[name] = made(frame(spark, sf_dir, f"SELECT * FROM {{{of}}}", held))
+        else:
+            held[name] = frame(spark, sf_dir, made, held) if made else spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(_spell(sql, 0), **{n: held[n] for n in _names(sql)})
 
 

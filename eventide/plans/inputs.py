@@ -1,5 +1,7 @@
 """The canonical inputs of the registered queries."""
 
+from eventide.operators import graph
+
 from .dialect import define
 
 #: The primary interaction log; seq is the file order.
@@ -38,7 +40,28 @@ define("ex", "SELECT 1 AS expert, qid, pos, c, s FROM {sc} UNION ALL SELECT 2, q
 define("firsts", "SELECT src, dst, min(t) AS t, min(seq) AS seq, count(*) AS n, max(t) AS last_t FROM {ix} GROUP BY src, dst")
 define("num", "SELECT src, dst, t, seq, CAST(row_number() OVER (PARTITION BY src ORDER BY t, seq) AS BIGINT) AS k, CAST(count(*) OVER (PARTITION BY src) AS BIGINT) AS n FROM {ix}")
 define("steps", "SELECT src, prev, dst, t FROM (SELECT src, lag(dst) OVER (PARTITION BY src ORDER BY t, seq) AS prev, dst, t FROM {ix}) x WHERE prev IS NOT NULL")
-#: Co-occurrence: each newly met item with every one its source met before (no source meets more than the limit).
-define("co", "SELECT a.dst AS a, b.dst AS b, greatest(a.t, b.t) AS t FROM {firsts} a JOIN {firsts} b ON a.src = b.src AND a.dst <> b.dst")
+#: Destinations as they enter the bounded history of their source (first in, first out), numbered per source. No source of the driver's log meets more than the limit, so that the oracle has first events only.
+LIMIT = 128
+define("put", lambda ix: graph.insertions(ix, LIMIT), "SELECT src, dst, t, CAST(row_number() OVER (PARTITION BY src ORDER BY t, seq) - 1 AS BIGINT) AS k FROM {firsts}")
+#: Co-occurrence: each destination that enters a history with those in it, both ways.
+define("co", lambda put: graph.paired(put, LIMIT), "SELECT a.dst AS a, b.dst AS b, greatest(a.t, b.t) AS t FROM {firsts} a JOIN {firsts} b ON a.src = b.src AND a.dst <> b.dst")
 define("con", "SELECT a, b, count(*) AS n FROM {co} GROUP BY a, b")
 define("deg", "SELECT node, CAST(sum(n) AS BIGINT) AS deg FROM (SELECT src AS node, count(*) AS n FROM {ix} GROUP BY src UNION ALL SELECT dst, count(*) FROM {ix} GROUP BY dst) x GROUP BY node")
+#: Counts of different destinations at most 16 events of a source apart, both ways. Events meet by the stretch of 16 they or their successors lie in.
+define(
+    "item_pairs",
+    """SELECT a, b, sum(n) AS n FROM (SELECT a, b, count(*) AS n FROM {near} GROUP BY a, b UNION ALL SELECT b, a, count(*) FROM {near} GROUP BY b, a) x GROUP BY a, b""",
+    "SELECT a.dst AS a, b.dst AS b, count(*) AS n FROM {num} a JOIN {num} b ON a.src = b.src AND b.k - a.k BETWEEN -16 AND 16 AND b.k <> a.k AND a.dst <> b.dst GROUP BY a.dst, b.dst",
+)
+define(
+    "near",
+    """SELECT a.dst AS a, b.dst AS b FROM (SELECT src, dst, k, EACH(CAST(floor(k / 16) AS BIGINT), CAST(floor(k / 16) AS BIGINT) + 1)) AS h FROM {num}) a
+       JOIN (SELECT src, dst, k, CAST(floor(k / 16) AS BIGINT) AS h FROM {num}) b ON a.src = b.src AND a.h = b.h AND b.k - a.k BETWEEN 1 AND 16 AND a.dst <> b.dst""",
+)
+#: Whether the log's ids may bridge from a destination to a source.
+define(
+    "bridge",
+    """WITH a AS (SELECT DISTINCT src AS v FROM {ix}), b AS (SELECT DISTINCT dst AS v FROM {ix}),
+       r AS (SELECT CAST(count(*) AS DOUBLE) / greatest(least((SELECT count(*) FROM a), (SELECT count(*) FROM b)), 1) AS ratio FROM a JOIN b ON a.v = b.v)
+       SELECT ratio, CASE WHEN ratio >= 0.5 THEN 'global' WHEN ratio > 0 THEN 'both_roles' ELSE 'degree' END AS policy, CASE WHEN ratio >= 0.5 THEN 0 ELSE 2 END AS min_degree FROM r""",
+)

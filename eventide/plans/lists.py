@@ -1,6 +1,7 @@
 """List, blend, routing, metric, split, sampling and report queries (survey sections H to N)."""
 
 from .dialect import Statement as S
+from .temporal import QUERIES as TEMPORAL
 
 _RANK = "rank() OVER (PARTITION BY qid ORDER BY {0} DESC) + CAST(count(*) OVER (PARTITION BY qid, {0}) - 1 AS DOUBLE) / 2"
 
@@ -22,24 +23,38 @@ def _reciprocal(scores: str, x: str = "s", key: str = "qid") -> str:
 
 _AUC = """SELECT {key}(sum(CASE WHEN pos = 0 THEN r END) - CAST(count(CASE WHEN pos = 0 THEN 1 END) AS DOUBLE) * (count(CASE WHEN pos = 0 THEN 1 END) + 1) / 2) / (CAST(count(CASE WHEN pos = 0 THEN 1 END) AS DOUBLE) * count(CASE WHEN pos > 0 THEN 1 END)) AS auc"""
 
+_SEGMENT_INPUTS = ("c1_c8_candidate_stats", "d1_d5_candidate_prior", "e1_pair_decay")
+_SEGMENTS = """SELECT c.qid, round(avg(CASE WHEN pair_strength > 0 THEN 1e0 ELSE 0e0 END), 6) AS repeat_candidate_fraction, round(max(pair_strength), 6) AS repeat_strength_max, round(max(repeat_rate), 6) AS repeat_rate_max,
+          max(src_activity) AS source_activity, max(src_recency) AS source_recency, round(avg(CASE WHEN train_seen <= 0 THEN 1e0 ELSE 0e0 END), 6) AS target_unseen_fraction, round(avg(dst_popularity), 9) AS target_popularity_mean, round(max(dst_popularity), 6) AS target_popularity_max,
+          round(avg(test_freq), 12) AS prior_strength_mean, round(max(test_freq), 6) AS prior_strength_max, round(max(test_freq) - max(CASE WHEN k = 2 THEN test_freq END), 6) AS prior_strength_top_gap,
+          round(avg(CASE WHEN recent_hit > 0 THEN 1e0 ELSE 0e0 END), 6) AS memory_recent_hit_fraction, round(max(recent_hit), 6) AS memory_recent_hit_max, round(max(decay_short), 6) AS memory_short_max, round(max(decay_long), 6) AS memory_long_max, round(max(decay_short) - max(decay_long), 6) AS memory_short_minus_long
+        FROM ({}) c JOIN (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY test_freq DESC, pos) AS k FROM ({}) x) d ON d.qid = c.qid AND d.pos = c.pos JOIN ({}) e ON e.qid = c.qid AND e.pos = c.pos GROUP BY c.qid"""
+
+
 QUERIES = {
-    "h1_average_rank": S("H1", f"SELECT qid, pos, {_avg_rank('r')} AS avg_rank FROM {{sc}}"),
-    "h2_percentile": S("H2", f"SELECT qid, pos, round({_percentile('r')}, 9) AS percentile FROM {{sc}}"),
-    "h3_tolerant_percentile": S("H3", """WITH a AS (SELECT qid, pos, s, CASE WHEN s - lag(s) OVER (PARTITION BY qid ORDER BY s, pos) <= 0.0115 THEN 0 ELSE 1 END AS step FROM {sc}),
+    "h1_average_rank": S("H1", f"SELECT qid, pos, {_avg_rank('r')} AS avg_rank FROM {{sc}}",
+        "SELECT a.qid, a.pos, count(*) FILTER (b.r > a.r) + (count(*) FILTER (b.r = a.r) + 1) / 2 AS avg_rank FROM {sc} a JOIN {sc} b ON b.qid = a.qid GROUP BY a.qid, a.pos"),
+    "h2_percentile": S("H2", f"SELECT qid, pos, round({_percentile('r')}, 9) AS percentile FROM {{sc}}",
+        "SELECT a.qid, a.pos, round((count(*) FILTER (b.r < a.r) + (count(*) FILTER (b.r = a.r) - 1) / 2) / 19, 9) AS percentile FROM {sc} a JOIN {sc} b ON b.qid = a.qid GROUP BY a.qid, a.pos"),
+    "h3_tolerant_percentile": S("H3", """WITH a AS (SELECT qid, pos, s, CASE WHEN s - lag(s) OVER (PARTITION BY qid ORDER BY s, pos) <= 0.0015 THEN 0 ELSE 1 END AS step FROM {sc}),
         b AS (SELECT qid, pos, s, sum(step) OVER (PARTITION BY qid ORDER BY s, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM a)
         SELECT qid, pos, round((rank() OVER (PARTITION BY qid ORDER BY g) - 1 + CAST(count(*) OVER (PARTITION BY qid, g) - 1 AS DOUBLE) / 2) / 19, 9) AS percentile FROM b"""),
-    "h4_setwise_context": S("H4", "SELECT qid, pos, s, round(s - avg(s) OVER (PARTITION BY qid), 9) AS off_mean, round(s - max(s) OVER (PARTITION BY qid), 9) AS off_max FROM {sc}"),
+    "h4_setwise_context": S("H4", f"""WITH m AS (SELECT qid, PCTL(s, 0.5) AS med FROM {{sc}} GROUP BY qid), d AS (SELECT sc.qid, max(m.med) AS med, PCTL(abs(sc.s - m.med), 0.5) AS mad FROM {{sc}} sc JOIN m ON m.qid = sc.qid GROUP BY sc.qid)
+        SELECT sc.qid, sc.pos, sc.s, round(s - avg(s) OVER (PARTITION BY sc.qid), 9) AS off_mean, round(s - max(s) OVER (PARTITION BY sc.qid), 9) AS off_max, round({_percentile('s', 'sc.qid')}, 9) AS percentile, round(CASE WHEN d.mad * 1.4826 <= 1e-6 THEN 0.0 ELSE (s - d.med) / (d.mad * 1.4826) END, 6) AS z FROM {{sc}} sc JOIN d ON d.qid = sc.qid""",
+        """WITH d AS (SELECT qid, median(s) AS med, mad(s) AS mad, avg(s) AS mean, max(s) AS best, list(s) AS l FROM {sc} GROUP BY qid)
+        SELECT sc.qid, sc.pos, sc.s, round(s - mean, 9) AS off_mean, round(s - best, 9) AS off_max, round((len(list_filter(l, lambda x: x < s)) + (len(list_filter(l, lambda x: x = s)) - 1) / 2) / 19, 9) AS percentile, round(CASE WHEN d.mad * 1.4826 <= 1e-6 THEN 0 ELSE (s - med) / (d.mad * 1.4826) END, 6) AS z FROM {sc} sc JOIN d USING (qid)"""),
     "h5_robust_z": S("H5", """WITH m AS (SELECT qid, PCTL(s, 0.5) AS med FROM {sc} GROUP BY qid), d AS (SELECT sc.qid, PCTL(abs(sc.s - m.med), 0.5) AS mad FROM {sc} sc JOIN m ON m.qid = sc.qid GROUP BY sc.qid)
-        SELECT sc.qid, sc.pos, round(CASE WHEN d.mad * 1.4826 <= 1e-6 THEN 0.0 ELSE (sc.s - m.med) / (d.mad * 1.4826) END, 6) AS z FROM {sc} sc JOIN m ON m.qid = sc.qid JOIN d ON d.qid = sc.qid"""),
+        SELECT sc.qid, sc.pos, round(CASE WHEN d.mad * 1.4826 <= 1e-6 THEN 0.0 ELSE (sc.s - m.med) / (d.mad * 1.4826) END, 6) AS z FROM {sc} sc JOIN m ON m.qid = sc.qid JOIN d ON d.qid = sc.qid""",
+        "SELECT sc.qid, pos, round(CASE WHEN m * 1.4826 <= 1e-6 THEN 0 ELSE (s - med) / (m * 1.4826) END, 6) AS z FROM {sc} sc JOIN (SELECT qid, median(s) AS med, mad(s) AS m FROM {sc} GROUP BY qid) x USING (qid)"),
     "h6_min_max": S("H6", "SELECT qid, pos, round(CASE WHEN max(r) OVER w > min(r) OVER w THEN (r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) ELSE 0.0 END, 9) AS x FROM {sc} WINDOW w AS (PARTITION BY qid)"),
     "h7_softmax": S("H7", """SELECT qid, pos, round(e1 / sum(e1) OVER (PARTITION BY qid), 9) AS softmax, round(e2 / sum(e2) OVER (PARTITION BY qid), 9) AS tempered
-        FROM (SELECT qid, pos, exp(s - m) AS e1, exp((s - m) / 0.5) AS e2 FROM (SELECT qid, pos, s, max(s) OVER (PARTITION BY qid) AS m FROM {sc}) x) y"""),
+        FROM (SELECT qid, pos, exp(s - m) AS e1, exp((s - m) / 0.5) AS e2 FROM (SELECT qid, pos, s, max(s) OVER (PARTITION BY qid) AS m FROM {sc}) x) y""",
+        "SELECT qid, pos, round(exp(s) / sum(exp(s)) OVER (PARTITION BY qid), 9) AS softmax, round(exp(2 * s) / sum(exp(2 * s)) OVER (PARTITION BY qid), 9) AS tempered FROM {sc}"),
     "h8_rank_probabilities": S("H8", f"SELECT qid, pos, round(p / sum(p) OVER (PARTITION BY qid), 9) AS p FROM (SELECT qid, pos, {_percentile('r')} AS p FROM {{sc}}) x"),
     "h9_uniform_rank_average": S("H9", """SELECT qid, pos, round(CAST(a + b + c AS DOUBLE) / 3 / 19, 9) AS x FROM (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY s, pos) - 1 AS a, row_number() OVER (PARTITION BY qid ORDER BY r, pos) - 1 AS b, row_number() OVER (PARTITION BY qid ORDER BY u, pos) - 1 AS c FROM {sc}) y"""),
     "h10_expert_features": S("H10", f"""WITH f AS (SELECT expert, qid, pos, {_percentile('s', 'expert, qid')} AS pct, s - max(s) OVER (PARTITION BY expert, qid) AS margin, CASE WHEN s = max(s) OVER (PARTITION BY expert, qid) THEN 1 ELSE 0 END AS top FROM {{ex}})
         SELECT qid, pos, round(avg(pct), 6) AS pct_mean, round(stddev_pop(pct), 6) AS pct_std, round(min(margin), 6) AS margin_min, count(CASE WHEN top = 1 THEN 1 END) AS top_votes, round(max(pct) - min(pct), 6) AS pct_gap FROM f GROUP BY qid, pos"""),
-    "h11_segments": S("H11", """SELECT qid, round(avg(s), 6) AS mean_s, max(s) AS max_s, round(max(CASE WHEN k = 1 THEN s END) - max(CASE WHEN k = 2 THEN s END), 6) AS top_gap, round(avg(CASE WHEN s > 0.5 THEN 1e0 ELSE 0e0 END), 6) AS high_share
-        FROM (SELECT qid, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS k FROM {sc}) x GROUP BY qid"""),
+    "h11_segments": S("H11", _SEGMENTS.format(*(TEMPORAL[n].sql for n in _SEGMENT_INPUTS)), _SEGMENTS.format(*(TEMPORAL[n].oracle for n in _SEGMENT_INPUTS))),
     "h12_score_descriptors": S("H12", """WITH p AS (SELECT qid, pos, s / sum(s) OVER (PARTITION BY qid) AS p, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS k FROM {sc})
         SELECT qid, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END) / ln(20e0), 6) AS entropy, round(sum(CASE WHEN k <= 3 THEN p ELSE 0.0 END), 6) AS top3, round(sum(CASE WHEN k <= 5 THEN p ELSE 0.0 END), 6) AS top5, round(max(CASE WHEN k = 1 THEN p END) - max(CASE WHEN k = 2 THEN p END), 6) AS margin FROM p GROUP BY qid"""),
     "h13_top_overlap": S("H13", """WITH m AS (SELECT qid, pos, s >= max(CASE WHEN ks = 5 THEN s END) OVER (PARTITION BY qid) AS a, r >= max(CASE WHEN kr = 5 THEN r END) OVER (PARTITION BY qid) AS b
@@ -57,9 +72,8 @@ QUERIES = {
     # I: blends
     "i1_blend": S("I1", f"""WITH b AS (SELECT qid, pos, 0.6 * s + 0.4 * r AS prob, 0.6 / (60 + {_avg_rank('s')}) + 0.4 / (60 + {_avg_rank('r')}) AS rrf FROM {{sc}})
         SELECT qid, pos, round(prob / sum(prob) OVER (PARTITION BY qid), 9) AS probability, round(rrf / sum(rrf) OVER (PARTITION BY qid), 9) AS rrf FROM b"""),
-    "i2_temperature": S("I2", """WITH g AS (SELECT qid, pos, s, k, 0.05 * power(400e0, CAST(k AS DOUBLE) / 40) AS tau FROM (SELECT qid, pos, s, EACH(0, 40)) AS k FROM {sc}) x),
-        e AS (SELECT k, tau, qid, max(CASE WHEN pos = 0 THEN s END) / tau - ln(sum(exp((s - 1) / tau))) - 1 / tau AS ll FROM g GROUP BY k, tau, qid),
-        n AS (SELECT k, round(-avg(ll), 6) AS nll FROM e GROUP BY k) SELECT CAST(k AS BIGINT) AS k, nll FROM n"""),
+    "i2_temperature": S("I2", """WITH e AS (SELECT k, qid, max(tau) AS tau, (max(CASE WHEN pos = 0 THEN s END) - max(s)) / max(tau) - ln(sum(exp((s - m) / tau))) AS ll FROM (SELECT qid, pos, s, m, k, 0.05e0 * power(400e0, CAST(k AS DOUBLE) / 160) AS tau FROM (SELECT qid, pos, s, max(s) OVER (PARTITION BY qid) AS m, EACH(0, 160)) AS k FROM {sc}) x) y GROUP BY k, qid),
+        n AS (SELECT k, max(tau) AS tau, round(-avg(ll), 6) AS nll FROM e GROUP BY k) SELECT CAST(k AS BIGINT) AS k, round(tau, 6) AS tau, nll, k = (SELECT min(k) FROM n WHERE nll = (SELECT min(nll) FROM n)) AS chosen FROM n"""),
     "i3_weight_scan": S("I3 I8", f"""WITH g AS (SELECT w, qid, pos, round(w * 0.1 * s + (1 - w * 0.1) * r, 9) AS x FROM (SELECT qid, pos, s, r, EACH(0, 10)) AS w FROM {{sc}}) y)
         SELECT CAST(w AS BIGINT) AS w, round(avg(rr), 6) AS mrr FROM ({_reciprocal('g', 'x', 'w, qid')}) z GROUP BY w"""),
     "i4_prefix_selection": S("I4", f"""WITH g AS (SELECT w, qid, pos, round(w * 0.1 * s + (1 - w * 0.1) * r, 9) AS x FROM (SELECT qid, pos, s, r, EACH(0, 10)) AS w FROM {{sc}}) y),
@@ -99,19 +113,28 @@ QUERIES = {
     "j14_two_way_route": S("J14", """WITH a AS (SELECT qid, round(avg(r) - avg(s), 9) AS a, round(avg(u) - avg(s), 9) AS b FROM {sc} GROUP BY qid) SELECT qid, greatest(a, b) AS best, round(greatest(a, b) - greatest(least(a, b), 0), 9) AS confidence, greatest(a, b) > 0 AND greatest(a, b) - greatest(least(a, b), 0) >= 0.02 AS eligible FROM a"""),
     "j15_route_rewards": S("J15", f"SELECT a.qid, round(b.rr - a.rr, 6) AS reward FROM ({_reciprocal('{sc}', 's')}) a JOIN ({_reciprocal('{sc}', 'r')}) b ON b.qid = a.qid"),
     # K: metrics
-    "k1_k2_mrr": S("K1 K2", f"SELECT round(avg(CAST(1 AS DOUBLE) / low), 6) AS optimistic, round(avg(rr), 6) AS tie_neutral FROM ({_reciprocal('{sc}', 'r')}) x"),
+    "k1_k2_mrr": S("K1 K2", f"SELECT round(avg(CAST(1 AS DOUBLE) / low), 6) AS optimistic, round(avg(rr), 6) AS tie_neutral FROM ({_reciprocal('{sc}', 'r')}) x",
+        "SELECT round(avg(1 / low), 6) AS optimistic, round(avg(1 / (low + tied / 2)), 6) AS tie_neutral FROM (SELECT p.qid, (SELECT count(*) FROM {sc} o WHERE o.qid = p.qid AND o.r > p.r) + 1 AS low, (SELECT count(*) FROM {sc} o WHERE o.qid = p.qid AND o.r = p.r AND o.pos > 0) AS tied FROM {sc} p WHERE p.pos = 0) x"),
     "k3_hits": S("K3", f"""SELECT round(avg(CASE WHEN mid <= 1 THEN 1e0 ELSE 0e0 END), 6) AS hit1, round(avg(CASE WHEN mid <= 3 THEN 1e0 ELSE 0e0 END), 6) AS hit3, round(avg(CASE WHEN mid <= 10 THEN 1e0 ELSE 0e0 END), 6) AS hit10,
-        round(avg(CASE WHEN mid <= 10 THEN ln(2e0) / ln(mid + 1) ELSE 0.0 END), 6) AS ndcg10, round(avg(mid), 6) AS mean_rank FROM ({_reciprocal('{sc}', 'r')}) x"""),
-    "k4_movements": S("K4", f"SELECT count(CASE WHEN b.rr > a.rr THEN 1 END) AS improved, count(CASE WHEN b.rr = a.rr THEN 1 END) AS unchanged, count(CASE WHEN b.rr < a.rr THEN 1 END) AS worsened FROM ({_reciprocal('{sc}', 's')}) a JOIN ({_reciprocal('{sc}', 'r')}) b ON b.qid = a.qid"),
+        round(avg(CASE WHEN mid <= 10 THEN ln(2e0) / ln(mid + 1) ELSE 0.0 END), 6) AS ndcg10, round(avg(mid), 6) AS mean_rank FROM ({_reciprocal('{sc}', 'r')}) x""",
+        "SELECT round(avg((low + tied / 2 <= 1)::INT), 6) AS hit1, round(avg((low + tied / 2 <= 3)::INT), 6) AS hit3, round(avg((low + tied / 2 <= 10)::INT), 6) AS hit10, round(avg(CASE WHEN low + tied / 2 <= 10 THEN 1 / log2(low + tied / 2 + 1) ELSE 0 END), 6) AS ndcg10, round(avg(low + tied / 2), 6) AS mean_rank FROM (SELECT p.qid, (SELECT count(*) FROM {sc} o WHERE o.qid = p.qid AND o.r > p.r) + 1 AS low, (SELECT count(*) FROM {sc} o WHERE o.qid = p.qid AND o.r = p.r AND o.pos > 0) AS tied FROM {sc} p WHERE p.pos = 0) x"),
+    "k4_movements": S("K4", f"SELECT count(CASE WHEN b.rr > a.rr THEN 1 END) AS improved, count(CASE WHEN b.rr = a.rr THEN 1 END) AS unchanged, count(CASE WHEN b.rr < a.rr THEN 1 END) AS worsened FROM ({_reciprocal('{sc}', 's')}) a JOIN ({_reciprocal('{sc}', 'r')}) b ON b.qid = a.qid",
+        """WITH x AS (SELECT p.qid, (SELECT sum((o.s > p.s)::INT + (o.s = p.s)::INT / 2) FROM {sc} o WHERE o.qid = p.qid) AS a, (SELECT sum((o.r > p.r)::INT + (o.r = p.r)::INT / 2) FROM {sc} o WHERE o.qid = p.qid) AS b FROM {sc} p WHERE p.pos = 0)
+        SELECT count(*) FILTER (b < a) AS improved, count(*) FILTER (b = a) AS unchanged, count(*) FILTER (b > a) AS worsened FROM x"""),
     "k5_slices": S("K5", f"SELECT CAST(third AS BIGINT) AS third, count(*) AS n, round(avg(rr), 6) AS mrr FROM (SELECT rr, ntile(3) OVER (ORDER BY qid) AS third FROM ({_reciprocal('{sc}', 's')}) x) y GROUP BY third"),
     "k6_auc_ap": S("K6", """WITH v AS (SELECT r AS x, count(*) AS n, count(CASE WHEN pos = 0 THEN 1 END) AS p FROM {sc} GROUP BY r),
         c AS (SELECT x, n, p, sum(n) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS below, sum(n) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS taken, sum(p) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hit FROM v), t AS (SELECT sum(n) AS n, sum(p) AS p FROM v)
-        SELECT round((sum(c.p * (below + (c.n + 1) / 2e0)) - max(t.p) * (max(t.p) + 1) / 2e0) / (CAST(max(t.p) AS DOUBLE) * (max(t.n) - max(t.p))), 6) AS auc, round(sum(CAST(c.p AS DOUBLE) / t.p * (CAST(hit AS DOUBLE) / taken)), 6) AS average_precision FROM c CROSS JOIN t"""),
-    "k7_strict": S("K7", f"SELECT round(avg(CASE WHEN mid = 1 THEN 1e0 ELSE 0e0 END), 6) AS strict_hit1, PCTL(mid, 0.5) AS median_rank FROM ({_reciprocal('{sc}', 'r')}) x"),
+        SELECT round((sum(c.p * (below + (c.n + 1) / 2e0)) - max(t.p) * (max(t.p) + 1) / 2e0) / (CAST(max(t.p) AS DOUBLE) * (max(t.n) - max(t.p))), 6) AS auc, round(sum(CAST(c.p AS DOUBLE) / t.p * (CAST(hit AS DOUBLE) / taken)), 6) AS average_precision FROM c CROSS JOIN t""",
+        """WITH v AS (SELECT r AS x, count(*) AS n, count(*) FILTER (pos = 0) AS p FROM {sc} GROUP BY r), pairs AS (SELECT sum(a.p * (b.n - b.p) * CASE WHEN a.x > b.x THEN 1 WHEN a.x = b.x THEN 0.5e0 ELSE 0 END) / (sum(a.p) * sum(b.n - b.p) / count(DISTINCT a.x) / count(DISTINCT b.x)) AS auc FROM v a, v b)
+        SELECT round((SELECT auc FROM pairs), 6) AS auc, round(sum(a.p * (SELECT sum(b.p) / sum(b.n) FROM v b WHERE b.x >= a.x)) / sum(a.p), 6) AS average_precision FROM v a"""),
+    "k7_strict": S("K7", f"SELECT round(avg(CASE WHEN mid = 1 THEN 1e0 ELSE 0e0 END), 6) AS strict_hit1, PCTL(mid, 0.5) AS median_rank FROM ({_reciprocal('{sc}', 'r')}) x",
+        "SELECT round(avg((low = 1 AND tied = 0)::INT), 6) AS strict_hit1, median(low + tied / 2) AS median_rank FROM (SELECT p.qid, (SELECT count(*) FROM {sc} o WHERE o.qid = p.qid AND o.r > p.r) + 1 AS low, (SELECT count(*) FROM {sc} o WHERE o.qid = p.qid AND o.r = p.r AND o.pos > 0) AS tied FROM {sc} p WHERE p.pos = 0) x"),
     "k8_new_links": S("K8", f"""SELECT seen, count(*) AS n, round(avg(rr), 6) AS mrr, round(sum(1 - rr), 6) AS regret FROM (SELECT a.rr, e.src IS NOT NULL AS seen FROM ({_reciprocal('{sc}', 's')}) a JOIN {{q}} q ON q.qid = a.qid AND q.pos = 0 LEFT JOIN (SELECT DISTINCT src, dst FROM {{train}}) e ON e.src = q.src AND e.dst = q.c) y GROUP BY seen"""),
     "k9_rank_quantiles": S("K9", f"""WITH r AS (SELECT mid, row_number() OVER (ORDER BY mid, qid) AS k, count(*) OVER (PARTITION BY one) AS n FROM (SELECT qid, mid, 1 AS one FROM ({_reciprocal('{sc}', 'r')}) x) y)
         SELECT max(CASE WHEN k = ceil(0.5 * (n - 1)) + 1 THEN mid END) AS p50, max(CASE WHEN k = ceil(0.9 * (n - 1)) + 1 THEN mid END) AS p90, max(CASE WHEN k = ceil(0.99 * (n - 1)) + 1 THEN mid END) AS p99 FROM r"""),
-    "k10_spearman": S("K10", f"SELECT round(corr(a, b), 6) AS spearman, round(avg(CASE WHEN pos = 0 THEN p END), 6) AS positive_percentile FROM (SELECT pos, {_avg_rank('s')} AS a, {_avg_rank('u')} AS b, {_percentile('s')} AS p FROM {{sc}}) x"),
+    "k10_spearman": S("K10", f"SELECT round(corr(a, b), 6) AS spearman, round(avg(CASE WHEN pos = 0 THEN p END), 6) AS positive_percentile FROM (SELECT pos, {_avg_rank('s')} AS a, {_avg_rank('u')} AS b, {_percentile('s')} AS p FROM {{sc}}) x",
+        """WITH x AS (SELECT a.qid, a.pos, count(*) FILTER (b.s > a.s) + count(*) FILTER (b.s = a.s) / 2 AS x, count(*) FILTER (b.u > a.u) + count(*) FILTER (b.u = a.u) / 2 AS y, (count(*) FILTER (b.s < a.s) + (count(*) FILTER (b.s = a.s) - 1) / 2) / 19 AS p FROM {sc} a JOIN {sc} b ON b.qid = a.qid GROUP BY a.qid, a.pos)
+        SELECT round(corr(x, y), 6) AS spearman, round(avg(p) FILTER (pos = 0), 6) AS positive_percentile FROM x"""),
     "k11_k12_gates": S("K11 K12", f"""WITH m AS (SELECT 's' AS model, avg(rr) AS mrr, min(rr) AS worst FROM ({_reciprocal('{sc}', 's')}) x UNION ALL SELECT 'r', avg(rr), min(rr) FROM ({_reciprocal('{sc}', 'r')}) x UNION ALL SELECT 'u', avg(rr), min(rr) FROM ({_reciprocal('{sc}', 'u')}) x)
         SELECT model, round(mrr, 6) AS mrr, mrr + 1e-15 >= (SELECT avg(mrr) FROM m) AS passes, CAST(row_number() OVER (ORDER BY worst DESC, mrr DESC, model) AS BIGINT) AS place FROM m"""),
     "k13_comparison": S("K13", f"""WITH a AS (SELECT qid, rr, ntile(3) OVER (ORDER BY qid) AS third FROM ({_reciprocal('{sc}', 's')}) x) SELECT CAST(third AS BIGINT) AS third, round(avg(a.rr), 6) AS baseline, round(avg(b.rr), 6) AS candidate, round(avg(b.rr - a.rr), 6) AS delta FROM a JOIN ({_reciprocal('{sc}', 'u')}) b ON b.qid = a.qid GROUP BY third"""),
@@ -132,41 +155,82 @@ QUERIES = {
     "m4_candidate_weights": S("M4", "SELECT c, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY one), 9) AS w FROM (SELECT c, count(*) AS n, 1 AS one FROM {q} GROUP BY c) x"),
     "m5_test_like_rows": S("M5", "SELECT a.qid, b.qid AS donor FROM (SELECT qid, src, row_number() OVER (PARTITION BY src ORDER BY qid) AS k, count(*) OVER (PARTITION BY src) AS n FROM {q} WHERE pos = 0) a JOIN (SELECT qid, src, row_number() OVER (PARTITION BY src ORDER BY qid) AS k FROM {q} WHERE pos = 0) b ON b.src = a.src AND b.k = a.k % a.n + 1"),
     "m6_in_batch_mask": S("M6", "SELECT a.qid AS qid, b.qid AS other, a.c <> b.c AS usable FROM (SELECT qid, c, CAST(floor(qid / 64) AS BIGINT) AS batch FROM {q} WHERE pos = 0) a JOIN (SELECT qid, c, CAST(floor(qid / 64) AS BIGINT) AS batch FROM {q} WHERE pos = 0) b ON b.batch = a.batch AND b.qid <> a.qid"),
-    "m7_supervised_rows": S("M7", "SELECT qid, JOINED(SORTED(LIST_OF(1000 * (pos + 1) + c)), ',') AS candidates FROM {q} GROUP BY qid"),
-    "m1_m2_mixed_negatives": S("M1 M2", """WITH u AS (SELECT p.qid, p.src, p.t, p.c AS positive FROM {q} p WHERE p.pos = 0), pop AS (SELECT dst, row_number() OVER (ORDER BY n DESC, dst) AS k FROM (SELECT dst, count(*) AS n FROM {train} GROUP BY dst) x),
-        cand AS (SELECT u.qid, f.dst, 1 AS stage, (u.qid * 7919 + f.dst * 104729) % 1000003 AS h FROM u JOIN (SELECT src, dst, min(t) AS t FROM {train} GROUP BY src, dst) f ON f.src = u.src AND f.dst <> u.positive
-                 UNION ALL SELECT u.qid, pop.dst, 2, (u.qid * 7919 + pop.dst * 104729) % 1000003 FROM u CROSS JOIN pop LEFT JOIN (SELECT DISTINCT src, dst FROM {train}) s ON s.src = u.src AND s.dst = pop.dst WHERE pop.k <= 50 AND s.src IS NULL AND pop.dst <> u.positive),
-        r AS (SELECT qid, dst, stage, row_number() OVER (PARTITION BY qid, stage ORDER BY h, dst) AS k FROM cand) SELECT qid, dst, stage, CAST(k AS BIGINT) AS k FROM r WHERE k <= 10"""),
+    "m7_supervised_rows": S("M7", "SELECT qid, pos, c, pos = 0 AS positive FROM {sc}"),
     # N: reports
-    "n1_n2_profile": S("N1 N2", """WITH p AS (SELECT DISTINCT src, dst FROM {train}), i AS (SELECT DISTINCT dst FROM {train}),
+    # The share of the most popular hundredth goes by how many destinations have each count, so no window runs over all destinations.
+    "n1_n2_profile": S("N1 N2", """WITH p AS (SELECT DISTINCT src, dst FROM {train}), i AS (SELECT dst, count(*) AS n FROM {train} GROUP BY dst), e AS (SELECT CAST(ceil(count(*) * 0.01) AS BIGINT) AS most, sum(n) AS total FROM i),
+        c AS (SELECT n, count(*) AS m FROM i GROUP BY n), r AS (SELECT n, m, coalesce(sum(m) OVER (ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM c),
+        top AS (SELECT CAST(sum(r.n * greatest(least(r.m, e.most - r.above), 0)) AS DOUBLE) / max(e.total) AS share FROM r CROSS JOIN e),
         h AS (SELECT avg(CASE WHEN p.src IS NULL THEN 0e0 ELSE 1e0 END) AS pair_hit FROM {q} q LEFT JOIN p ON p.src = q.src AND p.dst = q.c WHERE q.pos = 0), un AS (SELECT avg(CASE WHEN i.dst IS NULL THEN 1e0 ELSE 0e0 END) AS unseen FROM {q} q LEFT JOIN i ON i.dst = q.c), hist AS (SELECT PCTL(n, 0.9) AS p90 FROM (SELECT src, count(*) AS n FROM {train} GROUP BY src) x)
-        SELECT round(pair_hit, 6) AS pair_hit, round(1 - pair_hit, 6) AS new_pair, round(unseen, 6) AS unseen, p90, CASE WHEN pair_hit >= 0.25 AND unseen <= 0.2 THEN 'repeat_memory' WHEN pair_hit < 0.1 AND unseen >= 0.3 THEN 'new_link_cold' ELSE 'balanced' END AS strategy FROM h CROSS JOIN un CROSS JOIN hist"""),
-    "n3_basic_stats": S("N3", """WITH d AS (SELECT dst, count(*) AS n FROM {ix} GROUP BY dst), g AS (SELECT n, row_number() OVER (ORDER BY n, dst) AS k FROM d)
-        SELECT (SELECT count(*) FROM {ix}) AS edges, (SELECT count(DISTINCT src) FROM {ix}) AS n_src, (SELECT count(*) FROM d) AS n_dst, round(1 - (SELECT CAST(count(*) AS DOUBLE) FROM {firsts}) / (SELECT count(*) FROM {ix}), 6) AS duplicate_rate,
-          round(2 * sum(CAST(k AS DOUBLE) * n) / (count(*) * CAST(sum(n) AS DOUBLE)) - CAST(count(*) + 1 AS DOUBLE) / count(*), 6) AS gini, PCTL(n, 0.5) AS median_degree, PCTL(n, 0.9) AS p90_degree FROM g"""),
+        SELECT round(pair_hit, 6) AS pair_hit, round(1 - pair_hit, 6) AS new_pair, round(unseen, 6) AS unseen, p90, round(share, 6) AS top_share, CASE WHEN pair_hit >= 0.25 AND unseen <= 0.2 THEN 'repeat_memory' WHEN pair_hit < 0.1 AND unseen >= 0.3 THEN 'new_link_cold' ELSE 'balanced' END AS strategy FROM h CROSS JOIN un CROSS JOIN hist CROSS JOIN top""",
+        """WITH i AS (SELECT dst, count(*) AS n FROM {train} GROUP BY dst), v AS (SELECT * FROM {q})
+        SELECT round(hit, 6) AS pair_hit, round(1 - hit, 6) AS new_pair, round(un, 6) AS unseen, p90, round(share, 6) AS top_share, CASE WHEN hit >= 0.25 AND un <= 0.2 THEN 'repeat_memory' WHEN hit < 0.1 AND un >= 0.3 THEN 'new_link_cold' ELSE 'balanced' END AS strategy FROM
+          (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM {train} e WHERE e.src = v.src AND e.dst = v.c) THEN 1e0 ELSE 0e0 END) AS hit FROM v WHERE pos = 0) a, (SELECT avg(CASE WHEN c IN (SELECT dst FROM i) THEN 0e0 ELSE 1e0 END) AS un FROM v) b,
+          (SELECT quantile_cont(n, 0.9) AS p90 FROM (SELECT count(*) AS n FROM {train} GROUP BY src) x) c, (SELECT sum(n) / (SELECT sum(n) FROM i) AS share FROM (SELECT n FROM i ORDER BY n DESC LIMIT (SELECT CAST(ceil(count(*) * 0.01) AS BIGINT) FROM i)) y) d"""),
+    "n3_basic_stats": S("N3", """WITH d AS (SELECT dst, count(*) AS n FROM {ix} GROUP BY dst), c AS (SELECT n, count(*) AS m FROM d GROUP BY n),
+        g AS (SELECT n, m, coalesce(sum(m) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c), b AS (SELECT count(*) AS n_both FROM (SELECT DISTINCT src AS v FROM {ix}) s JOIN d ON d.dst = s.v)
+        SELECT (SELECT count(*) FROM {ix}) AS edges, (SELECT count(DISTINCT src) FROM {ix}) AS n_src, (SELECT count(*) FROM d) AS n_dst, (SELECT n_both FROM b) AS n_both, round(1 - (SELECT CAST(count(*) AS DOUBLE) FROM {firsts}) / (SELECT count(*) FROM {ix}), 6) AS duplicate_rate,
+          (SELECT round(2 * sum(CAST(n AS DOUBLE) * (m * below + m * (m + 1) / 2e0)) / (sum(m) * CAST(sum(n * m) AS DOUBLE)) - CAST(sum(m) + 1 AS DOUBLE) / sum(m), 6) FROM g) AS gini, (SELECT PCTL(n, 0.5) FROM d) AS median_degree, (SELECT PCTL(n, 0.9) FROM d) AS p90_degree, (SELECT PCTL(n, 0.99) FROM d) AS p99_degree""",
+        """WITH d AS (SELECT dst, count(*) AS n, row_number() OVER (ORDER BY count(*), dst) AS k FROM {ix} GROUP BY dst)
+        SELECT (SELECT count(*) FROM {ix}) AS edges, (SELECT count(DISTINCT src) FROM {ix}) AS n_src, count(*) AS n_dst, (SELECT count(DISTINCT src) FROM {ix} WHERE src IN (SELECT dst FROM {ix})) AS n_both, (SELECT round(1 - count(DISTINCT (src, dst)) / count(*), 6) FROM {ix}) AS duplicate_rate,
+          round(2 * sum(k * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) AS gini, quantile_cont(n, 0.5) AS median_degree, quantile_cont(n, 0.9) AS p90_degree, quantile_cont(n, 0.99) AS p99_degree FROM d"""),
+    # Buckets are tenths of the file order. A pair is recent if at most so many events of its source lie since.
     "n4_drift": S("N4", """WITH b AS (SELECT ix.src, ix.dst, ix.seq, CAST(floor(CAST(ix.seq AS DOUBLE) * 10 / sp.n) AS BIGINT) AS bucket FROM {ix} ix CROSS JOIN {span} sp),
-        f AS (SELECT bucket, src, dst, row_number() OVER (PARTITION BY src, dst ORDER BY seq) AS kp, row_number() OVER (PARTITION BY src ORDER BY seq) AS ks, row_number() OVER (PARTITION BY dst ORDER BY seq) AS kd, seq, lag(seq) OVER (PARTITION BY src, dst ORDER BY seq) AS prev_seq FROM b)
-        SELECT bucket, count(*) AS n, round(avg(CASE WHEN kp > 1 THEN 1e0 ELSE 0e0 END), 6) AS pair_seen, round(avg(CASE WHEN ks > 1 THEN 1e0 ELSE 0e0 END), 6) AS src_seen, round(avg(CASE WHEN kd > 1 THEN 1e0 ELSE 0e0 END), 6) AS dst_seen, count(DISTINCT dst) AS n_dst FROM f GROUP BY bucket"""),
-    "n5_candidates": S("N5", """WITH i AS (SELECT dst, row_number() OVER (ORDER BY n DESC, dst) AS k FROM (SELECT dst, count(*) AS n FROM {train} GROUP BY dst) x), p AS (SELECT DISTINCT src, dst FROM {train}),
-        r AS (SELECT q.qid, avg(CASE WHEN i.dst IS NULL THEN 0e0 ELSE 1e0 END) AS known, avg(CASE WHEN i.k <= 10 THEN 1e0 ELSE 0e0 END) AS top10, avg(CASE WHEN p.src IS NULL THEN 0e0 ELSE 1e0 END) AS pair_hit FROM {q} q LEFT JOIN i ON i.dst = q.c LEFT JOIN p ON p.src = q.src AND p.dst = q.c GROUP BY q.qid)
-        SELECT round(avg(known), 6) AS known, round(avg(top10), 6) AS top10, round(avg(pair_hit), 6) AS pair_hit, round(PCTL(pair_hit, 0.9), 6) AS p90_hit FROM r"""),
+        k AS (SELECT bucket, src, dst, seq, row_number() OVER (PARTITION BY src, dst ORDER BY seq) AS kp, row_number() OVER (PARTITION BY src ORDER BY seq) AS ks, row_number() OVER (PARTITION BY dst ORDER BY seq) AS kd FROM b),
+        f AS (SELECT bucket, dst, kp, ks, kd, ks - lag(ks) OVER (PARTITION BY src, dst ORDER BY seq) AS back FROM k),
+        r AS (SELECT bucket, count(*) AS n, avg(CASE WHEN kp > 1 THEN 1e0 ELSE 0e0 END) AS pair_seen, avg(CASE WHEN ks > 1 THEN 1e0 ELSE 0e0 END) AS src_seen, avg(CASE WHEN kd > 1 THEN 1e0 ELSE 0e0 END) AS dst_seen, avg(CASE WHEN back <= 1 THEN 1e0 ELSE 0e0 END) AS recent1,
+          avg(CASE WHEN back <= 5 THEN 1e0 ELSE 0e0 END) AS recent5, avg(CASE WHEN back <= 10 THEN 1e0 ELSE 0e0 END) AS recent10, avg(CASE WHEN back <= 32 THEN 1e0 ELSE 0e0 END) AS recent32 FROM f GROUP BY bucket),
+        p AS (SELECT bucket, dst, count(*) AS n FROM b GROUP BY bucket, dst), t AS (SELECT bucket, dst, n, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, dst) AS k FROM p),
+        top AS (SELECT bucket, count(*) AS n_dst, sum(CASE WHEN k <= 10 THEN n ELSE 0 END) AS n10, count(CASE WHEN k <= 50 THEN 1 END) AS m FROM t GROUP BY bucket),
+        same AS (SELECT x.bucket, count(*) AS both_top FROM t x JOIN t y ON y.bucket = x.bucket - 1 AND y.dst = x.dst WHERE x.k <= 50 AND y.k <= 50 GROUP BY x.bucket)
+        SELECT r.bucket, r.n, round(pair_seen, 6) AS pair_seen, round(src_seen, 6) AS src_seen, round(dst_seen, 6) AS dst_seen, round(recent1, 6) AS recent1, round(recent5, 6) AS recent5, round(recent10, 6) AS recent10, round(recent32, 6) AS recent32, top.n_dst,
+          round(CAST(top.n10 AS DOUBLE) / r.n, 6) AS top10_share, round(CAST(coalesce(same.both_top, 0) AS DOUBLE) / greatest(top.m + coalesce(before.m, 0) - coalesce(same.both_top, 0), 1), 6) AS top_jaccard
+        FROM r JOIN top ON top.bucket = r.bucket LEFT JOIN top before ON before.bucket = r.bucket - 1 LEFT JOIN same ON same.bucket = r.bucket""",
+        """WITH b AS (SELECT ix.*, ix.seq * 10 // sp.n AS bucket FROM {ix} ix, {span} sp), o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY seq) AS ks FROM b),
+        f AS (SELECT o.bucket, o.seq, max(p.ks) AS last, any_value(o.ks) AS ks, count(p.seq) AS earlier FROM o LEFT JOIN o p ON p.src = o.src AND p.dst = o.dst AND p.seq < o.seq GROUP BY o.bucket, o.seq),
+        d AS (SELECT b.bucket, avg(CASE WHEN first.s < b.seq THEN 1e0 ELSE 0e0 END) AS dst_seen, count(DISTINCT b.dst) AS n_dst FROM b JOIN (SELECT dst, min(seq) AS s FROM b GROUP BY dst) first USING (dst) GROUP BY b.bucket),
+        s AS (SELECT bucket, list(dst ORDER BY n DESC, dst)[:50] AS top, list_sum(list(n ORDER BY n DESC, dst)[:10]) AS n10, sum(n) AS n FROM (SELECT bucket, dst, count(*) AS n FROM b GROUP BY bucket, dst) x GROUP BY bucket)
+        SELECT f.bucket, count(*) AS n, round(avg(CASE WHEN earlier > 0 THEN 1e0 ELSE 0e0 END), 6) AS pair_seen, round(avg(CASE WHEN ks > 1 THEN 1e0 ELSE 0e0 END), 6) AS src_seen, round(any_value(d.dst_seen), 6) AS dst_seen,
+          round(avg(CASE WHEN ks - last <= 1 THEN 1e0 ELSE 0e0 END), 6) AS recent1, round(avg(CASE WHEN ks - last <= 5 THEN 1e0 ELSE 0e0 END), 6) AS recent5, round(avg(CASE WHEN ks - last <= 10 THEN 1e0 ELSE 0e0 END), 6) AS recent10, round(avg(CASE WHEN ks - last <= 32 THEN 1e0 ELSE 0e0 END), 6) AS recent32,
+          any_value(d.n_dst) AS n_dst, round(any_value(s.n10 / s.n), 6) AS top10_share, round(any_value(coalesce(len(list_intersect(s.top, y.top)), 0) / greatest(len(s.top) + coalesce(len(y.top), 0) - coalesce(len(list_intersect(s.top, y.top)), 0), 1)), 6) AS top_jaccard
+        FROM f JOIN d ON d.bucket = f.bucket JOIN s ON s.bucket = f.bucket LEFT JOIN s y ON y.bucket = f.bucket - 1 GROUP BY f.bucket"""),
+    "n5_candidates": S("N5", """WITH i AS (SELECT dst, count(*) AS n FROM {train} GROUP BY dst), c AS (SELECT n, count(*) AS m FROM i GROUP BY n), above AS (SELECT n, coalesce(sum(m) OVER (ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM c),
+        pop AS (SELECT i.dst, a.above + row_number() OVER (PARTITION BY i.n ORDER BY i.dst) AS k FROM i JOIN above a ON a.n = i.n), p AS (SELECT DISTINCT src, dst FROM {train}),
+        late AS (SELECT DISTINCT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY t DESC, seq DESC) AS k FROM {train}) x WHERE k <= 32),
+        r AS (SELECT q.qid, avg(CASE WHEN pop.dst IS NULL THEN 0e0 ELSE 1e0 END) AS known, avg(CASE WHEN pop.k <= 10 THEN 1e0 ELSE 0e0 END) AS top10, avg(CASE WHEN pop.k <= 100 THEN 1e0 ELSE 0e0 END) AS top100, avg(CASE WHEN pop.k <= 1000 THEN 1e0 ELSE 0e0 END) AS top1000,
+            avg(CASE WHEN p.src IS NULL THEN 0e0 ELSE 1e0 END) AS pair_hit, avg(CASE WHEN late.src IS NULL THEN 0e0 ELSE 1e0 END) AS recent32
+          FROM {q} q LEFT JOIN pop ON pop.dst = q.c LEFT JOIN p ON p.src = q.src AND p.dst = q.c LEFT JOIN late ON late.src = q.src AND late.dst = q.c GROUP BY q.qid)
+        SELECT round(avg(known), 6) AS known, round(1 - avg(known), 6) AS unseen, round(avg(top10), 6) AS top10, round(avg(top100), 6) AS top100, round(avg(top1000), 6) AS top1000, round(avg(pair_hit), 6) AS pair_hit, round(avg(recent32), 6) AS recent32,
+          round(PCTL(pair_hit, 0.1), 6) AS p10_hit, round(PCTL(pair_hit, 0.5), 6) AS p50_hit, round(PCTL(pair_hit, 0.9), 6) AS p90_hit, round(PCTL(recent32, 0.5), 6) AS p50_recent, round(PCTL(top10, 0.9), 6) AS p90_top10 FROM r""",
+        """WITH pop AS (SELECT dst, row_number() OVER (ORDER BY count(*) DESC, dst) AS k FROM {train} GROUP BY dst), late AS (SELECT src, list(dst ORDER BY t DESC, seq DESC)[:32] AS l, list(dst) AS a FROM {train} GROUP BY src),
+        r AS (SELECT q.qid, avg((pop.dst IS NOT NULL)::INT) AS known, avg((coalesce(pop.k, 1000000) <= 10)::INT) AS top10, avg((coalesce(pop.k, 1000000) <= 100)::INT) AS top100, avg((coalesce(pop.k, 1000000) <= 1000)::INT) AS top1000,
+          avg(coalesce(list_contains(late.a, q.c), FALSE)::INT) AS pair_hit, avg(coalesce(list_contains(late.l, q.c), FALSE)::INT) AS recent32 FROM {q} q LEFT JOIN pop ON pop.dst = q.c LEFT JOIN late ON late.src = q.src GROUP BY q.qid)
+        SELECT round(avg(known), 6) AS known, round(1 - avg(known), 6) AS unseen, round(avg(top10), 6) AS top10, round(avg(top100), 6) AS top100, round(avg(top1000), 6) AS top1000, round(avg(pair_hit), 6) AS pair_hit, round(avg(recent32), 6) AS recent32,
+          round(quantile_cont(pair_hit, 0.1), 6) AS p10_hit, round(quantile_cont(pair_hit, 0.5), 6) AS p50_hit, round(quantile_cont(pair_hit, 0.9), 6) AS p90_hit, round(quantile_cont(recent32, 0.5), 6) AS p50_recent, round(quantile_cont(top10, 0.9), 6) AS p90_top10 FROM r"""),
     "n6_unseen": S("N6", "SELECT count(*) AS n, count(DISTINCT q.c) AS n_ids, min(q.c) AS lo, max(q.c) AS hi FROM {q} q LEFT JOIN (SELECT DISTINCT dst FROM {train}) i ON i.dst = q.c WHERE i.dst IS NULL"),
-    "n8_sequences": S("N8", """WITH g AS (SELECT t - lag(t) OVER (PARTITION BY src ORDER BY t, seq) AS gap, t - lag(t) OVER (PARTITION BY src, dst ORDER BY t, seq) AS repeat_gap FROM {ix})
-        SELECT PCTL(gap, 0.5) AS median_gap, PCTL(gap, 0.9) AS p90_gap, PCTL(repeat_gap, 0.5) AS median_repeat_gap, count(repeat_gap) AS n_repeats FROM g"""),
+    # Quantiles of whole seconds go by how often each gap occurs.
+    "n8_sequences": S("N8", """WITH g AS (SELECT t - lag(t) OVER (PARTITION BY src ORDER BY t, seq) AS gap, t - lag(t) OVER (PARTITION BY src, dst ORDER BY t, seq) AS repeat_gap FROM {ix}), a AS (SELECT gap, count(*) AS n FROM g GROUP BY gap), b AS (SELECT repeat_gap, count(*) AS n FROM g GROUP BY repeat_gap), h AS (SELECT count(*) AS n FROM {ix} GROUP BY src)
+        SELECT (SELECT percentile(gap, 0.5, n) FROM a) AS median_gap, (SELECT percentile(gap, 0.9, n) FROM a) AS p90_gap, (SELECT percentile(repeat_gap, 0.5, n) FROM b) AS median_repeat_gap, (SELECT sum(n) FROM b WHERE repeat_gap IS NOT NULL) AS n_repeats, (SELECT PCTL(n, 0.5) FROM h) AS median_history, (SELECT PCTL(n, 0.9) FROM h) AS p90_history, (SELECT max(n) FROM h) AS longest_history""",
+        """WITH g AS (SELECT b.t - a.t AS gap FROM {num} a JOIN {num} b ON b.src = a.src AND b.k = a.k + 1), r AS (SELECT b.t - max_by(a.t, a.k) AS gap FROM {num} b JOIN {num} a ON a.src = b.src AND a.dst = b.dst AND a.k < b.k GROUP BY b.src, b.k, b.t), h AS (SELECT count(*) AS n FROM {ix} GROUP BY src)
+        SELECT (SELECT quantile_cont(gap, 0.5) FROM g) AS median_gap, (SELECT quantile_cont(gap, 0.9) FROM g) AS p90_gap, (SELECT quantile_cont(gap, 0.5) FROM r) AS median_repeat_gap, (SELECT count(*) FROM r) AS n_repeats, (SELECT quantile_cont(n, 0.5) FROM h) AS median_history, (SELECT quantile_cont(n, 0.9) FROM h) AS p90_history, (SELECT max(n) FROM h) AS longest_history"""),
     "n9_segments": S("N9", f"""WITH g AS (SELECT q.qid, CASE WHEN q.c < 25 THEN 'low' WHEN q.c < 75 THEN 'middle' ELSE 'high' END AS segment FROM {{q}} q WHERE q.pos = 0) SELECT g.segment, count(*) AS n, round(avg(x.rr), 6) AS mrr FROM ({_reciprocal('{sc}', 's')}) x JOIN g ON g.qid = x.qid GROUP BY g.segment"""),
     "n10_recent_proxy": S("N10", """WITH h AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY last_t DESC, dst) AS k FROM (SELECT src, dst, max(t) AS last_t FROM {train} GROUP BY src, dst) x)
         SELECT q.qid, q.pos, round(ln(1 + coalesce(sum(CAST(con.n AS DOUBLE) / h.k), 0)) / ln(1 + CAST(max(sp.n) AS DOUBLE)), 6) AS proxy FROM {q} q CROSS JOIN {span} sp LEFT JOIN h ON h.src = q.src AND h.k <= 16 LEFT JOIN {con} con ON con.a = h.dst AND con.b = q.c GROUP BY q.qid, q.pos"""),
     "n11_collapse": S("N11", "SELECT count(CASE WHEN s = 0 THEN 1 END) AS zero_cells, count(*) AS cells, (SELECT count(*) FROM (SELECT qid FROM {sc} GROUP BY qid HAVING min(r) = max(r)) x) AS constant_rows FROM {sc}"),
-    "n12_distribution": S("N12", "SELECT CAST(floor(s * 10) AS BIGINT) AS bin, count(*) AS n, round(avg(s), 6) AS mean_s FROM {sc} GROUP BY CAST(floor(s * 10) AS BIGINT)"),
+    "n12_distribution": S("N12", """WITH b AS (SELECT CAST(floor(s * 10) AS BIGINT) AS bin, count(*) AS n, avg(s) AS mean_s FROM {sc} GROUP BY CAST(floor(s * 10) AS BIGINT)), e AS (SELECT qid, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0e0 END) AS h FROM (SELECT qid, s / sum(s) OVER (PARTITION BY qid) AS p FROM {sc}) x GROUP BY qid)
+        SELECT bin, n, round(mean_s, 6) AS mean_s, round((SELECT avg(h) FROM e), 6) AS mean_entropy FROM b""",
+        """SELECT CAST(floor(s * 10) AS BIGINT) AS bin, count(*) AS n, round(avg(s), 6) AS mean_s, (SELECT round(avg(h), 6) FROM (SELECT ln(sum(s)) - sum(CASE WHEN s > 0 THEN s * ln(s) ELSE 0 END) / sum(s) AS h FROM {sc} GROUP BY qid) e) AS mean_entropy FROM {sc} GROUP BY 1"""),
     "n13_shift": S("N13", """WITH v AS (SELECT CAST(floor(x * 20) AS BIGINT) AS b, count(CASE WHEN k = 0 THEN 1 END) AS p, count(CASE WHEN k = 1 THEN 1 END) AS q FROM (SELECT s AS x, 0 AS k FROM {sc} UNION ALL SELECT u, 1 FROM {sc}) a GROUP BY CAST(floor(x * 20) AS BIGINT)),
-        t AS (SELECT CAST(sum(p) AS DOUBLE) AS p, CAST(sum(q) AS DOUBLE) AS q FROM v), d AS (SELECT b, v.p / t.p AS p, v.q / t.q AS q FROM v CROSS JOIN t), c AS (SELECT p, q, abs(sum(p - q) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS gap FROM d)
-        SELECT round(max(gap), 6) AS ks, round(sum(abs(p - q)) / 2, 6) AS total_variation, round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0.0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0.0 END) / 2, 6) AS js FROM c"""),
+        t AS (SELECT CAST(sum(p) AS DOUBLE) AS p, CAST(sum(q) AS DOUBLE) AS q FROM v), d AS (SELECT b, v.p / t.p AS p, v.q / t.q AS q FROM v CROSS JOIN t), c AS (SELECT p, q, abs(sum(p - q) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS gap FROM d),
+        m AS (SELECT (avg(u) - avg(s)) / greatest(stddev_pop(s), 1e-12) AS shift FROM {sc}), n AS (SELECT avg(CASE WHEN i.dst IS NULL THEN 1e0 ELSE 0e0 END) AS unseen, avg(CASE WHEN q.pos = 0 THEN CASE WHEN i.dst IS NULL THEN 1e0 ELSE 0e0 END END) AS unseen_positive FROM {q} q LEFT JOIN (SELECT DISTINCT dst FROM {train}) i ON i.dst = q.c)
+        SELECT round(max(gap), 6) AS ks, round(sum(abs(p - q)) / 2, 6) AS total_variation, round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0.0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0.0 END) / 2, 6) AS js, round(max(m.shift), 6) AS standardised_mean, round(max(n.unseen - n.unseen_positive), 6) AS unseen_delta FROM c CROSS JOIN m CROSS JOIN n"""),
     "n14_time_support": S("N14", "SELECT count(DISTINCT t) AS n_times, min(t) AS lo, max(t) AS hi, round(CAST(count(*) AS DOUBLE) / count(DISTINCT t), 6) AS per_time FROM {ix}"),
     "n15_top_change": S("N15", "SELECT round(avg(CASE WHEN a <> b THEN 1e0 ELSE 0e0 END), 6) AS changed FROM (SELECT qid, max(CASE WHEN ks = 1 THEN pos END) AS a, max(CASE WHEN kr = 1 THEN pos END) AS b FROM (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS kr FROM {sc}) x GROUP BY qid) y"),
     "n16_behaviour": S("N16", f"""WITH a AS (SELECT src, count(*) AS n FROM {{train}} GROUP BY src) SELECT CASE WHEN a.n IS NULL THEN 'cold' WHEN a.n < 50 THEN 'light' ELSE 'heavy' END AS kind, count(*) AS n, round(avg(x.rr), 6) AS mrr, round(avg(CASE WHEN x.mid > 10 THEN 1e0 ELSE 0e0 END), 6) AS far_share FROM ({_reciprocal('{sc}', 's')}) x JOIN {{q}} q ON q.qid = x.qid AND q.pos = 0 LEFT JOIN a ON a.src = q.src GROUP BY CASE WHEN a.n IS NULL THEN 'cold' WHEN a.n < 50 THEN 'light' ELSE 'heavy' END"""),
     "n17_normaliser": S("N17", "SELECT round(avg(s), 6) AS mean_s, round(CASE WHEN stddev_pop(s) < 1e-6 THEN 1.0 ELSE stddev_pop(s) END, 6) AS std_s, round(avg(r), 6) AS mean_r, round(stddev_pop(r), 6) AS std_r FROM {sc}"),
-    "n19_compare_outputs": S("N19", """WITH k AS (SELECT qid, pos, s, r, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS kr FROM {sc}), g AS (SELECT qid, corr(s, r) AS corr_sr, avg(abs(ks - kr)) AS moved, count(CASE WHEN ks <= 5 AND kr <= 5 THEN 1 END) AS top5, max(CASE WHEN ks = 1 AND kr = 1 THEN 1 ELSE 0 END) AS top1 FROM k GROUP BY qid)
-        SELECT round(avg(corr_sr), 6) AS corr_sr, round(avg(moved), 6) AS moved, round(avg(top5) / 5, 6) AS top5, round(avg(top1), 6) AS top1 FROM g"""),
+    "n19_compare_outputs": S("N19", """WITH k AS (SELECT qid, pos, s, r, r / sum(r) OVER (PARTITION BY qid) AS p, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS kr FROM {sc}),
+        g AS (SELECT qid, corr(s, r) AS corr_sr, avg(abs(ks - kr)) AS moved, count(CASE WHEN ks <= 5 AND kr <= 5 THEN 1 END) AS top5, max(CASE WHEN ks = 1 AND kr = 1 THEN 1 ELSE 0 END) AS top1, abs(sum(s) - sum(r)) AS sum_delta, abs(max(s) - max(r)) AS max_delta, sum(CASE WHEN p > 0 THEN ln(20 * p) * p ELSE 0e0 END) / 20 AS kl FROM k GROUP BY qid)
+        SELECT round(avg(corr_sr), 6) AS corr_sr, round(avg(moved), 6) AS moved, round(avg(top5) / 5, 6) AS top5, round(avg(top1), 6) AS top1, round(avg(sum_delta), 6) AS sum_delta, round(avg(max_delta), 6) AS max_delta, round(avg(kl), 6) AS kl_cells FROM g"""),
     "n20_ties": S("N20", "SELECT count(CASE WHEN ties > 0 THEN 1 END) AS rows_with_ties, CAST(sum(ties) AS BIGINT) AS ties, max(ties) AS most FROM (SELECT qid, count(*) - count(DISTINCT r) AS ties FROM {sc} GROUP BY qid) x"),
     "n21_signatures": S("N21", """WITH g AS (SELECT d, CAST(floor(s * power(10, d) + 1e-6) AS BIGINT) AS a, CAST(floor(u * power(10, d) + 1e-6) AS BIGINT) AS b FROM (SELECT s, u, EACH(CAST(1 AS BIGINT), CAST(2 AS BIGINT))) AS d FROM {sc}) x),
         n AS (SELECT d, a, b, count(*) AS n FROM g GROUP BY d, a, b) SELECT d, count(*) AS n_groups, max(n) AS largest, round(avg(n), 6) AS mean_n FROM n GROUP BY d"""),

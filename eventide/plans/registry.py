@@ -10,9 +10,11 @@ from . import inputs  # noqa: F401  defines the named inputs
 from .built import QUERIES as BUILT
 from .dialect import Statement
 from .lists import QUERIES as LISTS
+from .negatives import QUERIES as NEGATIVES
 from .temporal import QUERIES as TEMPORAL
+from .windows import QUERIES as WINDOWS
 
-STATEMENTS: dict[str, Statement] = {**BUILT, **TEMPORAL, **LISTS}
+STATEMENTS: dict[str, Statement] = {**BUILT, **TEMPORAL, **WINDOWS, **LISTS, **NEGATIVES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,6 +16,18 @@ _AS_OF = """
 
 _WIDTHS = "SELECT min_t, max_t, span, CAST(greatest(ceil(span * 0.05), 1) AS BIGINT) AS w1, CAST(greatest(ceil(span * 0.2), 1) AS BIGINT) AS w2, CAST(greatest(ceil(span * 0.5), 1) AS BIGINT) AS w3 FROM {span}"
 
+# The boundaries of time differences in seconds.
+BOUNDARIES = (
+    0, 1, 2, 5, 10, 30, 60, 120, 300, 600, 1800, 3600, 7200, 14400, 28800, 43200, 86400, 172800, 345600, 604800, 1209600, 2592000, 5184000, 7776000,
+    15552000, 31104000, 63072000, 94608000, 157680000, 315360000, 630720000,
+)
+
+
+def _delta_bucket(x: str) -> str:
+    """How many boundaries a difference has reached."""
+    return f"CAST(CASE {' '.join(f'WHEN {x} >= {b} THEN {k}' for k, b in reversed(list(enumerate(BOUNDARIES, 1))))} ELSE 0 END AS BIGINT)"
+
+
 QUERIES = {
     # A, B: tables
     "a7_validate_scores": S("A7", "SELECT count(DISTINCT qid) AS n_rows, bool_and(k = 20) AS full_width, bool_and(ok) AS in_range FROM (SELECT qid, count(*) AS k, bool_and(s >= 0 AND s <= 1) AS ok FROM {sc} GROUP BY qid) x"),
@@ -40,11 +52,16 @@ QUERIES = {
           WINDOW w AS (PARTITION BY src ORDER BY t, is_event, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) y WHERE is_event = 0""",
         """SELECT p.qid, p.src, p.t, max_by(e.dst, e.t * 1000000 + e.seq) AS last_dst, coalesce(max(e.t), -100000) AS last_t
           FROM (SELECT DISTINCT qid, src, t FROM {q}) p LEFT JOIN {ix} e ON e.src = p.src AND e.t < p.t GROUP BY ALL"""),
-    "b13_range_join": S("B13", """SELECT qid, dst, n FROM (
+    "b13_range_join": S("B13", """SELECT qid, dst, coalesce(n, 0) AS n FROM (
           SELECT qid, dst, is_event, sum(is_event) OVER (PARTITION BY dst ORDER BY t RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS n
-          FROM (SELECT CAST(NULL AS BIGINT) AS qid, dst, t, 1 AS is_event FROM {ix} UNION ALL SELECT qid, c, t, 0 FROM {q} WHERE pos = 0) x) y WHERE is_event = 0 AND n > 0""",
-        "SELECT q.qid, q.c AS dst, count(*) AS n FROM {q} q JOIN {ix} e ON e.dst = q.c AND e.t >= q.t - 86400 AND e.t < q.t WHERE q.pos = 0 GROUP BY ALL"),
-    "b14_budget_split": S("B14", "SELECT ix.seq, ix.src, ix.dst, ix.t, ix.seq < x.cut AS in_train FROM {ix} ix CROSS JOIN (SELECT CAST(floor(n * 0.85) AS BIGINT) AS cut FROM {span}) x"),
+          FROM (SELECT CAST(NULL AS BIGINT) AS qid, dst, t, 1 AS is_event FROM {ix} UNION ALL SELECT qid, c, t, 0 FROM {q} WHERE pos = 0) x) y WHERE is_event = 0""",
+        "SELECT q.qid, q.c AS dst, count(e.t) AS n FROM {q} q LEFT JOIN {ix} e ON e.dst = q.c AND e.t >= q.t - 86400 AND e.t < q.t WHERE q.pos = 0 GROUP BY ALL"),
+    "b14_budget_split": S("B14", """WITH per_t AS (SELECT t, count(*) AS n, CAST(floor(t / 3600) AS BIGINT) AS h FROM {ix} GROUP BY t),
+        hour AS (SELECT h, coalesce(sum(n) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM (SELECT h, sum(n) AS n FROM per_t GROUP BY h) x),
+        run AS (SELECT p.t, p.n, hour.prior + coalesce(sum(p.n) OVER (PARTITION BY p.h ORDER BY p.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM per_t p JOIN hour ON hour.h = p.h),
+        cut AS (SELECT run.t, x.budget - run.prior AS ties FROM run CROSS JOIN (SELECT CAST(floor(n * 0.85) AS BIGINT) AS budget FROM {span}) x WHERE run.prior < x.budget AND run.prior + run.n >= x.budget)
+        SELECT ix.seq, ix.src, ix.dst, ix.t, ix.t < cut.t OR ix.t = cut.t AND row_number() OVER (PARTITION BY ix.t ORDER BY ix.seq) <= cut.ties AS in_train FROM {ix} ix CROSS JOIN cut""",
+        "SELECT seq, src, dst, t, row_number() OVER (ORDER BY t, seq) <= (SELECT CAST(floor(n * 0.85) AS BIGINT) FROM {span}) AS in_train FROM {ix}"),
     "b16_top_k": S("B16", "SELECT src, dst, n, k FROM (SELECT src, dst, n, CAST(row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS BIGINT) AS k FROM {firsts}) x WHERE k <= 5"),
     "b17_popular": S("B17 F8", "SELECT dst, count(*) AS n FROM {ix} GROUP BY dst ORDER BY n DESC, dst LIMIT 20"),
     "b20_concat_blocks": S("B20", "SELECT q.qid, q.pos, coalesce(a.n, 0) AS n_dst, coalesce(b.n, 0) AS n_src FROM {q} q LEFT JOIN (SELECT dst, count(*) AS n FROM {train} GROUP BY dst) a ON a.dst = q.c LEFT JOIN (SELECT src, count(*) AS n FROM {train} GROUP BY src) b ON b.src = q.src"),
@@ -67,42 +84,47 @@ QUERIES = {
           round(CASE WHEN n_src - k_pair + 1 <= 32 THEN CAST(1 AS DOUBLE) / (n_src - k_pair + 1) ELSE 0.0 END, 6) AS recent_hit,
           round(ln(1 + coalesce(n_src, 0)) / ln(1 + greatest(n_all, 1)), 6) AS src_activity,
           round(CASE WHEN last_src IS NULL THEN 0.0 ELSE exp(-CAST(f.t - last_src AS DOUBLE) / span) END, 6) AS src_recency
-        FROM f JOIN line ON line.t = f.t WHERE f.is_event = 0"""),
+        FROM f JOIN line ON line.t = f.t WHERE f.is_event = 0""",
+        """WITH x AS (SELECT q.qid, q.pos, q.t,
+          (SELECT count(*) FROM {ix} e WHERE e.src = q.src AND e.t < q.t) AS ns, (SELECT max(t) FROM {ix} e WHERE e.src = q.src AND e.t < q.t) AS ls, (SELECT count(*) FROM {ix} e WHERE e.dst = q.c AND e.t < q.t) AS nd, (SELECT max(t) FROM {ix} e WHERE e.dst = q.c AND e.t < q.t) AS ld,
+          (SELECT count(*) FROM {ix} e WHERE e.src = q.src AND e.dst = q.c AND e.t < q.t) AS np, (SELECT max(t) FROM {ix} e WHERE e.src = q.src AND e.dst = q.c AND e.t < q.t) AS lp, (SELECT max(k) FROM {num} e WHERE e.src = q.src AND e.dst = q.c AND e.t < q.t) AS kp,
+          (SELECT count(*) FROM {ix} e WHERE e.t < q.t) AS n, greatest((SELECT max(t) FROM {ix} e WHERE e.t < q.t) - (SELECT min_t FROM {span}), 1) AS span FROM {q} q)
+        SELECT qid, pos, round(ln(1 + np), 6) AS pair_strength, round(np / greatest(ns, 1), 6) AS repeat_rate, round(coalesce(exp((lp - t) / span), 0), 6) AS pair_recency, round(ln(1 + nd) / ln(1 + n), 6) AS dst_popularity, round(coalesce(exp((ld - t) / span), 0), 6) AS dst_recency,
+          round(CASE WHEN ns - kp < 32 THEN 1 / (ns - kp + 1) ELSE 0 END, 6) AS recent_hit, round(ln(1 + ns) / ln(1 + n), 6) AS src_activity, round(coalesce(exp((ls - t) / span), 0), 6) AS src_recency FROM x"""),
     # D: priors, windows, lift
     "d1_d5_candidate_prior": S("D1 D2 D3 D4 D5", """WITH f AS (SELECT c, count(*) AS n FROM {q} GROUP BY c), tot AS (SELECT sum(n) AS n FROM f), seen AS (SELECT DISTINCT dst FROM {train}),
         x AS (SELECT q.qid, q.pos, CASE WHEN seen.dst IS NULL THEN 0 ELSE 1 END AS train_seen, CAST(f.n AS DOUBLE) / tot.n AS test_freq
               FROM {q} q JOIN f ON f.c = q.c CROSS JOIN tot LEFT JOIN seen ON seen.dst = q.c)
         SELECT qid, pos, train_seen, round(test_freq, 9) AS test_freq, round(CASE WHEN train_seen = 0 THEN test_freq ELSE 0.0 END, 9) AS unseen_test_freq,
-          round(1 / (rank() OVER (PARTITION BY qid ORDER BY test_freq DESC) + CAST(count(*) OVER (PARTITION BY qid, test_freq) - 1 AS DOUBLE) / 2), 6) AS test_freq_row_rank FROM x"""),
-    "d6_d8_target_windows": S("D6 D7 D8", f"""WITH w AS ({_WIDTHS.replace("0.05", "0.01").replace("0.2)", "0.05)").replace("0.5)", "0.2)")}),
-        d AS (SELECT qid, pos, dst, t, is_event, last_t, n_all1, n_all2, n_all3, n1, n2, n3 FROM (
-          SELECT e.qid, e.pos, e.dst, e.t, e.is_event, max(CASE WHEN is_event = 1 THEN e.t END) OVER (PARTITION BY e.dst ORDER BY e.t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_t,
-            CAST(0 AS BIGINT) AS n_all1, CAST(0 AS BIGINT) AS n_all2, CAST(0 AS BIGINT) AS n_all3, CAST(0 AS BIGINT) AS n1, CAST(0 AS BIGINT) AS n2, CAST(0 AS BIGINT) AS n3
-          FROM (SELECT CAST(NULL AS BIGINT) AS qid, CAST(NULL AS BIGINT) AS pos, dst, t, 1 AS is_event FROM {{ix}} UNION ALL SELECT qid, pos, c, t, 0 FROM {{q}}) e) y WHERE is_event = 0),
-        byd AS (SELECT q.qid, q.pos, count(CASE WHEN e.t >= q.t - w.w1 THEN 1 END) AS n1, count(CASE WHEN e.t >= q.t - w.w2 THEN 1 END) AS n2, count(e.t) AS n3
-                FROM {{q}} q CROSS JOIN w LEFT JOIN {{ix}} e ON e.dst = q.c AND e.t < q.t AND e.t >= q.t - w.w3 GROUP BY q.qid, q.pos),
-        alls AS (SELECT p.qid, count(CASE WHEN e.t >= p.t - w.w1 THEN 1 END) AS a1, count(CASE WHEN e.t >= p.t - w.w2 THEN 1 END) AS a2, count(e.t) AS a3
-                FROM (SELECT DISTINCT qid, t, h FROM (SELECT qid, t, EACH(CAST(floor((t - 600000) / 86400) AS BIGINT), CAST(floor(t / 86400) AS BIGINT))) AS h FROM {{q}} WHERE pos = 0) z) p CROSS JOIN w
-                JOIN (SELECT t, CAST(floor(t / 86400) AS BIGINT) AS h FROM {{ix}}) e ON e.h = p.h AND e.t < p.t AND e.t >= p.t - w.w3 GROUP BY p.qid),
-        f AS (SELECT d.qid, d.pos, byd.n1, byd.n2, byd.n3, coalesce(a1, 0) AS a1, coalesce(a2, 0) AS a2, coalesce(a3, 0) AS a3, d.t - d.last_t AS age, w.w1, w.w2, w.w3
-              FROM d JOIN byd ON byd.qid = d.qid AND byd.pos = d.pos LEFT JOIN alls ON alls.qid = d.qid CROSS JOIN w)
-        SELECT qid, pos, round(ln(1 + n1) / ln(1 + greatest(a1, 1)), 6) AS pop_w001, round(ln(1 + n2) / ln(1 + greatest(a2, 1)), 6) AS pop_w005, round(ln(1 + n3) / ln(1 + greatest(a3, 1)), 6) AS pop_w020,
-          round(CAST(n1 AS DOUBLE) / greatest(a1, 1), 6) AS share_w001, round(CAST(n3 AS DOUBLE) / greatest(a3, 1), 6) AS share_w020,
-          round(CASE WHEN n1 = 0 THEN 0.0 ELSE exp(-CAST(age AS DOUBLE) / w1) END, 6) AS recency_w001, round(CASE WHEN n3 = 0 THEN 0.0 ELSE exp(-CAST(age AS DOUBLE) / w3) END, 6) AS recency_w020,
-          round(1 / (rank() OVER (PARTITION BY qid ORDER BY n3 DESC) + CAST(count(*) OVER (PARTITION BY qid, n3) - 1 AS DOUBLE) / 2), 6) AS pop_rank_w020 FROM f"""),
-    "d9_d10_cooccur_lift": S("D9 D10 L10", """WITH h AS (SELECT p.qid, p.t, f.dst FROM (SELECT DISTINCT qid, src, t FROM {q}) p JOIN {firsts} f ON f.src = p.src AND f.t < p.t),
-        pop AS (SELECT dst, count(*) AS n FROM {train} GROUP BY dst),
-        cot AS (SELECT a, b, count(*) AS n FROM {co} WHERE t < (SELECT max(t) FROM {train}) GROUP BY a, b),
-        z AS (SELECT q.qid, q.pos, sum(cot.n) AS n FROM {q} q JOIN h ON h.qid = q.qid JOIN cot ON cot.a = h.dst AND cot.b = q.c GROUP BY q.qid, q.pos)
-        SELECT q.qid, q.pos, round(ln(1 + coalesce(z.n, 0)) - ln(1 + coalesce(pop.n, 0)), 6) AS lift, CASE WHEN q.t - least(q.t, g.end_t) < 86400 THEN 1 ELSE 0 END AS short_window_support
-        FROM {q} q LEFT JOIN z ON z.qid = q.qid AND z.pos = q.pos LEFT JOIN pop ON pop.dst = q.c CROSS JOIN (SELECT max(t) AS end_t FROM {train}) g"""),
-    "d11_growth": S("D11", """SELECT qid, pos, round(ln(1 + greatest(s1 / greatest(s2, 1e-12), 0)), 6) AS growth, round(u * ln(1 + greatest(s1 / greatest(s2, 1e-12), 0)), 6) AS activity_x_growth
-        FROM (SELECT qid, pos, s + 0e0 AS s1, r + 0e0 AS s2, u FROM {sc}) x"""),
+          round(1 / (rank() OVER (PARTITION BY qid ORDER BY test_freq DESC) + CAST(count(*) OVER (PARTITION BY qid, test_freq) - 1 AS DOUBLE) / 2), 6) AS test_freq_row_rank FROM x""",
+        """WITH x AS (SELECT qid, pos, (c IN (SELECT dst FROM {train}))::INT AS seen, (SELECT count(*) FROM {q} o WHERE o.c = q.c) / (SELECT count(*) FROM {q}) AS f FROM {q} q)
+        SELECT a.qid, a.pos, any_value(a.seen) AS train_seen, round(any_value(a.f), 9) AS test_freq, round(any_value(a.f * (1 - a.seen)), 9) AS unseen_test_freq, round(1 / (count(CASE WHEN b.f > a.f THEN 1 END) + (count(CASE WHEN b.f = a.f THEN 1 END) + 1) / 2), 6) AS test_freq_row_rank FROM x a JOIN x b ON b.qid = a.qid GROUP BY a.qid, a.pos"""),
+    # Queries are at or after the end of the training log, so what is available to each ends there.
+    "d9_d10_cooccur_lift": S("D9 D10 L10", """WITH g AS (SELECT max(t) AS end_t FROM {train}),
+        own AS (SELECT src, dst, max(t) AS last_t, max(seq) AS last_seq FROM {train} CROSS JOIN g WHERE t < end_t GROUP BY src, dst),
+        h AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY last_t DESC, last_seq DESC) AS k FROM own) x WHERE k <= 64),
+        pop AS (SELECT dst, count(*) AS n FROM {train} CROSS JOIN g WHERE t < end_t GROUP BY dst),
+        cot AS (SELECT a, b, count(*) AS n FROM {co} CROSS JOIN g WHERE t < end_t GROUP BY a, b),
+        pairs AS (SELECT DISTINCT src, c FROM {q}),
+        z AS (SELECT p.src, p.c, sum(cot.n) AS n FROM pairs p JOIN h ON h.src = p.src JOIN cot ON cot.a = h.dst AND cot.b = p.c GROUP BY p.src, p.c),
+        late AS (SELECT a, b, t FROM {co} CROSS JOIN g WHERE t < end_t AND t > end_t - 86400),
+        sz AS (SELECT q.qid, q.pos, count(*) AS n FROM {q} q CROSS JOIN g JOIN h ON h.src = q.src JOIN late ON late.a = h.dst AND late.b = q.c AND late.t > q.t - 86400 WHERE g.end_t > q.t - 86400 GROUP BY q.qid, q.pos),
+        sp AS (SELECT q.qid, q.pos, count(*) AS n FROM {q} q CROSS JOIN g JOIN {train} e ON e.dst = q.c AND e.t > q.t - 86400 AND e.t < g.end_t WHERE e.t > g.end_t - 86400 AND g.end_t > q.t - 86400 GROUP BY q.qid, q.pos)
+        SELECT q.qid, q.pos, round(ln(1 + coalesce(z.n, 0)) - ln(1 + coalesce(pop.n, 0)), 6) AS lift_full, round(ln(1 + coalesce(sz.n, 0)) - ln(1 + coalesce(sp.n, 0)), 6) AS lift_short, CASE WHEN g.end_t > q.t - 86400 THEN 1 ELSE 0 END AS short_window_support
+        FROM {q} q CROSS JOIN g LEFT JOIN z ON z.src = q.src AND z.c = q.c LEFT JOIN pop ON pop.dst = q.c LEFT JOIN sz ON sz.qid = q.qid AND sz.pos = q.pos LEFT JOIN sp ON sp.qid = q.qid AND sp.pos = q.pos"""),
+    "d4_row_ranks": S("D4", f"""WITH f AS ({_AS_OF}), x AS (SELECT qid, pos, coalesce(n_dst, 0) AS n, coalesce(last_dst, -1) AS last FROM f WHERE is_event = 0)
+        SELECT qid, pos, round(1 / (rank() OVER (PARTITION BY qid ORDER BY n DESC) + CAST(count(*) OVER (PARTITION BY qid, n) - 1 AS DOUBLE) / 2), 6) AS dst_pop_row_rank,
+          round(1 / (rank() OVER (PARTITION BY qid ORDER BY last DESC) + CAST(count(*) OVER (PARTITION BY qid, last) - 1 AS DOUBLE) / 2), 6) AS dst_recency_row_rank FROM x""",
+        """WITH x AS (SELECT q.qid, q.pos, count(e.t) AS n, coalesce(max(e.t), -1) AS last FROM {q} q LEFT JOIN {ix} e ON e.dst = q.c AND e.t < q.t GROUP BY q.qid, q.pos)
+        SELECT a.qid, a.pos, round(1 / (count(CASE WHEN b.n > a.n THEN 1 END) + (count(CASE WHEN b.n = a.n THEN 1 END) + 1) / 2e0), 6) AS dst_pop_row_rank,
+          round(1 / (count(CASE WHEN b.last > a.last THEN 1 END) + (count(CASE WHEN b.last = a.last THEN 1 END) + 1) / 2e0), 6) AS dst_recency_row_rank FROM x a JOIN x b ON b.qid = a.qid GROUP BY a.qid, a.pos"""),
     "d12_graph_prior": S("D12", """WITH g AS (SELECT max(t) AS o, greatest(max(t) - min(t), 1) AS span, count(*) AS n FROM {train}),
         f AS (SELECT e.dst, count(*) AS n, max(e.t) AS last_t, count(CASE WHEN e.t > g.o - g.span * 0.05 THEN 1 END) AS n5, count(CASE WHEN e.t > g.o - g.span * 0.2 THEN 1 END) AS n20 FROM {train} e CROSS JOIN g GROUP BY e.dst)
         SELECT q.qid, q.pos, round(CAST(coalesce(f.n, 0) AS DOUBLE) / g.n, 9) AS train_freq, round(ln(1 + coalesce(n5, 0)), 6) AS pop5, round(ln(1 + coalesce(n20, 0)), 6) AS pop20,
           round(1 / (rank() OVER (PARTITION BY q.qid ORDER BY coalesce(f.n, 0) DESC) + CAST(count(*) OVER (PARTITION BY q.qid, coalesce(f.n, 0)) - 1 AS DOUBLE) / 2), 6) AS train_freq_rank
-        FROM {q} q LEFT JOIN f ON f.dst = q.c CROSS JOIN g"""),
+        FROM {q} q LEFT JOIN f ON f.dst = q.c CROSS JOIN g""",
+        """WITH o AS (SELECT max(t) AS o, max(t) - min(t) AS span, count(*) AS n FROM {train}), x AS (SELECT q.qid, q.pos, (SELECT count(*) FROM {train} e WHERE e.dst = q.c) AS f, (SELECT count(*) FROM {train} e, o WHERE e.dst = q.c AND e.t > o.o - o.span * 0.05) AS n5, (SELECT count(*) FROM {train} e, o WHERE e.dst = q.c AND e.t > o.o - o.span * 0.2) AS n20 FROM {q} q)
+        SELECT a.qid, a.pos, round(any_value(a.f) / (SELECT n FROM o), 9) AS train_freq, round(ln(1 + any_value(a.n5)), 6) AS pop5, round(ln(1 + any_value(a.n20)), 6) AS pop20, round(1 / (count(CASE WHEN b.f > a.f THEN 1 END) + (count(CASE WHEN b.f = a.f THEN 1 END) + 1) / 2), 6) AS train_freq_rank FROM x a JOIN x b ON b.qid = a.qid GROUP BY a.qid, a.pos"""),
     "d13_support_score": S("D13", """WITH g AS (SELECT max(t) AS o, greatest(max(t) - min(t), 1) AS horizon FROM {train}),
         p AS (SELECT src, dst, count(*) AS n, max(t) AS last_t FROM {train} GROUP BY src, dst),
         x AS (SELECT q.qid, q.pos, 3 * CASE WHEN p.n IS NULL THEN 0 ELSE 1 END + ln(1 + coalesce(p.n, 0)) + CASE WHEN p.n IS NULL THEN 0 ELSE exp(-CAST(g.o - p.last_t AS DOUBLE) / greatest(CAST(g.horizon AS DOUBLE) / 100, 1)) END AS raw
@@ -111,23 +133,20 @@ QUERIES = {
         SELECT qid, pos, raw, round((rank() OVER (PARTITION BY qid ORDER BY raw) - 1 + CAST(count(*) OVER (PARTITION BY qid, raw) - 1 AS DOUBLE) / 2) / 19, 6) AS percentile FROM y"""),
     # E: structure
     "e1_pair_decay": S("E1", f"""WITH w AS ({_WIDTHS})
-        SELECT q.qid, q.pos, round(sum(exp(-CAST(q.t - e.t AS DOUBLE) / w.w1)), 6) AS decay_short, round(sum(exp(-CAST(q.t - e.t AS DOUBLE) / w.w2)), 6) AS decay_medium, round(sum(exp(-CAST(q.t - e.t AS DOUBLE) / w.w3)), 6) AS decay_long
-        FROM {{q}} q CROSS JOIN w JOIN {{ix}} e ON e.src = q.src AND e.dst = q.c AND e.t < q.t GROUP BY q.qid, q.pos"""),
+        SELECT q.qid, q.pos, round(sum(coalesce(exp(-CAST(q.t - e.t AS DOUBLE) / w.w1), 0)), 6) AS decay_short, round(sum(coalesce(exp(-CAST(q.t - e.t AS DOUBLE) / w.w2), 0)), 6) AS decay_medium, round(sum(coalesce(exp(-CAST(q.t - e.t AS DOUBLE) / w.w3), 0)), 6) AS decay_long
+        FROM {{q}} q CROSS JOIN w LEFT JOIN {{ix}} e ON e.src = q.src AND e.dst = q.c AND e.t < q.t GROUP BY q.qid, q.pos""",
+        f"""WITH w AS ({_WIDTHS}), sums AS (SELECT q.qid, q.pos, sum(exp(-CAST(q.t - e.t AS DOUBLE) / w.w1)) AS s, sum(exp(-CAST(q.t - e.t AS DOUBLE) / w.w2)) AS m, sum(exp(-CAST(q.t - e.t AS DOUBLE) / w.w3)) AS l
+          FROM {{q}} q, w, {{ix}} e WHERE e.src = q.src AND e.dst = q.c AND e.t < q.t GROUP BY q.qid, q.pos)
+        SELECT q.qid, q.pos, round(coalesce(s, 0), 6) AS decay_short, round(coalesce(m, 0), 6) AS decay_medium, round(coalesce(l, 0), 6) AS decay_long FROM {{q}} q LEFT JOIN sums ON sums.qid = q.qid AND sums.pos = q.pos"""),
     "e2_e3_dst_unique_src": S("E2 E3", """SELECT qid, pos, round(ln(1 + u), 6) AS dst_unique_src, round(CASE WHEN u = 0 THEN 0.0 ELSE 1 / ln(2 + u) END, 6) AS dst_pop_rank FROM (
           SELECT qid, pos, is_event, coalesce(sum(is_event) OVER (PARTITION BY dst ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u
           FROM (SELECT CAST(NULL AS BIGINT) AS qid, CAST(NULL AS BIGINT) AS pos, dst, t, 1 AS is_event FROM {firsts} UNION ALL SELECT qid, pos, c, t, 0 FROM {q}) x) y WHERE is_event = 0""",
         """SELECT q.qid, q.pos, round(ln(1 + count(DISTINCT e.src)), 6) AS dst_unique_src, round(CASE WHEN count(DISTINCT e.src) = 0 THEN 0.0 ELSE 1 / ln(2 + count(DISTINCT e.src)) END, 6) AS dst_pop_rank
           FROM {q} q LEFT JOIN {ix} e ON e.dst = q.c AND e.t < q.t GROUP BY q.qid, q.pos"""),
     "e4_reverse": S("E4", """SELECT q.qid, q.pos, round(ln(1 + count(e.t)), 6) AS reverse_log_count, round(CASE WHEN count(e.t) = 0 THEN 0.0 ELSE exp(-CAST(q.t - max(e.t) AS DOUBLE) / max(sp.span)) END, 6) AS reverse_recency
-        FROM {q} q CROSS JOIN {span} sp LEFT JOIN {ix} e ON e.src = q.c AND e.dst = q.src AND e.t < q.t GROUP BY q.qid, q.pos, q.t"""),
-    "e5_e11_two_hop": S("E5 E6 E9 E10 E11", """WITH n AS (SELECT p.qid, p.t, f.dst AS z FROM (SELECT DISTINCT qid, src, t FROM {q}) p JOIN {firsts} f ON f.src = p.src AND f.t < p.t),
-        nn AS (SELECT qid, count(*) AS n FROM n GROUP BY qid),
-        ss AS (SELECT q.qid, q.pos, count(f.src) AS n FROM {q} q LEFT JOIN {firsts} f ON f.dst = q.c AND f.t < q.t GROUP BY q.qid, q.pos),
-        hop AS (SELECT q.qid, q.pos, count(*) AS common, sum(1 / ln(1 + CAST(deg.deg AS DOUBLE))) AS aa, sum(CAST(1 AS DOUBLE) / deg.deg) AS ra
-                FROM {q} q JOIN n ON n.qid = q.qid JOIN {firsts} f ON f.src = n.z AND f.dst = q.c AND f.t < q.t JOIN {deg} deg ON deg.node = n.z GROUP BY q.qid, q.pos)
-        SELECT q.qid, q.pos, round(ln(1 + coalesce(hop.common, 0)), 6) AS common_neighbors, round(CAST(coalesce(hop.common, 0) AS DOUBLE) / greatest(coalesce(nn.n, 0) + ss.n - coalesce(hop.common, 0), 1), 6) AS jaccard,
-          round(ln(1 + coalesce(aa, 0)), 6) AS adamic_adar_log, round(ln(1 + coalesce(ra, 0)), 6) AS resource_allocation_log, round(ln(1 + coalesce(deg.deg, 0)), 6) AS dst_degree_log
-        FROM {q} q LEFT JOIN nn ON nn.qid = q.qid JOIN ss ON ss.qid = q.qid AND ss.pos = q.pos LEFT JOIN hop ON hop.qid = q.qid AND hop.pos = q.pos LEFT JOIN {deg} deg ON deg.node = q.c"""),
+        FROM {q} q CROSS JOIN {span} sp LEFT JOIN {ix} e ON e.src = q.c AND e.dst = q.src AND e.t < q.t GROUP BY q.qid, q.pos, q.t""",
+        """SELECT q.qid, q.pos, round(ln(1 + (SELECT count(*) FROM {ix} e WHERE e.src = q.c AND e.dst = q.src AND e.t < q.t)), 6) AS reverse_log_count,
+          round(coalesce(exp(((SELECT max(t) FROM {ix} e WHERE e.src = q.c AND e.dst = q.src AND e.t < q.t) - q.t) / (SELECT span FROM {span})), 0), 6) AS reverse_recency FROM {q} q"""),
     "e7_e8_cooccur_transition": S("E7 E8", """WITH h AS (SELECT p.qid, p.t, f.dst FROM (SELECT DISTINCT qid, src, t FROM {q}) p JOIN {firsts} f ON f.src = p.src AND f.t < p.t),
         look AS (SELECT q.qid, q.pos, h.dst AS a, q.c AS b, q.t FROM {q} q JOIN h ON h.qid = q.qid AND h.dst <> q.c),
         z AS (SELECT qid, pos, sum(n) AS n FROM (
@@ -143,27 +162,48 @@ QUERIES = {
         tr AS (SELECT q.qid, q.pos, count(*) AS n FROM {q} q JOIN l ON l.qid = q.qid JOIN {steps} s ON s.prev = l.last_dst AND s.dst = q.c AND s.t < q.t GROUP BY q.qid, q.pos)
         SELECT q.qid, q.pos, round(ln(1 + coalesce(z.n, 0)), 6) AS cooccur_score, round(ln(1 + coalesce(tr.n, 0)), 6) AS transition_score
         FROM {q} q LEFT JOIN z ON z.qid = q.qid AND z.pos = q.pos LEFT JOIN tr ON tr.qid = q.qid AND tr.pos = q.pos"""),
-    "e12_aa_rank": S("E12", "SELECT qid, pos, round(CASE WHEN r = 0 THEN 0.0 ELSE 1 - CAST(k - 1 AS DOUBLE) / 19 END, 6) AS aa_log_rank FROM (SELECT qid, pos, r, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS k FROM {sc}) x"),
-    "e13_cooccur_decay": S("E13 F6", """SELECT a, b, round(sum(exp(-CAST(sp.max_t - co.t AS DOUBLE) / greatest(sp.span * 0.05, 1))), 6) AS decayed FROM {co} co CROSS JOIN {span} sp GROUP BY a, b"""),
+    "f6_decayed_map": S("F6", """SELECT a, b, round(sum(exp(-CAST(sp.max_t - co.t AS DOUBLE) / greatest(sp.span * 0.05, 1))), 6) AS decayed FROM {co} co CROSS JOIN {span} sp GROUP BY a, b"""),
     "e14_neighbour_cap": S("E14 F9", "SELECT src, dst, last_t, k FROM (SELECT src, dst, last_t, CAST(row_number() OVER (PARTITION BY src ORDER BY last_t DESC, last_seq DESC) AS BIGINT) AS k FROM (SELECT src, dst, max(t) AS last_t, max(seq) AS last_seq FROM {ix} GROUP BY src, dst) x) y WHERE k <= 16"),
-    "e15_bridge_policy": S("E15", """WITH a AS (SELECT DISTINCT src AS v FROM {ix}), b AS (SELECT DISTINCT dst AS v FROM {ix}),
-        r AS (SELECT CAST(count(*) AS DOUBLE) / greatest(least((SELECT count(*) FROM a), (SELECT count(*) FROM b)), 1) AS ratio FROM a JOIN b ON a.v = b.v)
-        SELECT ratio, CASE WHEN ratio >= 0.5 THEN 'global' WHEN ratio > 0 THEN 'both_roles' ELSE 'degree' END AS policy, CASE WHEN ratio >= 0.5 THEN 0 ELSE 2 END AS min_degree FROM r"""),
-    "e16_two_hop_proxy": S("E16", "SELECT least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS n FROM {co} WHERE a < b GROUP BY least(a, b), greatest(a, b)"),
+    "e15_bridge_policy": S("E15", "SELECT ratio, policy, min_degree FROM {bridge}"),
+    # A decayed sum at t is the sum anchored at the end of the log, carried to t.
+    "e16_two_hop_proxy": S("E13 E16", """WITH w AS (SELECT max_t, greatest(span * 0.05, 1) AS tau FROM {span}),
+        h AS (SELECT qid, dst FROM (SELECT p.qid, e.dst, row_number() OVER (PARTITION BY p.qid ORDER BY max(e.t) DESC, max(e.seq) DESC) AS k FROM (SELECT DISTINCT qid, src, t FROM {q}) p JOIN {ix} e ON e.src = p.src AND e.t < p.t GROUP BY p.qid, e.dst) x WHERE k <= 64),
+        look AS (SELECT q.qid, q.pos, h.dst AS a, q.c AS b, q.t FROM {q} q JOIN h ON h.qid = q.qid AND h.dst <> q.c),
+        z AS (SELECT qid, pos, sum(n) AS n, sum(v) AS v FROM (SELECT qid, pos, is_event, sum(is_event) OVER x AS n, sum(v) OVER x AS v
+            FROM (SELECT qid, pos, a, b, t, 0 AS is_event, 0e0 AS v FROM look UNION ALL SELECT CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), a, b, t, 1, exp(CAST(t - max_t AS DOUBLE) / tau) FROM {co} CROSS JOIN w) u WINDOW x AS (PARTITION BY a, b ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) y
+          WHERE is_event = 0 GROUP BY qid, pos)
+        SELECT q.qid, q.pos, CAST(coalesce(z.n, 0) AS BIGINT) AS raw, round(coalesce(z.v, 0) * exp(CAST(w.max_t - q.t AS DOUBLE) / w.tau), 5) AS decayed FROM {q} q CROSS JOIN w LEFT JOIN z ON z.qid = q.qid AND z.pos = q.pos""",
+        """WITH w AS (SELECT max_t, greatest(span * 0.05, 1) AS tau FROM {span}), h AS (SELECT p.qid, list(DISTINCT e.dst) AS all_dst, list(e.dst ORDER BY e.k DESC) AS seq FROM (SELECT DISTINCT qid, src, t FROM {q}) p JOIN {num} e ON e.src = p.src AND e.t < p.t GROUP BY p.qid),
+        l AS (SELECT qid, unnest(all_dst) AS dst, seq FROM h), m AS (SELECT qid, dst FROM (SELECT qid, dst, row_number() OVER (PARTITION BY qid ORDER BY list_position(seq, dst)) AS k FROM l) x WHERE k <= 64),
+        z AS (SELECT q.qid, q.pos, count(*) AS n, sum(exp((co.t - q.t) / w.tau)) AS v FROM {q} q CROSS JOIN w JOIN m ON m.qid = q.qid AND m.dst <> q.c JOIN {co} co ON co.a = m.dst AND co.b = q.c AND co.t < q.t GROUP BY q.qid, q.pos)
+        SELECT q.qid, q.pos, coalesce(z.n, 0) AS raw, round(coalesce(z.v, 0), 5) AS decayed FROM {q} q LEFT JOIN z ON z.qid = q.qid AND z.pos = q.pos"""),
     # F: index operators
     "f1_source_view": S("F1", "SELECT p.qid, e.dst, e.t, e.seq FROM (SELECT DISTINCT qid, src, t FROM {q}) p JOIN {ix} e ON e.src = p.src AND e.t < p.t"),
     "f2_destination_view": S("F2", "SELECT p.qid, e.src, e.t, e.seq FROM {q} p JOIN {ix} e ON e.dst = p.c AND e.t < p.t WHERE p.pos = 0"),
-    "f3_pair_times": S("F3", "SELECT q.qid, q.pos, count(e.t) AS n, count(b.t) AS n_reverse FROM {q} q LEFT JOIN (SELECT src, dst, t FROM {ix}) e ON e.src = q.src AND e.dst = q.c AND e.t < q.t LEFT JOIN (SELECT src, dst, t FROM {firsts}) b ON b.src = q.c AND b.dst = q.src AND b.t < q.t GROUP BY q.qid, q.pos"),
+    "f3_pair_times": S("F3", """SELECT qid, pos, coalesce(sum(CASE WHEN forward THEN one END), 0) AS n, coalesce(sum(CASE WHEN NOT forward THEN one END), 0) AS n_reverse FROM (
+          SELECT qid, pos, forward, sum(one) OVER (PARTITION BY a, b ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS one FROM (
+            SELECT CAST(NULL AS BIGINT) AS qid, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BOOLEAN) AS forward, src AS a, dst AS b, t, 1 AS one FROM {ix}
+            UNION ALL SELECT qid, pos, TRUE, src, c, t, 0 FROM {q} UNION ALL SELECT qid, pos, FALSE, c, src, t, 0 FROM {q}) x) y WHERE qid IS NOT NULL GROUP BY qid, pos""",
+        """SELECT q.qid, q.pos, (SELECT count(*) FROM {ix} e WHERE e.src = q.src AND e.dst = q.c AND e.t < q.t) AS n, (SELECT count(*) FROM {ix} e WHERE e.src = q.c AND e.dst = q.src AND e.t < q.t) AS n_reverse FROM {q} q"""),
     "f4_transitions": S("F4", "SELECT prev, dst AS cur, t FROM {steps}"),
     "f5_cooccurrence": S("F5", "SELECT a, b, n FROM {con}"),
-    "f7_candidates": S("F7", """SELECT src, c, n FROM (SELECT src, c, n, row_number() OVER (PARTITION BY src ORDER BY n DESC, c) AS k FROM (
-          SELECT h.src, con.b AS c, CAST(sum(con.n) AS BIGINT) AS n FROM (SELECT DISTINCT src, dst FROM {num} WHERE k > n - 64) h JOIN {con} con ON con.a = h.dst GROUP BY h.src, con.b) x) y WHERE k <= 20"""),
+    "f7_candidates": S("F7", """WITH h AS (SELECT DISTINCT src, dst FROM {num} WHERE k > n - 64), nxt AS (SELECT prev AS a, dst AS b, count(*) AS n FROM {steps} GROUP BY prev, dst)
+        SELECT kind, src, c, n FROM (SELECT kind, src, c, n, row_number() OVER (PARTITION BY kind, src ORDER BY n DESC, c) AS k FROM (
+          SELECT 'cooccur' AS kind, h.src, con.b AS c, CAST(sum(con.n) AS BIGINT) AS n FROM h JOIN {con} con ON con.a = h.dst GROUP BY h.src, con.b
+          UNION ALL SELECT 'transition', h.src, nxt.b, CAST(sum(nxt.n) AS BIGINT) FROM h JOIN nxt ON nxt.a = h.dst GROUP BY h.src, nxt.b) x) y WHERE k <= 512"""),
     "f10_row_sums": S("F10 F11", """SELECT q.qid, q.pos, CAST(coalesce(sum(con.n), 0) AS BIGINT) AS n FROM {q} q LEFT JOIN (SELECT src, dst FROM {firsts}) h ON h.src = q.src AND h.dst <> q.c
         LEFT JOIN {con} con ON con.a = h.dst AND con.b = q.c GROUP BY q.qid, q.pos"""),
-    "f13_causal_sequence": S("F13", """SELECT p.qid, SORTED(LIST_OF(e.k * 1000 + e.dst)) AS items FROM (SELECT DISTINCT qid, src, t FROM {q}) p
-        JOIN {num} e ON e.src = p.src AND e.t < p.t GROUP BY p.qid"""),
-    "f14_f15_buckets": S("F14 F15", """SELECT qid, pos, CAST(CASE WHEN d < 60 THEN 0 WHEN d < 3600 THEN 1 WHEN d < 86400 THEN 2 WHEN d < 604800 THEN 3 ELSE 4 END AS BIGINT) AS delta_bucket, CAST(least(floor(ln(CAST(n AS DOUBLE)) / ln(2e0) + 1e-9) + 1, 16) AS BIGINT) AS count_bucket
-        FROM (SELECT qid, pos, (t * 7 + pos * 9973) % 1000000 AS d, 1 + (qid + pos * 13) % 70 AS n FROM {q}) x"""),
+    "f13_causal_sequence": S("F13", f"""WITH g AS (SELECT max(t) AS end_t FROM {{train}}), p AS (SELECT DISTINCT qid, src, least(t, end_t) AS t FROM {{q}} CROSS JOIN g),
+        h AS (SELECT qid, dst, t, k, row_number() OVER (PARTITION BY qid ORDER BY k DESC) AS back FROM (SELECT p.qid, e.dst, e.t, e.k FROM p JOIN {{num}} e ON e.src = p.src AND e.t < p.t) x),
+        s AS (SELECT qid, dst, row_number() OVER (PARTITION BY qid ORDER BY k) - 1 AS place, t - coalesce(lag(t) OVER (PARTITION BY qid ORDER BY k), t) AS d FROM h WHERE back <= 32)
+        SELECT p.qid, p.place, coalesce(s.dst + 1, 0) AS item, CASE WHEN s.dst IS NULL THEN 0 ELSE {_delta_bucket("s.d")} END AS delta_bucket
+        FROM (SELECT qid, EACH(CAST(0 AS BIGINT), CAST(31 AS BIGINT))) AS place FROM p) p LEFT JOIN s ON s.qid = p.qid AND s.place = p.place"""),
+    "f14_f15_buckets": S("F14 F15", f"""WITH x AS (SELECT q.qid, q.pos, q.t, f.n_src, f.last_src, sp.min_t, sp.span FROM {{q}} q JOIN ({_AS_OF}) f ON f.qid = q.qid AND f.pos = q.pos CROSS JOIN {{span}} sp)
+        SELECT qid, pos, {_delta_bucket("coalesce(t - last_src, 0)")} AS delta_bucket, CAST(CASE WHEN coalesce(n_src, 0) <= 0 THEN 0 ELSE least(floor(ln(CAST(n_src AS DOUBLE)) / ln(2e0) + 1e-9) + 1, 16) END AS BIGINT) AS count_bucket,
+          CAST(CASE WHEN last_src IS NULL THEN 0 ELSE least(floor(exp(-CAST(t - last_src AS DOUBLE) / span) * 15) + 1, 16) END AS BIGINT) AS recency_bucket, CAST(least(floor(least(greatest(CAST(t - min_t AS DOUBLE) / span, 0), 1) * 24), 23) AS BIGINT) AS time_bucket FROM x""",
+        f"""WITH x AS (SELECT q.qid, q.pos, q.t, count(e.t) AS n_src, max(e.t) AS last_src, max(sp.min_t) AS min_t, max(sp.span) AS span FROM {{q}} q CROSS JOIN {{span}} sp LEFT JOIN {{ix}} e ON e.src = q.src AND e.t < q.t GROUP BY q.qid, q.pos, q.t)
+        SELECT qid, pos, len(list_filter([{", ".join(map(str, BOUNDARIES))}], lambda b: b <= coalesce(t - last_src, 0))) AS delta_bucket, CASE WHEN n_src = 0 THEN 0 ELSE least(len(bin(n_src)), 16) END AS count_bucket,
+          CASE WHEN last_src IS NULL THEN 0 ELSE least(CAST(floor(exp((last_src - t) / span::DOUBLE) * 15) AS BIGINT) + 1, 16) END AS recency_bucket, least((t - min_t) * 24 // span, 23) AS time_bucket FROM x"""),
     "f17_history_descriptors": S("F17", """SELECT qid, n_src AS source_activity, n_dst AS positive_dst_popularity, n_pair > 0 AS repeat_edge FROM (
           SELECT qid, is_event, coalesce(sum(is_event) OVER (PARTITION BY src ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_src,
             coalesce(sum(is_event) OVER (PARTITION BY dst ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_dst,
@@ -172,30 +212,54 @@ QUERIES = {
         """SELECT q.qid, (SELECT count(*) FROM {ix} e WHERE e.src = q.src AND e.t < q.t) AS source_activity, (SELECT count(*) FROM {ix} e WHERE e.dst = q.c AND e.t < q.t) AS positive_dst_popularity,
           (SELECT count(*) FROM {ix} e WHERE e.src = q.src AND e.dst = q.c AND e.t < q.t) > 0 AS repeat_edge FROM {q} q WHERE q.pos = 0"""),
     # G: source profile and heuristics
-    "g1_windowed_pairs": S("G1", "SELECT a.dst AS a, b.dst AS b, count(*) AS n FROM {num} a JOIN {num} b ON a.src = b.src AND b.k - a.k BETWEEN -16 AND 16 AND b.k <> a.k AND a.dst <> b.dst GROUP BY a.dst, b.dst"),
-    "g2_g6_profile": S("G2 G3 G4 G5 G6 G8", """WITH pc AS (SELECT a.dst AS a, b.dst AS b, count(*) AS n FROM {num} a JOIN {num} b ON a.src = b.src AND b.k - a.k BETWEEN -16 AND 16 AND b.k <> a.k AND a.dst <> b.dst GROUP BY a.dst, b.dst),
-        dg AS (SELECT a, sum(n) AS d FROM pc GROUP BY a),
-        h AS (SELECT p.qid, e.dst, e.k, count(*) OVER (PARTITION BY p.qid) - row_number() OVER (PARTITION BY p.qid ORDER BY e.k) AS back FROM (SELECT DISTINCT qid, src, t FROM {q}) p JOIN {num} e ON e.src = p.src AND e.t < p.t)
-        SELECT q.qid, q.pos, round(sum(ln(1 + pc.n)), 6) AS cooccur_sum, round(max(ln(1 + pc.n)), 6) AS cooccur_max, round(sum(pc.n / sqrt(CAST(x.d AS DOUBLE) * y.d)), 6) AS cosine_sum, round(max(pc.n / sqrt(CAST(x.d AS DOUBLE) * y.d)), 6) AS cosine_max,
-          round(coalesce(sum(CASE WHEN back < 32 THEN pc.n / sqrt(CAST(x.d AS DOUBLE) * y.d) END), 0), 6) AS recent_cosine_sum, round(ln(1 + sum(ln(1 + pc.n) * (power(2, least(back, 32)) - 1))), 6) AS posdecay
-        FROM {q} q JOIN h ON h.qid = q.qid AND h.dst <> q.c JOIN pc ON pc.a = h.dst AND pc.b = q.c JOIN dg x ON x.a = pc.a JOIN dg y ON y.a = pc.b GROUP BY q.qid, q.pos"""),
     "g9_g10_quadrant": S("G9 G10", f"""WITH f AS ({_AS_OF}), x AS (SELECT f.*, sp.span, sp.n AS total FROM f CROSS JOIN {{span}} sp WHERE is_event = 0),
         y AS (SELECT qid, pos, CAST(coalesce(n_pair, 0) AS DOUBLE) / greatest(coalesce(n_src, 0), 1) AS lr_freq, CASE WHEN last_pair IS NULL THEN 0.0 ELSE exp(-CAST(t - last_pair AS DOUBLE) / span) END AS lr_recency,
           CAST(coalesce(n_dst, 0) AS DOUBLE) / total AS gr_freq, CASE WHEN last_dst IS NULL THEN 0.0 ELSE exp(-CAST(t - last_dst AS DOUBLE) / span) END AS gr_recency, ln(1 + coalesce(n_pair, 0)) AS lp, ln(1 + coalesce(n_dst, 0)) AS gp, coalesce(n_src, 0) AS n_src, total FROM x)
         SELECT qid, pos, round(lr_freq, 6) AS lr_freq, round(lr_recency, 6) AS lr_recency, round(gr_freq, 6) AS gr_freq, round(gr_recency, 6) AS gr_recency, round(lp, 6) AS lp_log, round(gp, 6) AS gp_log,
-          round(2 * lr_recency + lp / greatest(1, ln(1 + greatest(n_src, 1))) + gr_recency + gp / 2 / greatest(1, ln(1 + total)), 6) AS combined FROM y"""),
-    "g11_common_windows": S("G11", f"""WITH w AS ({_WIDTHS})
-        SELECT q.qid, q.pos, round(ln(1 + count(DISTINCT CASE WHEN a.t >= q.t - w.w1 THEN a.dst END)), 6) AS cn_short, round(ln(1 + count(DISTINCT CASE WHEN a.t >= q.t - w.w2 THEN a.dst END)), 6) AS cn_medium, round(ln(1 + count(DISTINCT a.dst)), 6) AS cn_all
-        FROM {{q}} q CROSS JOIN w JOIN {{ix}} a ON a.src = q.src AND a.t < q.t JOIN {{firsts}} b ON b.src = a.dst AND b.dst = q.c AND b.t < q.t GROUP BY q.qid, q.pos"""),
-    "g12_own_adjacency": S("G12", f"""WITH w AS ({_WIDTHS})
-        SELECT q.qid, q.pos, round(sum(CASE WHEN s.dst = q.c THEN exp(-CAST(q.t - s.t AS DOUBLE) / w.w2) ELSE 0.0 END), 6) AS cooccur_fwd, round(sum(CASE WHEN s.prev = q.c THEN exp(-CAST(q.t - s.t AS DOUBLE) / w.w2) ELSE 0.0 END), 6) AS cooccur_bwd
-        FROM {{q}} q CROSS JOIN w JOIN {{steps}} s ON s.src = q.src AND s.t < q.t AND (s.dst = q.c OR s.prev = q.c) GROUP BY q.qid, q.pos"""),
-    "g13_hop2": S("G13", f"""WITH w AS ({_WIDTHS}), g AS (SELECT s.prev AS a, s.dst AS b, sum(exp(-CAST(w.max_t - s.t AS DOUBLE) / w.w2)) AS w FROM {{steps}} s CROSS JOIN w GROUP BY s.prev, s.dst)
-        SELECT x.a, y.b, round(ln(1 + sum(x.w * y.w)), 6) AS hop2 FROM g x JOIN g y ON x.b = y.a GROUP BY x.a, y.b"""),
-    "g14_g15_interpolation": S("G14 G15 H6", """WITH n AS (SELECT qid, pos, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 0.0 END AS a, CASE WHEN max(r) OVER w > min(r) OVER w THEN (r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) ELSE 0.0 END AS b FROM {sc} WINDOW w AS (PARTITION BY qid)),
-        m AS (SELECT g, qid, round(CAST(g AS DOUBLE) / 10 * a + (1 - CAST(g AS DOUBLE) / 10) * b, 9) AS x, pos FROM (SELECT qid, pos, a, b, EACH(0, 10)) AS g FROM n) y),
-        rr AS (SELECT g, qid, CAST(1 AS DOUBLE) / (1 + count(CASE WHEN x > p THEN 1 END) + CAST(count(CASE WHEN x = p AND pos > 0 THEN 1 END) AS DOUBLE) / 2) AS rr FROM (SELECT g, qid, pos, x, max(CASE WHEN pos = 0 THEN x END) OVER (PARTITION BY g, qid) AS p FROM m) z GROUP BY g, qid)
-        SELECT CAST(g AS BIGINT) AS g, round(avg(rr), 6) AS mrr FROM rr GROUP BY g"""),
+          round(2 * lr_recency + lp / greatest(1, ln(1 + greatest(n_src, 1))) + gr_recency + gp / 2 / greatest(1, ln(1 + total)), 6) AS combined FROM y""",
+        """WITH x AS (SELECT q.qid, q.pos, q.t, (SELECT count(*) FROM {ix} e WHERE e.src = q.src AND e.t < q.t) AS ns, (SELECT count(*) FROM {ix} e WHERE e.dst = q.c AND e.t < q.t) AS nd, (SELECT max(t) FROM {ix} e WHERE e.dst = q.c AND e.t < q.t) AS ld,
+          (SELECT count(*) FROM {ix} e WHERE e.src = q.src AND e.dst = q.c AND e.t < q.t) AS np, (SELECT max(t) FROM {ix} e WHERE e.src = q.src AND e.dst = q.c AND e.t < q.t) AS lp, sp.span, sp.n FROM {q} q, {span} sp)
+        SELECT qid, pos, round(np / greatest(ns, 1), 6) AS lr_freq, round(coalesce(exp((lp - t) / span), 0), 6) AS lr_recency, round(nd / n, 6) AS gr_freq, round(coalesce(exp((ld - t) / span), 0), 6) AS gr_recency, round(ln(1 + np), 6) AS lp_log, round(ln(1 + nd), 6) AS gp_log,
+          round(2 * coalesce(exp((lp - t) / span), 0) + ln(1 + np) / greatest(1, ln(1 + greatest(ns, 1))) + coalesce(exp((ld - t) / span), 0) + ln(1 + nd) / 2 / greatest(1, ln(1 + n)), 6) AS combined FROM x"""),
+    "g11_common_windows": S("G11", f"""WITH w AS ({_WIDTHS}), path AS (SELECT a.src, b.dst AS c, a.dst AS z, a.t, greatest(a.t, b.t) AS known FROM {{ix}} a JOIN {{firsts}} b ON b.src = a.dst)
+        SELECT q.qid, q.pos, round(ln(1 + count(DISTINCT CASE WHEN p.t >= q.t - w.w1 THEN p.z END)), 6) AS cn_short, round(ln(1 + count(DISTINCT CASE WHEN p.t >= q.t - w.w2 THEN p.z END)), 6) AS cn_medium,
+          round(ln(1 + count(DISTINCT CASE WHEN p.t >= q.t - w.w3 THEN p.z END)), 6) AS cn_long, round(ln(1 + coalesce(sum(exp(-CAST(q.t - p.t AS DOUBLE) / w.w2)), 0)), 6) AS cn_decay
+        FROM {{q}} q CROSS JOIN w LEFT JOIN path p ON p.src = q.src AND p.c = q.c AND p.known < q.t GROUP BY q.qid, q.pos""",
+        f"""WITH w AS ({_WIDTHS}), x AS (SELECT q.qid, q.pos, a.dst AS z, q.t - a.t AS age FROM {{q}} q JOIN {{ix}} a ON a.src = q.src AND a.t < q.t WHERE EXISTS (SELECT 1 FROM {{firsts}} b WHERE b.src = a.dst AND b.dst = q.c AND b.t < q.t)),
+        y AS (SELECT qid, pos, count(DISTINCT z) FILTER (age <= w1) AS s, count(DISTINCT z) FILTER (age <= w2) AS m, count(DISTINCT z) FILTER (age <= w3) AS l, sum(exp(-CAST(age AS DOUBLE) / w2)) AS d FROM x, w GROUP BY qid, pos)
+        SELECT q.qid, q.pos, round(ln(1 + coalesce(s, 0)), 6) AS cn_short, round(ln(1 + coalesce(m, 0)), 6) AS cn_medium, round(ln(1 + coalesce(l, 0)), 6) AS cn_long, round(ln(1 + coalesce(d, 0)), 6) AS cn_decay FROM {{q}} q LEFT JOIN y ON y.qid = q.qid AND y.pos = q.pos"""),
+    "g12_own_adjacency": S("G12", f"""WITH w AS ({_WIDTHS}), adj AS (SELECT src, dst AS c, t, TRUE AS fwd FROM {{steps}} UNION ALL SELECT src, prev, t, FALSE FROM {{steps}})
+        SELECT q.qid, q.pos, round(coalesce(sum(CASE WHEN fwd THEN exp(-CAST(q.t - a.t AS DOUBLE) / w.w2) END), 0), 6) AS cooccur_fwd, round(coalesce(sum(CASE WHEN NOT fwd THEN exp(-CAST(q.t - a.t AS DOUBLE) / w.w2) END), 0), 6) AS cooccur_bwd
+        FROM {{q}} q CROSS JOIN w LEFT JOIN adj a ON a.src = q.src AND a.c = q.c AND a.t < q.t GROUP BY q.qid, q.pos""",
+        f"""WITH w AS ({_WIDTHS}), f AS (SELECT q.qid, q.pos, sum(exp(-CAST(q.t - b.t AS DOUBLE) / w.w2)) AS x FROM {{q}} q, w, {{num}} a, {{num}} b WHERE a.src = q.src AND b.src = q.src AND b.k = a.k + 1 AND b.dst = q.c AND b.t < q.t GROUP BY q.qid, q.pos),
+        r AS (SELECT q.qid, q.pos, sum(exp(-CAST(q.t - b.t AS DOUBLE) / w.w2)) AS x FROM {{q}} q, w, {{num}} a, {{num}} b WHERE a.src = q.src AND b.src = q.src AND b.k = a.k + 1 AND a.dst = q.c AND b.t < q.t GROUP BY q.qid, q.pos)
+        SELECT q.qid, q.pos, round(coalesce(f.x, 0), 6) AS cooccur_fwd, round(coalesce(r.x, 0), 6) AS cooccur_bwd FROM {{q}} q LEFT JOIN f ON f.qid = q.qid AND f.pos = q.pos LEFT JOIN r ON r.qid = q.qid AND r.pos = q.pos"""),
+    "g13_hop2": S("G13", f"""WITH w AS ({_WIDTHS}),
+        z AS (SELECT p.qid, p.t, max_by(e.dst, e.k) AS z FROM (SELECT DISTINCT qid, src, t FROM {{q}}) p JOIN {{num}} e ON e.src = p.src AND e.t < p.t GROUP BY p.qid, p.t),
+        m AS (SELECT DISTINCT qid, t, z, dst AS m FROM (SELECT z.qid, z.t, z.z, e.dst, row_number() OVER (PARTITION BY z.qid ORDER BY e.k DESC) AS k FROM z JOIN {{num}} e ON e.src = z.z AND e.t < z.t) x WHERE k <= 64),
+        probe AS (SELECT qid, CAST(-1 AS BIGINT) AS pos, m AS mid, z AS a, m AS b, t FROM m UNION ALL SELECT q.qid, q.pos, CAST(NULL AS BIGINT), z.z, q.c, q.t FROM {{q}} q JOIN z ON z.qid = q.qid UNION ALL SELECT q.qid, q.pos, m.m, m.m, q.c, q.t FROM {{q}} q JOIN m ON m.qid = q.qid),
+        run AS (SELECT qid, pos, mid, v * exp(CAST(max_t - t AS DOUBLE) / w2) AS v FROM (SELECT qid, pos, mid, t, one, max_t, w2, coalesce(sum(v) OVER (PARTITION BY a, b ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS v
+            FROM (SELECT qid, pos, mid, a, b, t, 0 AS one, 0e0 AS v FROM probe UNION ALL SELECT CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), s.prev, s.dst, s.t, 1, exp(CAST(s.t - w.max_t AS DOUBLE) / w.w2) FROM {{steps}} s CROSS JOIN w) u CROSS JOIN w) y WHERE one = 0),
+        hop AS (SELECT c.qid, c.pos, sum(c.v * CASE WHEN c.mid IS NULL THEN 1e0 ELSE coalesce(f.v, 0) END) AS v FROM run c LEFT JOIN (SELECT qid, mid, v FROM run WHERE pos = -1) f ON f.qid = c.qid AND f.mid = c.mid WHERE c.pos >= 0 GROUP BY c.qid, c.pos)
+        SELECT q.qid, q.pos, round(ln(1 + coalesce(hop.v, 0)), 5) AS hop2 FROM {{q}} q LEFT JOIN hop ON hop.qid = q.qid AND hop.pos = q.pos""",
+        f"""WITH w AS ({_WIDTHS}), z AS (SELECT p.qid, p.t, (SELECT e.dst FROM {{num}} e WHERE e.src = p.src AND e.t < p.t ORDER BY e.k DESC LIMIT 1) AS z FROM (SELECT DISTINCT qid, src, t FROM {{q}}) p),
+        m AS (SELECT DISTINCT z.qid, z.t, z.z, e.dst AS m FROM z JOIN {{num}} e ON e.src = z.z AND e.t < z.t WHERE (SELECT count(*) FROM {{num}} l WHERE l.src = e.src AND l.k > e.k AND l.t < z.t) < 64),
+        first_leg AS (SELECT m.qid, m.m, sum(exp((s.t - m.t) / w.w2)) AS v FROM m CROSS JOIN w JOIN {{steps}} s ON s.prev = m.z AND s.dst = m.m AND s.t < m.t GROUP BY m.qid, m.m),
+        d AS (SELECT q.qid, q.pos, sum(exp((s.t - q.t) / w.w2)) AS v FROM {{q}} q CROSS JOIN w JOIN z ON z.qid = q.qid JOIN {{steps}} s ON s.prev = z.z AND s.dst = q.c AND s.t < q.t GROUP BY q.qid, q.pos),
+        i AS (SELECT q.qid, q.pos, sum(f.v * exp((s.t - q.t) / w.w2)) AS v FROM {{q}} q CROSS JOIN w JOIN first_leg f ON f.qid = q.qid JOIN {{steps}} s ON s.prev = f.m AND s.dst = q.c AND s.t < q.t GROUP BY q.qid, q.pos)
+        SELECT q.qid, q.pos, round(ln(1 + coalesce(d.v, 0) + coalesce(i.v, 0)), 5) AS hop2 FROM {{q}} q LEFT JOIN d ON d.qid = q.qid AND d.pos = q.pos LEFT JOIN i ON i.qid = q.qid AND i.pos = q.pos"""),
+    "g14_g15_interpolation": S("G14 G15", """WITH d AS (SELECT greatest(max(t) - min(t), 1) AS span FROM {train}),
+        pair AS (SELECT src, dst, count(*) AS n, max(t) AS last_t FROM {train} GROUP BY src, dst), pop AS (SELECT dst, count(*) AS n FROM {train} GROUP BY dst),
+        seen AS (SELECT src, dst, t, k, lead(k) OVER (PARTITION BY src, dst ORDER BY k) AS again FROM (SELECT src, dst, t, row_number() OVER (PARTITION BY src ORDER BY t, seq) AS k FROM {train}) x),
+        mem AS (SELECT b.src, b.dst, sum(exp(-CAST(b.t - a.t AS DOUBLE) / greatest(d.span * 0.2, 1))) AS m FROM seen a JOIN seen b ON a.src = b.src AND a.k < b.k AND (a.again IS NULL OR a.again >= b.k) CROSS JOIN d GROUP BY b.src, b.dst),
+        raw AS (SELECT q.qid, q.pos, round(CASE WHEN pair.n IS NULL THEN 0 ELSE 0.7e0 * exp(-CAST(q.t - pair.last_t AS DOUBLE) / d.span) + 0.3e0 * ln(1 + pair.n) END, 9) AS edge, round(ln(1 + coalesce(pop.n, 0)), 9) AS pop, round(ln(1 + coalesce(mem.m, 0)), 9) AS mem
+          FROM {q} q CROSS JOIN d LEFT JOIN pair ON pair.src = q.src AND pair.dst = q.c LEFT JOIN pop ON pop.dst = q.c LEFT JOIN mem ON mem.src = q.src AND mem.dst = q.c),
+        n AS (SELECT qid, pos, CASE WHEN max(edge) OVER w > min(edge) OVER w THEN (edge - min(edge) OVER w) / (max(edge) OVER w - min(edge) OVER w) ELSE 0e0 END AS e, CASE WHEN max(pop) OVER w > min(pop) OVER w THEN (pop - min(pop) OVER w) / (max(pop) OVER w - min(pop) OVER w) ELSE 0e0 END AS p,
+          CASE WHEN max(mem) OVER w > min(mem) OVER w THEN (mem - min(mem) OVER w) / (max(mem) OVER w - min(mem) OVER w) ELSE 0e0 END AS m FROM raw WINDOW w AS (PARTITION BY qid)),
+        g AS (SELECT a, b, 4 - a - b AS c FROM (SELECT a, EACH(0, 4 - a)) AS b FROM (SELECT EACH(0, 4)) AS a) x) y),
+        v AS (SELECT g.a, g.b, g.c, qid, pos, round((g.a * e + g.b * p + g.c * m) / 4, 6) AS x FROM n CROSS JOIN g),
+        rr AS (SELECT a, b, c, qid, CAST(1 AS DOUBLE) / (1 + count(CASE WHEN x > p THEN 1 END) + CAST(count(CASE WHEN x = p AND pos > 0 THEN 1 END) AS DOUBLE) / 2) AS rr FROM (SELECT a, b, c, qid, pos, x, max(CASE WHEN pos = 0 THEN x END) OVER (PARTITION BY a, b, c, qid) AS p FROM v) z GROUP BY a, b, c, qid)
+        SELECT CAST(a AS DOUBLE) / 4 AS edge_weight, CAST(b AS DOUBLE) / 4 AS pop_weight, CAST(c AS DOUBLE) / 4 AS mem_weight, round(avg(rr), 5) AS mrr FROM rr GROUP BY a, b, c"""),
     "g19_edge_weights": S("G19", """SELECT e.src, e.dst, count(*) AS n, round(ln(1 + count(*)), 6) AS repeat_weight, round(ln(1 + count(*)) * exp(-CAST(max(sp.max_t) - max(e.t) AS DOUBLE) / max(sp.span)), 6) AS decayed_weight
         FROM {ix} e CROSS JOIN {span} sp WHERE e.seq > sp.max_seq * 0.65 GROUP BY e.src, e.dst"""),
     "g20_adjacency": S("G20", "SELECT f.src, f.dst, round(1 / sqrt(CAST(a.n AS DOUBLE) * b.n), 9) AS w FROM {firsts} f JOIN (SELECT src, count(*) AS n FROM {firsts} GROUP BY src) a ON a.src = f.src JOIN (SELECT dst, count(*) AS n FROM {firsts} GROUP BY dst) b ON b.dst = f.dst"),
