@@ -227,8 +227,10 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     join = _Join(documents, profiles, id_col, text_col, k, percent)
     table = spark.sparkContext.broadcast(frequencies(found))
     postings = rows.where(F.col(id_col).isNotNull()).mapInArrow(_postings(k, percent, table), "token bigint, node bigint, size int, matches tinyint, place int")
-    shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
-    lists = stage(stage(postings.join(shared, "token")).distinct())
+    # Staged apart, so that the two shuffles of all postings don't lie on disk at once.
+    shared = stage(postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token"))
+    met = stage(postings.join(shared, "token"), shared)
+    lists = stage(met.distinct(), met)
     links = join.verified(meet_hubs(lists))
 
     spanning = stage(spanning_entries(lists, components(links)))

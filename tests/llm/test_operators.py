@@ -119,9 +119,9 @@ def test_line_shingles_at_every_offset(spark):
     got = {r.id: r.class_id for r in line_dedup.line_classes(_docs(spark, lines)).collect()}
     assert all(roots[c] == roots[i] for i, c in got.items())  # nothing merges that the definition keeps apart
     assert sum(got[i] != roots[i] for i in range(len(lines))) <= 0.02 * len(lines)
-    for line in ("a\U0001f600bc défghijklmnop", "abc", "ééé", "1234567", "aaaaaaaaaaaa"):
-        data = np.frombuffer(line.encode(), np.uint8)
-        assert len(line_dedup.shingle_sets(data, np.array([0, len(data)]), 7)[0]) == len(_shingles(line))
+    cases = ["a\U0001f600bc défghijklmnop", "abc", "ééé", "1234567", "aaaaaaaaaaaa"]
+    n = spark.createDataFrame([(x,) for x in cases], "line string").select("line", F.size(line_dedup.shingles(F.col("line"))).alias("n")).collect()
+    assert {r.line: r.n for r in n} == {x: len(_shingles(x)) for x in cases}
 
 
 def test_lines_that_only_begin_alike_stay(spark):
@@ -352,6 +352,13 @@ def test_html_copies_are_no_template(spark):
         ("<div class='banner-page'><article><p>x</p></article></div>", ["x"]),
         ("<div class='site-header'>h</div><div class='ad-slot'>a</div><div id='sidebar1'>s</div><div class='a cookie-banner'>c</div><p>x</p>", ["x"]),
         ("<div class='comments'><article><p>c</p></article></div><p>x</p>", ["x"]),
+        ("<p title='a hidden gem'>x</p><div data-id='menu'>y</div>", ["x", "y"]),
+        ("<div class='has-sidebar'><article><p>x</p></article></div>", ["x"]),
+        ("<form><h1>T</h1><div><p>x</p><label>l</label></div></form>", ["T", "x"]),
+        ("<form><article><p>x</p></article></form><form>f</form>", ["x"]),
+        ("<p class='share-price'>x</p><section id='notice-of-default'><p>y</p></section>", ["x", "y"]),
+        ("<form><label>l</label></form><p>x</p>", ["x"]),
+        ("<div aria-hidden='true'>n</div><div hidden>n</div><div role=navigation>n</div><p>x</p>", ["x"]),
         ("<article><p>x</p><article class='comment'><p>c</p></article><div class='post-comments'>d</div></article>", ["x"]),
     ],
 )
@@ -359,9 +366,55 @@ def test_html_marks(page, want):
     assert html.read_page(f"<body>{page}</body>")[0] == want
 
 
+def test_html_templates_by_brute_force(spark):
+    rng = random.Random(11)
+    rows, lines = [], {}
+    for i in range(120):
+        own = [f"own {i}"] if rng.random() < 0.8 else ["a shared story"]
+        lines[i] = rng.sample([f"block {j}" for j in range(12)], rng.randrange(0, 4)) + own
+        rows.append((i, f"http://h{i % 3}.org/{i}", "<body>" + "".join(f"<div class='k'><span>{x}</span></div>" for x in lines[i]) + "</body>"))
+    want = {}
+    for host in range(3):
+        mine = {i: x for i, x in lines.items() if i % 3 == host}
+        total = len({tuple(sorted(x)) for x in mine.values()})
+        rests = collections.defaultdict(set)
+        for x in mine.values():
+            for line in x:
+                rests[line].add(tuple(sorted(y for y in x if y != line)))
+        gone = {line for line, r in rests.items() if len(r) >= 5 and len(r) >= 0.1 * total}
+        want |= {i: "\n".join(y for y in x if y not in gone) for i, x in mine.items()}
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    assert any("block" not in t for t in want.values())
+    for most in (1000, 0):
+        assert {r.page_id: r.text for r in html.extract_text(pages, most_sent=most).collect()} == want
+
+
+def test_html_time_is_linear_in_depth():
+    import time
+
+    def seconds(n):
+        page = "<body>" + "<div class=a>" * n + "x" + "</div>" * n
+        start = time.perf_counter()
+        assert html.read_page(page)[0] == ["x"]
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(20_000) < 60 * max(seconds(1000), 1e-3)
+
+
+def test_html_edge_cases(spark):
+    assert html.extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    rows = [(1, "http://h.org/", "<p>x</p>", "host", 3)] * 2 + [(None, None, "<p>y &amp; z</p>", None, None), (2, "bad", "no markup < at all", "m", 1), (3, "http://h.org/l", "<p>" + "word " * 400_000, "t", 2)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, marks int")
+    got = sorted((r.page_id or 0, r.text[:20], r.n_chars) for r in html.extract_text(pages).collect())
+    assert got == [(0, "y & z", 5), (1, "x", 1), (1, "x", 1), (2, "no markup < at all", 18), (3, "word word word word w"[:20], 1_999_999)]
+
+
 def test_urls(spark):
     cases = [None, "x", "http://A.Example.org/en/12?q#f", "https://example.org/es/x", "http://b.com/de/", "ftp://b.com/fr/1", "http://org", "http://notorg/", "http://example.org:80/es/"]
-    got = {r.page_id: tuple(r)[1:] for r in urls.judge_urls(spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")).collect()}
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")
+    got = {r.page_id: tuple(r)[1:] for r in urls.judge_urls(pages).collect()}
+    assert got == {r.page_id: tuple(r)[1:] for r in urls.judge_urls(pages, most_sent=0).collect()}
     assert got == {
         0: ("", "", None, "allow"), 1: ("", "", None, "allow"), 2: ("a.example.org", "/en/12", "example.org/en/1", "block"), 3: ("example.org", "/es/x", "example.org/es/", "block"),
         4: ("b.com", "/de/", "com/de/", "block"), 5: ("b.com", "/fr/1", "com/fr/", "allow"), 6: ("org", "", None, "allow"), 7: ("notorg", "/", None, "allow"), 8: ("example.org:80", "/es/", None, "allow"),
@@ -409,3 +462,50 @@ def test_clashing_columns_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.ngram_components(docs).collect()) == [(0, 0), (1, 1), (1, 1)]
     assert quality.quality(docs).count() == 3 and suffix_dedup.remove_repeats(docs).where("n_removed > 0").count() == 0
     assert line_dedup.dedup_lines(docs).columns == docs.columns and line_dedup.dedup_lines(docs).count() == 3
+
+
+def test_clashing_columns_and_repeats_of_the_others(spark):
+    """Extra columns under names the operators use themselves, repeated rows and null ids."""
+    rows = [(1, "a b c d e f g h i j k l m", "en", "x", 9, "n", 1, "u", 3), (1, "a b c d e f g h i j k l m", "en", "x", 9, "n", 1, "u", 3), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS + ", key string, label int, license string, items int")
+    assert packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).count() == 2
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id bigint, toxic int")
+    assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).count() == 3
+    bench = spark.createDataFrame([("i", "b c d", 4)] * 2 + [(None, None, None)], "item_id string, text string, items int")
+    assert sorted(r.n_hit for r in overlaps(docs, bench).collect()) == [0, 3, 3] and decontaminate(docs, bench).count() == 1
+    assert licenses.scan_licenses(docs, docs["source"]).count() == 3
+    pages = spark.createDataFrame([(1, "http://a.org/x", "r", 1)] * 2 + [(None, None, None, None)], "page_id bigint, url string, rule string, row int")
+    assert [r.verdict for r in urls.judge_urls(pages).collect()] == ["allow"] * 3
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage on a small corpus of each kind of document, by what must stay and what must go."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(3, 9)))
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and", "in", "to", "is"]) + " " + word() for _ in range(n))
+    clean = [prose(60) for _ in range(12)]
+    items = [" ".join(word() for _ in range(20)) for _ in range(3)]
+    near = clean[0].split(" ")
+    near[50] = "changed"
+    halves = lambda t: t[: len(t) // 2] + "\n" + t[len(t) // 2 :]
+    texts = [*clean, " ".join(near), clean[1], "too short", None, "again and again " * 20, prose(40) + "\n" + items[0], items[1], halves(clean[2]).replace("\n", "\n \n"), prose(30) + "\nshared line of every page here\n" + prose(30), prose(30) + "\nshared line of every page here\n" + prose(30)]
+    docs = _docs(spark, texts)
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    left, ids = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        left = function(spark, left, folder)
+        assert left.columns == docs.columns
+        ids[name] = {r.doc_id: r.text for r in left.collect()}
+        left = spark.createDataFrame(left.collect(), docs.schema)
+    n = len(clean)
+    assert not {n + 2, n + 3, n + 4} & set(ids["quality_rules"]) and set(range(n)) <= set(ids["quality_rules"])
+    assert n + 1 not in ids["line_dedup"] and "shared line" in ids["line_dedup"][n + 8] and "shared line" not in ids["line_dedup"][n + 9]
+    assert 0 in ids["near_duplicates"] and n not in ids["near_duplicates"]
+    assert n + 6 not in ids["decontamination"] and n + 5 not in ids["decontamination"] and set(range(n)) <= set(ids["decontamination"])
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in pieces} == set(ids["decontamination"])
+    assert all(sum(p.length for p in pieces if p.doc_id == i) == next(p.doc_tokens for p in pieces if p.doc_id == i) for i in ids["decontamination"])
