@@ -11,6 +11,7 @@ their host are deleted when the text is taken out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import accumulate
@@ -20,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stage
+
 #: A subtree is a template from so many pages of a host on, if that is also this share of the host's pages; pages count once for each text beside it.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
 #: Template lists up to so many subtrees are sent to every task; longer ones are joined.
@@ -38,9 +41,13 @@ MARKS = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup popular promo promoted promotion "
     "recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
-# A name of several words is marked by its first or last one, unless it has one of these or begins with one of those.
+# A name of several words is marked by its last one, or by its first one before a word for a part of a page, unless it has one of STATES or begins with one of PARTS.
 STATES = frozenset("no not with without has have open closed enabled disabled".split())
 PARTS = frozenset("content category tag type format status layout template".split())
+PLACES = frozenset(
+    "area bar block body bottom box button buttons col column container content frame group holder icons inner item items label left link links list main outer panel right row section slot space "
+    "strip title top unit wrap wrapper zone".split()
+)
 #: What a header is of, if it holds a title.
 TITLED = frozenset("article entry post story content section".split())
 #: Marks of places that hold articles of their own, such as comments and teasers.
@@ -55,7 +62,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_MARKED = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "template", "noscript", "iframe", "svg")}
 _HOST = re.compile(r"://([^/?#]*)")
 
@@ -72,18 +79,18 @@ def _marks(name: str, inside: bool) -> frozenset[str]:
         return frozenset()
     if "header" in words and (inside or not TITLED.isdisjoint(words)):
         words = [w for w in words if w != "header"]
-    return MARKS.intersection(words[:1] + words[-1:])
+    return MARKS.intersection([*words[-1:], *(words[:1] if words[-1] in PLACES else [])])
 
 
 def _boilerplate(tag: str, markup: str, inside: bool, sheltered: bool = False) -> bool:
     """Whether an element is boilerplate; a sheltered one holds the main text, so that only the marks of lists count."""
-    if tag in NEVER or (tag == "header" and not inside):
+    if (tag in NEVER or (tag == "header" and not inside)) and not (sheltered and tag in ("form", "header")):
         return True
     if len(markup) <= len(tag) + 2:
         return False
-    for name, *values in _MARKED.findall(markup):
+    for name, *values in _ATTRIBUTE.findall(markup, len(tag) + 1):
         value, name = "".join(values).lower(), name.lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "role" and value in ROLES and not sheltered or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name in ("class", "id") and tag not in ("body", "html", "main") and (tag != "article" or inside):
             marks = frozenset().union(*(_marks(x, inside) for x in value.split()))
@@ -92,22 +99,30 @@ def _boilerplate(tag: str, markup: str, inside: bool, sheltered: bool = False) -
     return False
 
 
-def read_page(html: str, templates: frozenset[int] | set[int] = frozenset(), shelter: frozenset[int] | None = None) -> tuple[list[str], list[tuple[int, int, int]]]:
+def read_page(html: str, templates: frozenset[int] | set[int] = frozenset(), shelter: frozenset[int] | None = None, forms: bool = False) -> tuple[list[str], list[tuple[int, int, int]]]:
     """The blocks of main text, and without ``templates`` the subtrees with text that could be one: hash, first block, block behind the last.
 
     ``shelter`` has where the elements begin that hold the first article or main; without it they are found, if one of them is marked.
+    With ``forms`` forms count as text, as they do in a page that has no other. A subtree is hashed with the hashes of those in it, so that
+    time is linear in the page however deep it is.
     """
     blocks: list[tuple[str, bool]] = []
     subtrees: list[tuple[int, int, int]] = []
     text: list[str] = []
     # Open elements: name, start in the page, blocks before it, whether it is dropped, whether it lies in an article, whether it is hashed.
     stack: list[tuple[str, int, int, bool, bool, bool]] = [("", 0, 0, False, False, False)]
+    open_tags: Counter[str] = Counter()
+    # For each open element that is hashed: its hash so far, and up to where in the page.
+    hashes: list[list] = []
+    seen_form = found = False
 
     def flush() -> None:
+        nonlocal found
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line and not stack[-1][3]:
                 blocks.append((line, stack[-1][4]))
+                found = True
             text.clear()
 
     def close(end: int) -> None:
@@ -115,8 +130,14 @@ def read_page(html: str, templates: frozenset[int] | set[int] = frozenset(), she
         if name in BLOCK or dropped:
             flush()
         stack.pop()
+        open_tags[name] -= 1
         if hashed:
-            h = xxhash.xxh3_64_intdigest(html[start:end].encode()) >> 1
+            whole, since = hashes.pop()
+            whole.update(html[since:end].encode("utf-8", "surrogatepass"))
+            h = whole.intdigest() >> 1
+            if hashes:
+                hashes[-1][0].update(whole.digest())
+                hashes[-1][1] = end
             if h in templates:
                 del blocks[before:]
             if len(blocks) > before:
@@ -135,7 +156,7 @@ def read_page(html: str, templates: frozenset[int] | set[int] = frozenset(), she
             continue
         tag = _NAME.match(markup)[1].lower()
         if markup[1] == "/":
-            if any(x[0] == tag for x in stack):
+            if open_tags[tag]:
                 while stack[-1][0] != tag:
                     close(m.start())
                 close(at)
@@ -153,14 +174,16 @@ def read_page(html: str, templates: frozenset[int] | set[int] = frozenset(), she
             continue
         if tag in BLOCK:
             flush()
-            if any(x[0] == "p" for x in stack):  # a block ends the open paragraph
-                low = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if not any(x[0] in BLOCK and x[0] != "p" for x in stack[low + 1 :]):
+            if open_tags["p"]:  # a block ends the open paragraph
+                low = len(stack) - 1
+                while stack[low][0] not in BLOCK:
+                    low -= 1
+                if stack[low][0] == "p":
                     while len(stack) > low:
                         close(m.start())
             if tag in CELLS:
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in SCOPES:
+                    if stack[i][0] in SCOPES or not any(open_tags[x] for x in CELLS[tag]):
                         break
                     if stack[i][0] in CELLS[tag]:
                         while len(stack) > i:
@@ -169,18 +192,27 @@ def read_page(html: str, templates: frozenset[int] | set[int] = frozenset(), she
         _, _, _, dropped, inside, _ = stack[-1]
         if tag in ("article", "main") and shelter is None:
             if dropped:
-                return read_page(html, templates, frozenset(x[1] for x in stack[1:]))
+                return read_page(html, templates, frozenset(x[1] for x in stack[1:]), forms)
             shelter = frozenset()
-        dropped = dropped or _boilerplate(tag, markup, inside, m.start() in (shelter or ()))
+        seen_form = seen_form or tag == "form" and not dropped
+        dropped = dropped or _boilerplate(tag, markup, inside, m.start() in (shelter or ()) or forms and tag == "form")
         inside = inside or (tag in ("article", "main") and not dropped)
         # Running text inside an article is its own, however often it is copied; only marked containers there can be a template.
         plain = tag not in BLOCK or tag in ("html", "body", "article", "main") or inside and (tag not in ("div", "section", "ul", "ol", "table", "header") or "=" not in markup)
         if tag not in BLOCK and dropped and not stack[-1][3]:
             flush()
-        stack.append((tag, m.start(), len(blocks), dropped, inside, not dropped and not plain))
+        hashed = not dropped and not plain
+        if hashed:
+            if hashes:
+                hashes[-1][0].update(html[hashes[-1][1] : m.start()].encode("utf-8", "surrogatepass"))
+            hashes.append([xxhash.xxh3_64(), m.start()])
+        stack.append((tag, m.start(), len(blocks), dropped, inside, hashed))
+        open_tags[tag] += 1
     while len(stack) > 1:
         close(n)
     flush()
+    if seen_form and not found and not forms:
+        return read_page(html, templates, shelter, True)
     whole = any(inside for _, inside in blocks)
     lines = [line for line, inside in blocks if inside or not whole]
     if templates:
@@ -211,7 +243,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(host, mark) of the subtrees that recur on at least ``least_pages`` pages and ``least_share`` of the pages of their host; pages with the same text beside the subtree are one."""
     seen = pages.select(url_col, html_col).mapInArrow(_candidates, "host string, marks array<bigint>, rests array<bigint>").select("host", F.explode(F.arrays_zip("marks", "rests")).alias("x"))
-    counted = seen.select("host", F.col("x.marks").alias("mark"), F.col("x.rests").alias("rest")).distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    counted = stage(seen.select("host", F.col("x.marks").alias("mark"), F.col("x.rests").alias("rest")).distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages))
     total = counted.where(F.col("mark") == 0).select("host", F.col("n").alias("pages"))
     return counted.where(F.col("mark") != 0).join(total, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "mark")
 

@@ -27,6 +27,8 @@ from .textnum import LOWER, counts_by, mix, owners, span_hashes, text_slices, wo
 CAPACITY = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 16
+#: Bytes of ids that a stretch of the curve has at most on average, whatever the number of shuffle partitions.
+STRETCH = 64 << 20
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 20
 
@@ -158,14 +160,15 @@ def pack(
     A document is the ids of its whole text and then ``end_id``, so a null or empty
     text has one id. Every id lies in exactly one piece. Sequences have ``capacity``
     ids, or a smaller power of two at the end of a task's stretch. Documents of
-    equal key (copies) are sorted by id and may be split between tasks; rows that
+    equal key (copies) are sorted by id, then by their ids of tokens, and may be split between tasks; rows that
     repeat an id are packed each. Other columns are ignored; no rows give no rows.
     """
     path = tokenizer or default_tokenizer()
     kind = documents.schema[id_col].dataType.simpleString()
     table = stage(encoded(documents, id_col, text_col, path))
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    curve = table.repartitionByRange(n, "key", id_col).sortWithinPartitions("key", id_col)
+    size = table.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    n = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // STRETCH))
+    curve = table.repartitionByRange(n, "key", id_col).sortWithinPartitions("key", id_col, "ids")
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,8 +21,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: A rule list is a parameter held on the driver; a longer one belongs in a table of its own.
-MOST_RULES = 100_000
+#: Rule lists up to so many rules are sent to every task; longer ones are joined by a shuffle.
+MOST_SENT = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -36,7 +36,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow"
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_sent: int = MOST_SENT
 ) -> DataFrame:
     """(id, host, path, rule, verdict) for every row.
 
@@ -45,10 +45,9 @@ def judge_urls(
     host, then block before allow. No rule: rule is null, verdict is ``default``.
     Null URLs have an empty host and path, which no rule with a host fits. Other
     columns are ignored. Rows of one id are judged one by one and all returned,
-    since nothing is grouped by id.
+    since nothing is grouped by id. Up to ``most_sent`` rules are broadcast, more
+    are joined by a shuffle.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} can be sent along with the plan")
     spark = pages.sparkSession
     listed = spark.createDataFrame(
         [(h.lower() + p, v, h.lower(), p) for v, h, p in rules], "expression string, verdict string, rule_host string, rule_path string"
@@ -70,13 +69,14 @@ def judge_urls(
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = F.filter(lengths, lambda n: n <= F.length("path"))
     expressions = F.array_distinct(F.flatten(F.transform(suffixes, lambda h: F.transform(fits, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n))))))
-    # Rules are bounded by MOST_RULES, so that side is broadcast; a row's expressions fold back onto the row, told apart by number even where ids repeat.
+    sent = F.broadcast(listed) if len(rules) <= most_sent else listed
+    # A row's expressions fold back onto the row, told apart by number even where ids repeat.
     return (
         urls.withColumn("row", F.monotonically_increasing_id())
         .withColumn("expression", F.explode_outer(expressions))
         .withColumn("digest", F.sha2("expression", 256))
         .withColumn("short", F.substring("digest", 1, 8))
-        .join(F.broadcast(listed.withColumnRenamed("digest", "rule_digest")), "short", "left")
+        .join(sent.withColumnRenamed("digest", "rule_digest"), "short", "left")
         .groupBy("row", id_col, "host", "path")
         .agg(F.max(F.when(F.col("digest") == F.col("rule_digest"), F.col("found"))).alias("found"))
         .select(id_col, "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
