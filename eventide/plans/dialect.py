@@ -93,5 +93,14 @@ class Statement:
     def query(self) -> Callable[[SparkSession, str], DataFrame]:
         return self.build or (lambda spark, sf_dir: frame(spark, sf_dir, self.sql))
 
+    def on(self, spark: SparkSession, **inputs: DataFrame) -> DataFrame:
+        """The query over a user's own frames: ``ix`` (src, dst, t, seq), ``q`` (qid, pos, src, t, c), ``sc`` (q and scores s, r, u) and what else it names.
+
+        Inputs that are not given follow from those that are; candidate 0 of a query is the true one, and a query may have any number of candidates.
+        """
+        if self.build:
+            raise ValueError("this query is built by operators; call them on the frame")
+        return frame(spark, "", self.sql, dict(inputs))
+
     def duckdb(self) -> str:
         return duck(self.oracle or self.sql)

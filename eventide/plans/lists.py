@@ -10,8 +10,9 @@ def _avg_rank(x: str) -> str:
     return _RANK.replace("{0}", x)
 
 
-def _percentile(x: str, part: str = "qid", last: str = "19") -> str:
-    return f"(rank() OVER (PARTITION BY {part} ORDER BY {x}) - 1 + CAST(count(*) OVER (PARTITION BY {part}, {x}) - 1 AS DOUBLE) / 2) / {last}"
+def _percentile(x: str, part: str = "qid") -> str:
+    """Ascending mid-rank percentile; a query's only candidate has 0."""
+    return f"(rank() OVER (PARTITION BY {part} ORDER BY {x}) - 1 + CAST(count(*) OVER (PARTITION BY {part}, {x}) - 1 AS DOUBLE) / 2) / greatest(count(*) OVER (PARTITION BY {part}) - 1, 1)"
 
 
 def _reciprocal(scores: str, x: str = "s", key: str = "qid") -> str:
@@ -38,7 +39,7 @@ QUERIES = {
         "SELECT a.qid, a.pos, round((count(*) FILTER (b.r < a.r) + (count(*) FILTER (b.r = a.r) - 1) / 2) / 19, 9) AS percentile FROM {sc} a JOIN {sc} b ON b.qid = a.qid GROUP BY a.qid, a.pos"),
     "h3_tolerant_percentile": S("H3", """WITH a AS (SELECT qid, pos, s, CASE WHEN s - lag(s) OVER (PARTITION BY qid ORDER BY s, pos) <= 0.0015 THEN 0 ELSE 1 END AS step FROM {sc}),
         b AS (SELECT qid, pos, s, sum(step) OVER (PARTITION BY qid ORDER BY s, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM a)
-        SELECT qid, pos, round((rank() OVER (PARTITION BY qid ORDER BY g) - 1 + CAST(count(*) OVER (PARTITION BY qid, g) - 1 AS DOUBLE) / 2) / 19, 9) AS percentile FROM b"""),
+        SELECT qid, pos, round((rank() OVER (PARTITION BY qid ORDER BY g) - 1 + CAST(count(*) OVER (PARTITION BY qid, g) - 1 AS DOUBLE) / 2) / greatest(count(*) OVER (PARTITION BY qid) - 1, 1), 9) AS percentile FROM b"""),
     "h4_setwise_context": S("H4", f"""WITH m AS (SELECT qid, PCTL(s, 0.5) AS med FROM {{sc}} GROUP BY qid), d AS (SELECT sc.qid, max(m.med) AS med, PCTL(abs(sc.s - m.med), 0.5) AS mad FROM {{sc}} sc JOIN m ON m.qid = sc.qid GROUP BY sc.qid)
         SELECT sc.qid, sc.pos, sc.s, round(s - avg(s) OVER (PARTITION BY sc.qid), 9) AS off_mean, round(s - max(s) OVER (PARTITION BY sc.qid), 9) AS off_max, round({_percentile('s', 'sc.qid')}, 9) AS percentile, round(CASE WHEN d.mad * 1.4826 <= 1e-6 THEN 0.0 ELSE (s - d.med) / (d.mad * 1.4826) END, 6) AS z FROM {{sc}} sc JOIN d ON d.qid = sc.qid""",
         """WITH d AS (SELECT qid, median(s) AS med, mad(s) AS mad, avg(s) AS mean, max(s) AS best, list(s) AS l FROM {sc} GROUP BY qid)
@@ -51,12 +52,12 @@ QUERIES = {
         FROM (SELECT qid, pos, exp(s - m) AS e1, exp((s - m) / 0.5) AS e2 FROM (SELECT qid, pos, s, max(s) OVER (PARTITION BY qid) AS m FROM {sc}) x) y""",
         "SELECT qid, pos, round(exp(s) / sum(exp(s)) OVER (PARTITION BY qid), 9) AS softmax, round(exp(2 * s) / sum(exp(2 * s)) OVER (PARTITION BY qid), 9) AS tempered FROM {sc}"),
     "h8_rank_probabilities": S("H8", f"SELECT qid, pos, round(p / sum(p) OVER (PARTITION BY qid), 9) AS p FROM (SELECT qid, pos, {_percentile('r')} AS p FROM {{sc}}) x"),
-    "h9_uniform_rank_average": S("H9", """SELECT qid, pos, round(CAST(a + b + c AS DOUBLE) / 3 / 19, 9) AS x FROM (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY s, pos) - 1 AS a, row_number() OVER (PARTITION BY qid ORDER BY r, pos) - 1 AS b, row_number() OVER (PARTITION BY qid ORDER BY u, pos) - 1 AS c FROM {sc}) y"""),
+    "h9_uniform_rank_average": S("H9", """SELECT qid, pos, round(CAST(a + b + c AS DOUBLE) / 3 / greatest(k - 1, 1), 9) AS x FROM (SELECT qid, pos, count(*) OVER (PARTITION BY qid) AS k, row_number() OVER (PARTITION BY qid ORDER BY s, pos) - 1 AS a, row_number() OVER (PARTITION BY qid ORDER BY r, pos) - 1 AS b, row_number() OVER (PARTITION BY qid ORDER BY u, pos) - 1 AS c FROM {sc}) y"""),
     "h10_expert_features": S("H10", f"""WITH f AS (SELECT expert, qid, pos, {_percentile('s', 'expert, qid')} AS pct, s - max(s) OVER (PARTITION BY expert, qid) AS margin, CASE WHEN s = max(s) OVER (PARTITION BY expert, qid) THEN 1 ELSE 0 END AS top FROM {{ex}})
         SELECT qid, pos, round(avg(pct), 6) AS pct_mean, round(stddev_pop(pct), 6) AS pct_std, round(min(margin), 6) AS margin_min, count(CASE WHEN top = 1 THEN 1 END) AS top_votes, round(max(pct) - min(pct), 6) AS pct_gap FROM f GROUP BY qid, pos"""),
     "h11_segments": S("H11", _SEGMENTS.format(*(TEMPORAL[n].sql for n in _SEGMENT_INPUTS)), _SEGMENTS.format(*(TEMPORAL[n].oracle for n in _SEGMENT_INPUTS))),
     "h12_score_descriptors": S("H12", """WITH p AS (SELECT qid, pos, s / sum(s) OVER (PARTITION BY qid) AS p, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS k FROM {sc})
-        SELECT qid, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END) / ln(20e0), 6) AS entropy, round(sum(CASE WHEN k <= 3 THEN p ELSE 0.0 END), 6) AS top3, round(sum(CASE WHEN k <= 5 THEN p ELSE 0.0 END), 6) AS top5, round(max(CASE WHEN k = 1 THEN p END) - max(CASE WHEN k = 2 THEN p END), 6) AS margin FROM p GROUP BY qid"""),
+        SELECT qid, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END) / ln(greatest(CAST(count(*) AS DOUBLE), 2)), 6) AS entropy, round(sum(CASE WHEN k <= 3 THEN p ELSE 0.0 END), 6) AS top3, round(sum(CASE WHEN k <= 5 THEN p ELSE 0.0 END), 6) AS top5, round(max(CASE WHEN k = 1 THEN p END) - max(CASE WHEN k = 2 THEN p END), 6) AS margin FROM p GROUP BY qid"""),
     "h13_top_overlap": S("H13", """WITH m AS (SELECT qid, pos, s >= max(CASE WHEN ks = 5 THEN s END) OVER (PARTITION BY qid) AS a, r >= max(CASE WHEN kr = 5 THEN r END) OVER (PARTITION BY qid) AS b
           FROM (SELECT qid, pos, s, r, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS kr FROM {sc}) x)
         SELECT qid, count(CASE WHEN a AND b THEN 1 END) AS both_top, round(CAST(count(CASE WHEN a AND b THEN 1 END) AS DOUBLE) / greatest(count(CASE WHEN a OR b THEN 1 END), 1), 6) AS jaccard FROM m GROUP BY qid"""),
@@ -228,8 +229,8 @@ QUERIES = {
     "n15_top_change": S("N15", "SELECT round(avg(CASE WHEN a <> b THEN 1e0 ELSE 0e0 END), 6) AS changed FROM (SELECT qid, max(CASE WHEN ks = 1 THEN pos END) AS a, max(CASE WHEN kr = 1 THEN pos END) AS b FROM (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS kr FROM {sc}) x GROUP BY qid) y"),
     "n16_behaviour": S("N16", f"""WITH a AS (SELECT src, count(*) AS n FROM {{train}} GROUP BY src) SELECT CASE WHEN a.n IS NULL THEN 'cold' WHEN a.n < 50 THEN 'light' ELSE 'heavy' END AS kind, count(*) AS n, round(avg(x.rr), 6) AS mrr, round(avg(CASE WHEN x.mid > 10 THEN 1e0 ELSE 0e0 END), 6) AS far_share FROM ({_reciprocal('{sc}', 's')}) x JOIN {{q}} q ON q.qid = x.qid AND q.pos = 0 LEFT JOIN a ON a.src = q.src GROUP BY CASE WHEN a.n IS NULL THEN 'cold' WHEN a.n < 50 THEN 'light' ELSE 'heavy' END"""),
     "n17_normaliser": S("N17", "SELECT round(avg(s), 6) AS mean_s, round(CASE WHEN stddev_pop(s) < 1e-6 THEN 1.0 ELSE stddev_pop(s) END, 6) AS std_s, round(avg(r), 6) AS mean_r, round(stddev_pop(r), 6) AS std_r FROM {sc}"),
-    "n19_compare_outputs": S("N19", """WITH k AS (SELECT qid, pos, s, r, r / sum(r) OVER (PARTITION BY qid) AS p, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS kr FROM {sc}),
-        g AS (SELECT qid, corr(s, r) AS corr_sr, avg(abs(ks - kr)) AS moved, count(CASE WHEN ks <= 5 AND kr <= 5 THEN 1 END) AS top5, max(CASE WHEN ks = 1 AND kr = 1 THEN 1 ELSE 0 END) AS top1, abs(sum(s) - sum(r)) AS sum_delta, abs(max(s) - max(r)) AS max_delta, sum(CASE WHEN p > 0 THEN ln(20 * p) * p ELSE 0e0 END) / 20 AS kl FROM k GROUP BY qid)
+    "n19_compare_outputs": S("N19", """WITH k AS (SELECT qid, pos, s, r, count(*) OVER (PARTITION BY qid) AS count_k, r / sum(r) OVER (PARTITION BY qid) AS p, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS kr FROM {sc}),
+        g AS (SELECT qid, corr(s, r) AS corr_sr, avg(abs(ks - kr)) AS moved, count(CASE WHEN ks <= 5 AND kr <= 5 THEN 1 END) AS top5, max(CASE WHEN ks = 1 AND kr = 1 THEN 1 ELSE 0 END) AS top1, abs(sum(s) - sum(r)) AS sum_delta, abs(max(s) - max(r)) AS max_delta, sum(CASE WHEN p > 0 THEN ln(count_k * p) * p ELSE 0e0 END) / max(count_k) AS kl FROM k GROUP BY qid)
         SELECT round(avg(corr_sr), 6) AS corr_sr, round(avg(moved), 6) AS moved, round(avg(top5) / 5, 6) AS top5, round(avg(top1), 6) AS top1, round(avg(sum_delta), 6) AS sum_delta, round(avg(max_delta), 6) AS max_delta, round(avg(kl), 6) AS kl_cells FROM g"""),
     "n20_ties": S("N20", "SELECT count(CASE WHEN ties > 0 THEN 1 END) AS rows_with_ties, CAST(sum(ties) AS BIGINT) AS ties, max(ties) AS most FROM (SELECT qid, count(*) - count(DISTINCT r) AS ties FROM {sc} GROUP BY qid) x"),
     "n21_signatures": S("N21", """WITH g AS (SELECT d, CAST(floor(s * power(10, d) + 1e-6) AS BIGINT) AS a, CAST(floor(u * power(10, d) + 1e-6) AS BIGINT) AS b FROM (SELECT s, u, EACH(CAST(1 AS BIGINT), CAST(2 AS BIGINT))) AS d FROM {sc}) x),

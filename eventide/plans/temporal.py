@@ -130,7 +130,7 @@ QUERIES = {
         x AS (SELECT q.qid, q.pos, 3 * CASE WHEN p.n IS NULL THEN 0 ELSE 1 END + ln(1 + coalesce(p.n, 0)) + CASE WHEN p.n IS NULL THEN 0 ELSE exp(-CAST(g.o - p.last_t AS DOUBLE) / greatest(CAST(g.horizon AS DOUBLE) / 100, 1)) END AS raw
               FROM {q} q LEFT JOIN p ON p.src = q.src AND p.dst = q.c CROSS JOIN g),
         y AS (SELECT qid, pos, round(raw, 6) AS raw FROM x)
-        SELECT qid, pos, raw, round((rank() OVER (PARTITION BY qid ORDER BY raw) - 1 + CAST(count(*) OVER (PARTITION BY qid, raw) - 1 AS DOUBLE) / 2) / 19, 6) AS percentile FROM y"""),
+        SELECT qid, pos, raw, round((rank() OVER (PARTITION BY qid ORDER BY raw) - 1 + CAST(count(*) OVER (PARTITION BY qid, raw) - 1 AS DOUBLE) / 2) / greatest(count(*) OVER (PARTITION BY qid) - 1, 1), 6) AS percentile FROM y"""),
     # E: structure
     "e1_pair_decay": S("E1", f"""WITH w AS ({_WIDTHS})
         SELECT q.qid, q.pos, round(sum(coalesce(exp(-CAST(q.t - e.t AS DOUBLE) / w.w1), 0)), 6) AS decay_short, round(sum(coalesce(exp(-CAST(q.t - e.t AS DOUBLE) / w.w2), 0)), 6) AS decay_medium, round(sum(coalesce(exp(-CAST(q.t - e.t AS DOUBLE) / w.w3), 0)), 6) AS decay_long

@@ -126,3 +126,39 @@ def test_rankers(spark, tmp_path):
     drop = {r.feature: r.gap for r in learned.permutation_importance(best, rows, ["a", "b"]).collect()}
     assert drop["none"] >= drop["a"] - 1e-9
     assert learned.leave_one_out(rows, ["a", "b"]) == [("a", "b"), ("b",), ("a",)]
+
+
+def test_statements_on_own_frames(spark):
+    """Queries of three and of one candidate, with other names for nothing: the statements take any frames of the right columns."""
+    ix = _log(spark, TINY)
+    q = spark.createDataFrame([(7, 0, 1, 30, 10), (7, 1, 1, 30, 20), (7, 2, 1, 30, 99), (8, 0, 4, 30, 30)], "qid bigint, pos bigint, src bigint, t bigint, c bigint")
+    span = frame(spark, "", "SELECT min(t) AS min_t, max(t) AS max_t, greatest(max(t) - min(t), 1) AS span, count(*) AS n, max(seq) AS max_seq FROM {ix}", {"ix": ix})
+    got = {(r.qid, r.pos): r for r in registry.STATEMENTS["f3_pair_times"].on(spark, ix=ix, q=q).collect()}
+    assert [got[7, p].n for p in range(3)] == [2, 1, 0] and got[8, 0].n == 0
+    got = {(r.qid, r.pos): r for r in registry.STATEMENTS["c1_c8_candidate_stats"].on(spark, ix=ix, q=q, span=span).collect()}
+    assert (got[7, 0].pair_strength, got[7, 0].repeat_rate, got[7, 0].dst_popularity, got[7, 0].recent_hit) == (1.098612, 0.5, 0.666667, 0.5)
+    scores = q.selectExpr("*", "double(pos) AS s", "double(-pos) AS r", "0D AS u")
+    got = {(r.qid, r.pos): r.percentile for r in registry.STATEMENTS["h2_percentile"].on(spark, sc=scores).collect()}
+    assert got == {(7, 0): 1.0, (7, 1): 0.5, (7, 2): 0.0, (8, 0): 0.0}
+
+
+def test_reverse_pairs_do_not_multiply(spark):
+    ix = _log(spark, [(1, 2, 1), (1, 2, 2), (1, 2, 3), (2, 1, 4)])
+    q = spark.createDataFrame([(1, 0, 1, 9, 2)], "qid bigint, pos bigint, src bigint, t bigint, c bigint")
+    (row,) = registry.STATEMENTS["f3_pair_times"].on(spark, ix=ix, q=q).collect()
+    assert (row.n, row.n_reverse) == (3, 1)
+
+
+def test_windows_reach_back_over_any_span(spark):
+    """Events far apart: the widths follow the log's span."""
+    ix = _log(spark, [(1, 5, 0), (2, 5, 40_000_000), (3, 6, 50_000_000), (1, 6, 99_000_000), (1, 5, 100_000_000)])
+    q = spark.createDataFrame([(4, 0, 1, 100_000_000, 5), (4, 1, 1, 100_000_000, 6)], "qid bigint, pos bigint, src bigint, t bigint, c bigint")
+    got = {r.pos: r for r in registry.STATEMENTS["d6_d8_target_windows"].on(spark, ix=ix, q=q).collect()}
+    assert (got[0].share_w001, got[1].share_w001, got[0].share_w100, got[1].share_w100) == (0.0, 1.0, 0.5, 0.5)
+
+
+def test_bounded_cooccurrence_of_a_wide_source(spark):
+    """A source beyond the limit is walked through; pairs lie at most the limit apart."""
+    put = graph.insertions(_log(spark, [(1, d, d) for d in range(20)] + [(2, 3, 1), (2, 4, 2)]), 5)
+    assert sorted((r.src, r.dst, r.k) for r in put.collect()) == [(1, d, d) for d in range(20)] + [(2, 3, 0), (2, 4, 1)]
+    assert graph.paired(put, 5).count() == 2 * (5 * 15 + 10 + 1)
