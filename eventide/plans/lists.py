@@ -97,8 +97,10 @@ QUERIES = {
     "j2_consensus": S("J2", f"SELECT qid, pos, round((a + b) / 2, 6) AS consensus, round(a - b, 6) AS gap FROM (SELECT qid, pos, {_percentile('s')} AS a, {_percentile('r')} AS b FROM {{sc}}) x"),
     "j3_proposal": S("J3 J5", """WITH k AS (SELECT qid, pos, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, u FROM {sc}), i AS (SELECT qid, pos, s, ks, row_number() OVER (PARTITION BY qid ORDER BY u DESC, pos) AS ku FROM k WHERE ks <= 5)
         SELECT k.qid, k.pos, coalesce(v.s, k.s) AS s FROM k LEFT JOIN i ON i.qid = k.qid AND i.pos = k.pos LEFT JOIN i v ON v.qid = i.qid AND v.ks = i.ku"""),
-    "j4_j9_router_features": S("J4 J9", """WITH p AS (SELECT qid, pos, s, r, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS kr FROM {sc})
-        SELECT qid, round(max(CASE WHEN ks = 1 THEN s END) - max(CASE WHEN ks = 2 THEN s END), 6) AS margin_s, round(max(CASE WHEN kr = 1 THEN r END) - max(CASE WHEN kr = 2 THEN r END), 6) AS margin_r, round(sum(abs(s - r)), 6) AS l1, count(CASE WHEN ks <= 5 AND kr <= 5 THEN 1 END) AS shared_top, bool_or(ks = 1 AND kr = 1) AS same_top FROM p GROUP BY qid"""),
+    "j4_j9_router_features": S("J4 J9", """WITH p AS (SELECT qid, pos, s, r, u, s / sum(s) OVER (PARTITION BY qid) AS ps, r / sum(r) OVER (PARTITION BY qid) AS pr, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS ks, row_number() OVER (PARTITION BY qid ORDER BY r DESC, pos) AS kr FROM {sc})
+        SELECT qid, round(max(CASE WHEN ks = 1 THEN s END) - max(CASE WHEN ks = 2 THEN s END), 6) AS margin_s, round(max(CASE WHEN kr = 1 THEN r END) - max(CASE WHEN kr = 2 THEN r END), 6) AS margin_r, round(sum(abs(s - r)), 6) AS l1, count(CASE WHEN ks <= 5 AND kr <= 5 THEN 1 END) AS shared_top, bool_or(ks = 1 AND kr = 1) AS same_top,
+          round(-sum(CASE WHEN ps > 0 THEN ps * ln(ps) ELSE 0e0 END), 6) AS entropy_s, round(-sum(CASE WHEN pr > 0 THEN pr * ln(pr) ELSE 0e0 END), 6) AS entropy_r, max(CASE WHEN ks = 1 THEN kr END) AS rank_of_top_s, max(CASE WHEN kr = 1 THEN ks END) AS rank_of_top_r,
+          round(max(CASE WHEN ks = 1 THEN u END) - max(CASE WHEN kr = 1 THEN u END), 6) AS prior_delta, round(max(abs(s - r)), 6) AS most_apart, round(avg(CASE WHEN ks <= 5 THEN abs(ks - kr) * 1e0 END), 6) AS moved_top FROM p GROUP BY qid"""),
     "j6_pair_weights": S("J6", """WITH k AS (SELECT qid, pos, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS k FROM {sc})
         SELECT n.qid, n.pos, round(abs(CAST(1 AS DOUBLE) / p.k - CAST(1 AS DOUBLE) / n.k), 6) AS weight, round(ln(1 + exp(n.s - p.s)), 6) AS loss FROM k n JOIN k p ON p.qid = n.qid AND p.pos = 0 WHERE n.pos > 0"""),
     "j7_quota_route": S("J7", """WITH c AS (SELECT qid, round(max(s) - avg(s), 9) AS conf FROM {sc} GROUP BY qid), n AS (SELECT CAST(floor(0.2 * count(*)) AS BIGINT) AS quota FROM c),
@@ -130,12 +132,18 @@ QUERIES = {
         SELECT round((SELECT auc FROM pairs), 6) AS auc, round(sum(a.p * (SELECT sum(b.p) / sum(b.n) FROM v b WHERE b.x >= a.x)) / sum(a.p), 6) AS average_precision FROM v a"""),
     "k7_strict": S("K7", f"SELECT round(avg(CASE WHEN mid = 1 THEN 1e0 ELSE 0e0 END), 6) AS strict_hit1, PCTL(mid, 0.5) AS median_rank FROM ({_reciprocal('{sc}', 'r')}) x",
         "SELECT round(avg((low = 1 AND tied = 0)::INT), 6) AS strict_hit1, median(low + tied / 2) AS median_rank FROM (SELECT p.qid, (SELECT count(*) FROM {sc} o WHERE o.qid = p.qid AND o.r > p.r) + 1 AS low, (SELECT count(*) FROM {sc} o WHERE o.qid = p.qid AND o.r = p.r AND o.pos > 0) AS tied FROM {sc} p WHERE p.pos = 0) x"),
-    "k8_new_links": S("K8", f"""SELECT seen, count(*) AS n, round(avg(rr), 6) AS mrr, round(sum(1 - rr), 6) AS regret FROM (SELECT a.rr, e.src IS NOT NULL AS seen FROM ({_reciprocal('{sc}', 's')}) a JOIN {{q}} q ON q.qid = a.qid AND q.pos = 0 LEFT JOIN (SELECT DISTINCT src, dst FROM {{train}}) e ON e.src = q.src AND e.dst = q.c) y GROUP BY seen"""),
+    "k8_new_links": S("K8", f"""WITH x AS (SELECT a.rr, e.src IS NOT NULL AS seen, q.qid, s.gap FROM ({_reciprocal('{sc}', 's')}) a JOIN {{q}} q ON q.qid = a.qid AND q.pos = 0 LEFT JOIN (SELECT DISTINCT src, dst FROM {{train}}) e ON e.src = q.src AND e.dst = q.c
+          JOIN (SELECT qid, max(s) - max(CASE WHEN pos = 0 THEN s END) AS gap FROM {{sc}} GROUP BY qid) s ON s.qid = a.qid), t AS (SELECT sum(1 - rr) AS regret, avg(rr) AS mrr FROM x)
+        SELECT seen, count(*) AS n, round(avg(rr), 6) AS mrr, round(sum(1 - rr), 6) AS regret, round(sum(1 - rr) / max(t.regret), 6) AS regret_share, round(avg(gap), 6) AS score_gap, round(avg(rr) - max(t.mrr), 6) AS mrr_gap FROM x CROSS JOIN t GROUP BY seen"""),
     "k9_rank_quantiles": S("K9", f"""WITH r AS (SELECT mid, row_number() OVER (ORDER BY mid, qid) AS k, count(*) OVER (PARTITION BY one) AS n FROM (SELECT qid, mid, 1 AS one FROM ({_reciprocal('{sc}', 'r')}) x) y)
         SELECT max(CASE WHEN k = ceil(0.5 * (n - 1)) + 1 THEN mid END) AS p50, max(CASE WHEN k = ceil(0.9 * (n - 1)) + 1 THEN mid END) AS p90, max(CASE WHEN k = ceil(0.99 * (n - 1)) + 1 THEN mid END) AS p99 FROM r"""),
-    "k10_spearman": S("K10", f"SELECT round(corr(a, b), 6) AS spearman, round(avg(CASE WHEN pos = 0 THEN p END), 6) AS positive_percentile FROM (SELECT pos, {_avg_rank('s')} AS a, {_avg_rank('u')} AS b, {_percentile('s')} AS p FROM {{sc}}) x",
-        """WITH x AS (SELECT a.qid, a.pos, count(*) FILTER (b.s > a.s) + count(*) FILTER (b.s = a.s) / 2 AS x, count(*) FILTER (b.u > a.u) + count(*) FILTER (b.u = a.u) / 2 AS y, (count(*) FILTER (b.s < a.s) + (count(*) FILTER (b.s = a.s) - 1) / 2) / 19 AS p FROM {sc} a JOIN {sc} b ON b.qid = a.qid GROUP BY a.qid, a.pos)
-        SELECT round(corr(x, y), 6) AS spearman, round(avg(p) FILTER (pos = 0), 6) AS positive_percentile FROM x"""),
+    # Quartiles of queries by the activity of their source go by how many sources' counts lie below.
+    "k10_spearman": S("K10", f"""WITH x AS (SELECT qid, pos, {_avg_rank('s')} AS a, {_avg_rank('u')} AS b, {_percentile('s')} AS p FROM {{sc}}), n AS (SELECT q.qid, count(e.src) AS n FROM {{q}} q LEFT JOIN {{train}} e ON e.src = q.src WHERE q.pos = 0 GROUP BY q.qid),
+        c AS (SELECT n, count(*) AS m FROM n GROUP BY n), t AS (SELECT n, sum(m) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - m AS below FROM c), g AS (SELECT n.qid, least(CAST(floor(t.below * 4e0 / (SELECT count(*) FROM n)) AS BIGINT), 3) AS quartile FROM n JOIN t ON t.n = n.n)
+        SELECT g.quartile, count(DISTINCT x.qid) AS n_queries, round(corr(a, b), 6) AS spearman, round(avg(CASE WHEN pos = 0 THEN p END), 6) AS positive_percentile, round(count(DISTINCT x.qid) * (1 - avg(CASE WHEN pos = 0 THEN p END)), 6) AS priority FROM x JOIN g ON g.qid = x.qid GROUP BY g.quartile""",
+        """WITH x AS (SELECT a.qid, a.pos, count(*) FILTER (b.s > a.s) + count(*) FILTER (b.s = a.s) / 2 AS x, count(*) FILTER (b.u > a.u) + count(*) FILTER (b.u = a.u) / 2 AS y, (count(*) FILTER (b.s < a.s) + (count(*) FILTER (b.s = a.s) - 1) / 2) / 19 AS p FROM {sc} a JOIN {sc} b ON b.qid = a.qid GROUP BY a.qid, a.pos),
+        n AS (SELECT qid, (SELECT count(*) FROM {train} e WHERE e.src = q.src) AS n FROM {q} q WHERE pos = 0), g AS (SELECT qid, least((SELECT count(*) FROM n o WHERE o.n < n.n) * 4 // (SELECT count(*) FROM n), 3) AS quartile FROM n)
+        SELECT quartile, count(DISTINCT qid) AS n_queries, round(corr(x, y), 6) AS spearman, round(avg(p) FILTER (pos = 0), 6) AS positive_percentile, round(count(DISTINCT qid) * (1 - avg(p) FILTER (pos = 0)), 6) AS priority FROM x JOIN g USING (qid) GROUP BY quartile"""),
     "k11_k12_gates": S("K11 K12", f"""WITH m AS (SELECT 's' AS model, avg(rr) AS mrr, min(rr) AS worst FROM ({_reciprocal('{sc}', 's')}) x UNION ALL SELECT 'r', avg(rr), min(rr) FROM ({_reciprocal('{sc}', 'r')}) x UNION ALL SELECT 'u', avg(rr), min(rr) FROM ({_reciprocal('{sc}', 'u')}) x)
         SELECT model, round(mrr, 6) AS mrr, mrr + 1e-15 >= (SELECT avg(mrr) FROM m) AS passes, CAST(row_number() OVER (ORDER BY worst DESC, mrr DESC, model) AS BIGINT) AS place FROM m"""),
     "k13_comparison": S("K13", f"""WITH a AS (SELECT qid, rr, ntile(3) OVER (ORDER BY qid) AS third FROM ({_reciprocal('{sc}', 's')}) x) SELECT CAST(third AS BIGINT) AS third, round(avg(a.rr), 6) AS baseline, round(avg(b.rr), 6) AS candidate, round(avg(b.rr - a.rr), 6) AS delta FROM a JOIN ({_reciprocal('{sc}', 'u')}) b ON b.qid = a.qid GROUP BY third"""),
@@ -214,7 +222,14 @@ QUERIES = {
         SELECT (SELECT percentile(gap, 0.5, n) FROM a) AS median_gap, (SELECT percentile(gap, 0.9, n) FROM a) AS p90_gap, (SELECT percentile(repeat_gap, 0.5, n) FROM b) AS median_repeat_gap, (SELECT sum(n) FROM b WHERE repeat_gap IS NOT NULL) AS n_repeats, (SELECT PCTL(n, 0.5) FROM h) AS median_history, (SELECT PCTL(n, 0.9) FROM h) AS p90_history, (SELECT max(n) FROM h) AS longest_history""",
         """WITH g AS (SELECT b.t - a.t AS gap FROM {num} a JOIN {num} b ON b.src = a.src AND b.k = a.k + 1), r AS (SELECT b.t - max_by(a.t, a.k) AS gap FROM {num} b JOIN {num} a ON a.src = b.src AND a.dst = b.dst AND a.k < b.k GROUP BY b.src, b.k, b.t), h AS (SELECT count(*) AS n FROM {ix} GROUP BY src)
         SELECT (SELECT quantile_cont(gap, 0.5) FROM g) AS median_gap, (SELECT quantile_cont(gap, 0.9) FROM g) AS p90_gap, (SELECT quantile_cont(gap, 0.5) FROM r) AS median_repeat_gap, (SELECT count(*) FROM r) AS n_repeats, (SELECT quantile_cont(n, 0.5) FROM h) AS median_history, (SELECT quantile_cont(n, 0.9) FROM h) AS p90_history, (SELECT max(n) FROM h) AS longest_history"""),
-    "n9_segments": S("N9", f"""WITH g AS (SELECT q.qid, CASE WHEN q.c < 25 THEN 'low' WHEN q.c < 75 THEN 'middle' ELSE 'high' END AS segment FROM {{q}} q WHERE q.pos = 0) SELECT g.segment, count(*) AS n, round(avg(x.rr), 6) AS mrr FROM ({_reciprocal('{sc}', 's')}) x JOIN g ON g.qid = x.qid GROUP BY g.segment"""),
+    # Eight segments: by the popularity of the true destination, the activity of the source, whether the pair is known, and the hour.
+    "n9_segments": S("N9", f"""WITH f AS (SELECT q.qid, q.t, coalesce(d.n, 0) AS nd, coalesce(s.n, 0) AS ns, p.src IS NOT NULL AS known FROM {{q}} q LEFT JOIN (SELECT dst, count(*) AS n FROM {{train}} GROUP BY dst) d ON d.dst = q.c LEFT JOIN (SELECT src, count(*) AS n FROM {{train}} GROUP BY src) s ON s.src = q.src LEFT JOIN (SELECT DISTINCT src, dst FROM {{train}}) p ON p.src = q.src AND p.dst = q.c WHERE q.pos = 0),
+        m AS (SELECT avg(nd) AS d, avg(ns) AS s FROM f), g AS (SELECT qid, 'popular' AS segment FROM f CROSS JOIN m WHERE nd >= m.d UNION ALL SELECT qid, 'rare' FROM f CROSS JOIN m WHERE nd < m.d UNION ALL SELECT qid, 'active' FROM f CROSS JOIN m WHERE ns >= m.s UNION ALL SELECT qid, 'quiet' FROM f CROSS JOIN m WHERE ns < m.s
+          UNION ALL SELECT qid, 'repeat' FROM f WHERE known UNION ALL SELECT qid, 'new' FROM f WHERE NOT known UNION ALL SELECT qid, 'first_half_of_day' FROM f WHERE t % 86400 < 43200 UNION ALL SELECT qid, 'second_half_of_day' FROM f WHERE t % 86400 >= 43200),
+        rr AS (SELECT g.segment, count(*) AS n, avg(x.rr) AS mrr FROM ({_reciprocal('{sc}', 's')}) x JOIN g ON g.qid = x.qid GROUP BY g.segment),
+        v AS (SELECT g.segment, sc.s AS x, count(*) AS n, count(CASE WHEN pos = 0 THEN 1 END) AS p FROM {{sc}} sc JOIN g ON g.qid = sc.qid GROUP BY g.segment, sc.s),
+        c AS (SELECT segment, x, n, p, sum(n) OVER (PARTITION BY segment ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS below, sum(n) OVER (PARTITION BY segment ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS taken, sum(p) OVER (PARTITION BY segment ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hit FROM v)
+        SELECT c.segment, max(rr.n) AS n, round(max(rr.mrr), 6) AS mrr, round((sum(c.p * (below + (c.n + 1) / 2e0)) - sum(c.p) * (sum(c.p) + 1) / 2e0) / (CAST(sum(c.p) AS DOUBLE) * (sum(c.n) - sum(c.p))), 6) AS auc, round(sum(c.p * (CAST(hit AS DOUBLE) / taken)) / sum(c.p), 6) AS average_precision FROM c JOIN rr ON rr.segment = c.segment GROUP BY c.segment"""),
     "n10_recent_proxy": S("N10", """WITH h AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY last_t DESC, dst) AS k FROM (SELECT src, dst, max(t) AS last_t FROM {train} GROUP BY src, dst) x)
         SELECT q.qid, q.pos, round(ln(1 + coalesce(sum(CAST(con.n AS DOUBLE) / h.k), 0)) / ln(1 + CAST(max(sp.n) AS DOUBLE)), 6) AS proxy FROM {q} q CROSS JOIN {span} sp LEFT JOIN h ON h.src = q.src AND h.k <= 16 LEFT JOIN {con} con ON con.a = h.dst AND con.b = q.c GROUP BY q.qid, q.pos"""),
     "n11_collapse": S("N11", "SELECT count(CASE WHEN s = 0 THEN 1 END) AS zero_cells, count(*) AS cells, (SELECT count(*) FROM (SELECT qid FROM {sc} GROUP BY qid HAVING min(r) = max(r)) x) AS constant_rows FROM {sc}"),
@@ -233,6 +248,6 @@ QUERIES = {
         g AS (SELECT qid, corr(s, r) AS corr_sr, avg(abs(ks - kr)) AS moved, count(CASE WHEN ks <= 5 AND kr <= 5 THEN 1 END) AS top5, max(CASE WHEN ks = 1 AND kr = 1 THEN 1 ELSE 0 END) AS top1, abs(sum(s) - sum(r)) AS sum_delta, abs(max(s) - max(r)) AS max_delta, sum(CASE WHEN p > 0 THEN ln(count_k * p) * p ELSE 0e0 END) / max(count_k) AS kl FROM k GROUP BY qid)
         SELECT round(avg(corr_sr), 6) AS corr_sr, round(avg(moved), 6) AS moved, round(avg(top5) / 5, 6) AS top5, round(avg(top1), 6) AS top1, round(avg(sum_delta), 6) AS sum_delta, round(avg(max_delta), 6) AS max_delta, round(avg(kl), 6) AS kl_cells FROM g"""),
     "n20_ties": S("N20", "SELECT count(CASE WHEN ties > 0 THEN 1 END) AS rows_with_ties, CAST(sum(ties) AS BIGINT) AS ties, max(ties) AS most FROM (SELECT qid, count(*) - count(DISTINCT r) AS ties FROM {sc} GROUP BY qid) x"),
-    "n21_signatures": S("N21", """WITH g AS (SELECT d, CAST(floor(s * power(10, d) + 1e-6) AS BIGINT) AS a, CAST(floor(u * power(10, d) + 1e-6) AS BIGINT) AS b FROM (SELECT s, u, EACH(CAST(1 AS BIGINT), CAST(2 AS BIGINT))) AS d FROM {sc}) x),
-        n AS (SELECT d, a, b, count(*) AS n FROM g GROUP BY d, a, b) SELECT d, count(*) AS n_groups, max(n) AS largest, round(avg(n), 6) AS mean_n FROM n GROUP BY d"""),
+    "n21_signatures": S("N21", """WITH g AS (SELECT d, CAST(floor(s * power(10, d) + 1e-6) AS BIGINT) AS a, CAST(floor(u * power(10, d) + 1e-6) AS BIGINT) AS b, CAST(floor(r * power(10, d) + 1e-6) AS BIGINT) AS c FROM (SELECT s, u, r, EACH(CAST(2 AS BIGINT), CAST(6 AS BIGINT))) AS d FROM {sc}) x),
+        n AS (SELECT d, a, b, c, count(*) AS n FROM g GROUP BY d, a, b, c) SELECT d, count(*) AS n_groups, count(CASE WHEN n = 1 THEN 1 END) AS alone, max(n) AS largest, round(avg(n), 6) AS mean_n FROM n GROUP BY d"""),
 }

@@ -118,19 +118,25 @@ QUERIES = {
         """WITH x AS (SELECT q.qid, q.pos, count(e.t) AS n, coalesce(max(e.t), -1) AS last FROM {q} q LEFT JOIN {ix} e ON e.dst = q.c AND e.t < q.t GROUP BY q.qid, q.pos)
         SELECT a.qid, a.pos, round(1 / (count(CASE WHEN b.n > a.n THEN 1 END) + (count(CASE WHEN b.n = a.n THEN 1 END) + 1) / 2e0), 6) AS dst_pop_row_rank,
           round(1 / (count(CASE WHEN b.last > a.last THEN 1 END) + (count(CASE WHEN b.last = a.last THEN 1 END) + 1) / 2e0), 6) AS dst_recency_row_rank FROM x a JOIN x b ON b.qid = a.qid GROUP BY a.qid, a.pos"""),
-    "d12_graph_prior": S("D12", """WITH g AS (SELECT max(t) AS o, greatest(max(t) - min(t), 1) AS span, count(*) AS n FROM {train}),
-        f AS (SELECT e.dst, count(*) AS n, max(e.t) AS last_t, count(CASE WHEN e.t > g.o - g.span * 0.05 THEN 1 END) AS n5, count(CASE WHEN e.t > g.o - g.span * 0.2 THEN 1 END) AS n20 FROM {train} e CROSS JOIN g GROUP BY e.dst)
-        SELECT q.qid, q.pos, round(CAST(coalesce(f.n, 0) AS DOUBLE) / g.n, 9) AS train_freq, round(ln(1 + coalesce(n5, 0)), 6) AS pop5, round(ln(1 + coalesce(n20, 0)), 6) AS pop20,
-          round(1 / (rank() OVER (PARTITION BY q.qid ORDER BY coalesce(f.n, 0) DESC) + CAST(count(*) OVER (PARTITION BY q.qid, coalesce(f.n, 0)) - 1 AS DOUBLE) / 2), 6) AS train_freq_rank
-        FROM {q} q LEFT JOIN f ON f.dst = q.c CROSS JOIN g""",
-        """WITH o AS (SELECT max(t) AS o, max(t) - min(t) AS span, count(*) AS n FROM {train}), x AS (SELECT q.qid, q.pos, (SELECT count(*) FROM {train} e WHERE e.dst = q.c) AS f, (SELECT count(*) FROM {train} e, o WHERE e.dst = q.c AND e.t > o.o - o.span * 0.05) AS n5, (SELECT count(*) FROM {train} e, o WHERE e.dst = q.c AND e.t > o.o - o.span * 0.2) AS n20 FROM {q} q)
-        SELECT a.qid, a.pos, round(any_value(a.f) / (SELECT n FROM o), 9) AS train_freq, round(ln(1 + any_value(a.n5)), 6) AS pop5, round(ln(1 + any_value(a.n20)), 6) AS pop20, round(1 / (count(CASE WHEN b.f > a.f THEN 1 END) + (count(CASE WHEN b.f = a.f THEN 1 END) + 1) / 2), 6) AS train_freq_rank FROM x a JOIN x b ON b.qid = a.qid GROUP BY a.qid, a.pos"""),
-    "d13_support_score": S("D13", """WITH g AS (SELECT max(t) AS o, greatest(max(t) - min(t), 1) AS horizon FROM {train}),
+    "d12_graph_prior": S("D12", """WITH g AS (SELECT max(t) AS o, greatest(max(t) - min(t), 1) AS span, count(*) AS n FROM {train}), a AS (SELECT count(CASE WHEN e.t > g.o - g.span * 0.05 THEN 1 END) AS a5, count(CASE WHEN e.t > g.o - g.span * 0.2 THEN 1 END) AS a20 FROM {train} e CROSS JOIN g),
+        f AS (SELECT e.dst, count(*) AS n, max(e.t) AS last_t, count(CASE WHEN e.t > g.o - g.span * 0.05 THEN 1 END) AS n5, count(CASE WHEN e.t > g.o - g.span * 0.2 THEN 1 END) AS n20 FROM {train} e CROSS JOIN g GROUP BY e.dst),
+        x AS (SELECT q.qid, q.pos, coalesce(f.n, 0) AS f, coalesce(n5, 0) AS n5, coalesce(n20, 0) AS n20, g.o - f.last_t AS age, g.span, g.n, a.a5, a.a20 FROM {q} q LEFT JOIN f ON f.dst = q.c CROSS JOIN g CROSS JOIN a)
+        SELECT qid, pos, round(CAST(f AS DOUBLE) / n, 9) AS train_freq, round(ln(1 + n5), 6) AS pop5, round(ln(1 + n20), 6) AS pop20, round(CAST(n5 AS DOUBLE) / greatest(a5, 1), 9) AS share5, round(CAST(n20 AS DOUBLE) / greatest(a20, 1), 9) AS share20,
+          round(CASE WHEN n5 = 0 THEN 0e0 ELSE exp(-age / (span * 0.05e0)) END, 6) AS recency5, round(CASE WHEN n20 = 0 THEN 0e0 ELSE exp(-age / (span * 0.2e0)) END, 6) AS recency20,
+          round(1 / (rank() OVER (PARTITION BY qid ORDER BY f DESC) + CAST(count(*) OVER (PARTITION BY qid, f) - 1 AS DOUBLE) / 2), 6) AS train_freq_rank, round(1 / (rank() OVER (PARTITION BY qid ORDER BY n20 DESC) + CAST(count(*) OVER (PARTITION BY qid, n20) - 1 AS DOUBLE) / 2), 6) AS pop20_rank FROM x""",
+        """WITH o AS (SELECT max(t) AS o, max(t) - min(t) AS span, count(*) AS n FROM {train}), w AS (SELECT e.dst, e.t, e.t > o.o - o.span * 0.05 AS in5, e.t > o.o - o.span * 0.2 AS in20 FROM {train} e, o),
+        x AS (SELECT q.qid, q.pos, (SELECT count(*) FROM w WHERE w.dst = q.c) AS f, (SELECT count(*) FROM w WHERE w.dst = q.c AND in5) AS n5, (SELECT count(*) FROM w WHERE w.dst = q.c AND in20) AS n20, (SELECT max(t) FROM w WHERE w.dst = q.c) AS last FROM {q} q)
+        SELECT a.qid, a.pos, round(any_value(a.f) / (SELECT n FROM o), 9) AS train_freq, round(ln(1 + any_value(a.n5)), 6) AS pop5, round(ln(1 + any_value(a.n20)), 6) AS pop20, round(any_value(a.n5) / (SELECT count(*) FROM w WHERE in5), 9) AS share5, round(any_value(a.n20) / (SELECT count(*) FROM w WHERE in20), 9) AS share20,
+          round(CASE WHEN any_value(a.n5) = 0 THEN 0 ELSE exp((any_value(a.last) - (SELECT o FROM o)) / ((SELECT span FROM o) * 0.05)) END, 6) AS recency5, round(CASE WHEN any_value(a.n20) = 0 THEN 0 ELSE exp((any_value(a.last) - (SELECT o FROM o)) / ((SELECT span FROM o) * 0.2)) END, 6) AS recency20,
+          round(1 / (count(CASE WHEN b.f > a.f THEN 1 END) + (count(CASE WHEN b.f = a.f THEN 1 END) + 1) / 2), 6) AS train_freq_rank, round(1 / (count(CASE WHEN b.n20 > a.n20 THEN 1 END) + (count(CASE WHEN b.n20 = a.n20 THEN 1 END) + 1) / 2), 6) AS pop20_rank FROM x a JOIN x b ON b.qid = a.qid GROUP BY a.qid, a.pos"""),
+    "d13_support_score": S("D13", """WITH g AS (SELECT max(t) AS o, greatest(max(t) - min(t), 1) AS horizon, max(seq) AS last_seq FROM {train}), late AS (SELECT dst, count(*) AS n FROM {train} CROSS JOIN g WHERE seq > last_seq - 20000 GROUP BY dst),
         p AS (SELECT src, dst, count(*) AS n, max(t) AS last_t FROM {train} GROUP BY src, dst),
-        x AS (SELECT q.qid, q.pos, 3 * CASE WHEN p.n IS NULL THEN 0 ELSE 1 END + ln(1 + coalesce(p.n, 0)) + CASE WHEN p.n IS NULL THEN 0 ELSE exp(-CAST(g.o - p.last_t AS DOUBLE) / greatest(CAST(g.horizon AS DOUBLE) / 100, 1)) END AS raw
-              FROM {q} q LEFT JOIN p ON p.src = q.src AND p.dst = q.c CROSS JOIN g),
+        x AS (SELECT q.qid, q.pos, 3 * CASE WHEN p.n IS NULL THEN 0 ELSE 1 END + ln(1 + coalesce(p.n, 0)) + CASE WHEN p.n IS NULL THEN 0 ELSE exp(-CAST(g.o - p.last_t AS DOUBLE) / greatest(CAST(g.horizon AS DOUBLE) / 100, 1)) END + 0.1e0 * ln(1 + coalesce(late.n, 0)) AS raw
+              FROM {q} q LEFT JOIN p ON p.src = q.src AND p.dst = q.c LEFT JOIN late ON late.dst = q.c CROSS JOIN g),
         y AS (SELECT qid, pos, round(raw, 6) AS raw FROM x)
-        SELECT qid, pos, raw, round((rank() OVER (PARTITION BY qid ORDER BY raw) - 1 + CAST(count(*) OVER (PARTITION BY qid, raw) - 1 AS DOUBLE) / 2) / greatest(count(*) OVER (PARTITION BY qid) - 1, 1), 6) AS percentile FROM y"""),
+        SELECT qid, pos, raw, round((rank() OVER (PARTITION BY qid ORDER BY raw) - 1 + CAST(count(*) OVER (PARTITION BY qid, raw) - 1 AS DOUBLE) / 2) / greatest(count(*) OVER (PARTITION BY qid) - 1, 1), 6) AS percentile FROM y""",
+        """WITH g AS (SELECT max(t) AS o, greatest((max(t) - min(t)) / 100, 1) AS tau, max(seq) AS s FROM {train}), y AS (SELECT q.qid, q.pos, round((SELECT CASE WHEN count(*) > 0 THEN 3 + ln(1 + count(*)) + exp((max(e.t) - (SELECT o FROM g)) / (SELECT tau FROM g)) ELSE 0 END FROM {train} e WHERE e.src = q.src AND e.dst = q.c) + 0.1 * ln(1 + (SELECT count(*) FROM {train} e WHERE e.dst = q.c AND e.seq > (SELECT s FROM g) - 20000)), 6) AS raw FROM {q} q)
+        SELECT a.qid, a.pos, any_value(a.raw) AS raw, round((count(*) FILTER (b.raw < a.raw) + (count(*) FILTER (b.raw = a.raw) - 1) / 2) / (count(*) - 1), 6) AS percentile FROM y a JOIN y b ON b.qid = a.qid GROUP BY a.qid, a.pos"""),
     # E: structure
     "e1_pair_decay": S("E1", f"""WITH w AS ({_WIDTHS})
         SELECT q.qid, q.pos, round(sum(coalesce(exp(-CAST(q.t - e.t AS DOUBLE) / w.w1), 0)), 6) AS decay_short, round(sum(coalesce(exp(-CAST(q.t - e.t AS DOUBLE) / w.w2), 0)), 6) AS decay_medium, round(sum(coalesce(exp(-CAST(q.t - e.t AS DOUBLE) / w.w3), 0)), 6) AS decay_long
@@ -260,7 +266,7 @@ QUERIES = {
         v AS (SELECT g.a, g.b, g.c, qid, pos, round((g.a * e + g.b * p + g.c * m) / 4, 6) AS x FROM n CROSS JOIN g),
         rr AS (SELECT a, b, c, qid, CAST(1 AS DOUBLE) / (1 + count(CASE WHEN x > p THEN 1 END) + CAST(count(CASE WHEN x = p AND pos > 0 THEN 1 END) AS DOUBLE) / 2) AS rr FROM (SELECT a, b, c, qid, pos, x, max(CASE WHEN pos = 0 THEN x END) OVER (PARTITION BY a, b, c, qid) AS p FROM v) z GROUP BY a, b, c, qid)
         SELECT CAST(a AS DOUBLE) / 4 AS edge_weight, CAST(b AS DOUBLE) / 4 AS pop_weight, CAST(c AS DOUBLE) / 4 AS mem_weight, round(avg(rr), 5) AS mrr FROM rr GROUP BY a, b, c"""),
-    "g19_edge_weights": S("G19", """SELECT e.src, e.dst, count(*) AS n, round(ln(1 + count(*)), 6) AS repeat_weight, round(ln(1 + count(*)) * exp(-CAST(max(sp.max_t) - max(e.t) AS DOUBLE) / max(sp.span)), 6) AS decayed_weight
-        FROM {ix} e CROSS JOIN {span} sp WHERE e.seq > sp.max_seq * 0.65 GROUP BY e.src, e.dst"""),
+    "g19_edge_weights": S("G19", """SELECT w.share, e.src, e.dst, count(*) AS n, round(ln(1 + count(*)), 6) AS repeat_weight, round(ln(1 + count(*)) * exp(-CAST(max(w.max_t) - max(e.t) AS DOUBLE) / max(w.span)), 6) AS decayed_weight
+        FROM {ix} e CROSS JOIN (SELECT max_t, span, max_seq, 100 AS share FROM {span} UNION ALL SELECT max_t, span, max_seq, 35 FROM {span} UNION ALL SELECT max_t, span, max_seq, 10 FROM {span}) w WHERE e.seq * 100 > w.max_seq * (100 - w.share) GROUP BY w.share, e.src, e.dst"""),
     "g20_adjacency": S("G20", "SELECT f.src, f.dst, round(1 / sqrt(CAST(a.n AS DOUBLE) * b.n), 9) AS w FROM {firsts} f JOIN (SELECT src, count(*) AS n FROM {firsts} GROUP BY src) a ON a.src = f.src JOIN (SELECT dst, count(*) AS n FROM {firsts} GROUP BY dst) b ON b.dst = f.dst"),
 }
