@@ -8,21 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.session import shared_folder
+
 MOST_ROUNDS = 60
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Rows in the shared checkpoint folder, with the lineage cut. Only a local session may leave the folder unset."""
+    """Rows in the shared checkpoint folder, with the lineage cut."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="eventide-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -11,10 +11,11 @@ from .built import QUERIES as BUILT
 from .dialect import Statement
 from .lists import QUERIES as LISTS
 from .negatives import QUERIES as NEGATIVES
+from .streams import QUERIES as STREAMS
 from .temporal import QUERIES as TEMPORAL
 from .windows import QUERIES as WINDOWS
 
-STATEMENTS: dict[str, Statement] = {**BUILT, **TEMPORAL, **WINDOWS, **LISTS, **NEGATIVES}
+STATEMENTS: dict[str, Statement] = {**BUILT, **TEMPORAL, **WINDOWS, **LISTS, **NEGATIVES, **STREAMS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

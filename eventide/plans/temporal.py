@@ -62,6 +62,13 @@ QUERIES = {
         cut AS (SELECT run.t, x.budget - run.prior AS ties FROM run CROSS JOIN (SELECT CAST(floor(n * 0.85) AS BIGINT) AS budget FROM {span}) x WHERE run.prior < x.budget AND run.prior + run.n >= x.budget)
         SELECT ix.seq, ix.src, ix.dst, ix.t, ix.t < cut.t OR ix.t = cut.t AND row_number() OVER (PARTITION BY ix.t ORDER BY ix.seq) <= cut.ties AS in_train FROM {ix} ix CROSS JOIN cut""",
         "SELECT seq, src, dst, t, row_number() OVER (ORDER BY t, seq) <= (SELECT CAST(floor(n * 0.85) AS BIGINT) FROM {span}) AS in_train FROM {ix}"),
+    # Equal (source, time) share one lookup.
+    "b15_shared_lookups": S("B15", """WITH k AS (SELECT DISTINCT src, t FROM {q}), h AS (SELECT k.src, k.t, count(e.t) AS n, max(e.t) AS last_t FROM k LEFT JOIN {ix} e ON e.src = k.src AND e.t < k.t GROUP BY k.src, k.t)
+        SELECT q.qid, q.pos, h.n, h.last_t FROM {q} q JOIN h ON h.src = q.src AND h.t = q.t""",
+        "SELECT qid, pos, (SELECT count(*) FROM {ix} e WHERE e.src = q.src AND e.t < q.t) AS n, (SELECT max(t) FROM {ix} e WHERE e.src = q.src AND e.t < q.t) AS last_t FROM {q} q"),
+    # Queries that all lie behind the log are scheduled by source; the place within a source is kept, and the order of the queries restored.
+    "b18_schedule": S("B18", "SELECT qid, src, CAST(row_number() OVER (PARTITION BY src ORDER BY qid) AS BIGINT) AS turn FROM {q} WHERE pos = 0 ORDER BY qid",
+        "SELECT qid, src, (SELECT count(*) FROM {q} o WHERE o.pos = 0 AND o.src = q.src AND o.qid <= q.qid) AS turn FROM {q} q WHERE pos = 0"),
     "b16_top_k": S("B16", "SELECT src, dst, n, k FROM (SELECT src, dst, n, CAST(row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS BIGINT) AS k FROM {firsts}) x WHERE k <= 5"),
     "b17_popular": S("B17 F8", "SELECT dst, count(*) AS n FROM {ix} GROUP BY dst ORDER BY n DESC, dst LIMIT 20"),
     "b20_concat_blocks": S("B20", "SELECT q.qid, q.pos, coalesce(a.n, 0) AS n_dst, coalesce(b.n, 0) AS n_src FROM {q} q LEFT JOIN (SELECT dst, count(*) AS n FROM {train} GROUP BY dst) a ON a.dst = q.c LEFT JOIN (SELECT src, count(*) AS n FROM {train} GROUP BY src) b ON b.src = q.src"),

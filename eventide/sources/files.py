@@ -22,6 +22,18 @@ def discover_datasets(spark: SparkSession, folder: str) -> list[str]:
     return sorted(str(s.getPath()) for s in fs.listStatus(top) if s.isDirectory() and has(s.getPath(), "train.csv") and has(s.getPath(), "test.csv"))
 
 
+def chosen(spark: SparkSession, folder: str, names: list[str] | None = None, done: str | None = None, most: int | None = None) -> list[str]:
+    """The datasets to work on: those named, or all, without those that have a finished result under ``done``, at most ``most``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = [d for d in discover_datasets(spark, folder) if names is None or d.rstrip("/").rpartition("/")[2] in names]
+    if names is not None and (missing := set(names) - {d.rstrip("/").rpartition("/")[2] for d in found}):
+        raise ValueError(f"no datasets {sorted(missing)} in {folder}")
+    if done is not None:
+        mark = lambda d: jvm.org.apache.hadoop.fs.Path(f"{done}/{d.rstrip('/').rpartition('/')[2]}/_SUCCESS")
+        found = [d for d in found if not mark(d).getFileSystem(conf).exists(mark(d))]
+    return found[:most]
+
+
 def read_interactions(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, time) of a CSV with a header that has these columns; others are not read."""
     raw = spark.read.csv(path, header=True)

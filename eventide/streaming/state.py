@@ -45,7 +45,9 @@ def features_per_batch(stream: DataFrame, history: DataFrame, sink: str) -> Any:
     """A query that, per micro-batch, joins probes with what the stored history knows strictly before them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        seen = batch.join(history.select("src", F.col("t").alias("at"), F.col("dst").alias("d")), "src", "left").where(F.col("at").isNull() | (F.col("at") < F.col("t")))
-        seen.groupBy("src", "t").agg(F.count("d").alias("n_src"), F.max("at").alias("last_t")).write.mode("append").parquet(sink)
+        probes = batch.select("src", "t").distinct()
+        before = (F.col("h.src") == F.col("p.src")) & (F.col("h.t") < F.col("p.t"))
+        seen = probes.alias("p").join(history.alias("h"), before, "left")
+        seen.groupBy("p.src", "p.t").agg(F.count("h.t").alias("n_src"), F.max("h.t").alias("last_t")).write.mode("append").parquet(sink)
 
     return stream.writeStream.foreachBatch(write)

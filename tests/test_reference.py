@@ -72,6 +72,12 @@ def test_files(spark, tmp_path):
     names = ",".join(f"c{i}" for i in range(1, 101))
     (tmp_path / "d1/test.csv").write_text(f"src,time,{names}\n1,2,{','.join(map(str, range(100)))}\n")
     assert [p.rpartition("/")[2] for p in files.discover_datasets(spark, str(tmp_path))] == ["d1"]
+    assert len(files.chosen(spark, str(tmp_path), ["d1"])) == 1 and files.chosen(spark, str(tmp_path), most=0) == []
+    (tmp_path / "done/d1").mkdir(parents=True)
+    (tmp_path / "done/d1/_SUCCESS").touch()
+    assert files.chosen(spark, str(tmp_path), done=f"{tmp_path}/done") == []
+    with pytest.raises(ValueError):
+        files.chosen(spark, str(tmp_path), ["d9"])
     assert sorted(map(tuple, files.read_interactions(spark, f"{tmp_path}/d1/train.csv").collect())) == [(1, 2, 3), (4, 5, 6)]
     assert files.read_test_queries(spark, f"{tmp_path}/d1/test.csv").first().candidates == list(range(100))
     with pytest.raises(ValueError):
