@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import release, stage
 from .textnum import ALNUM, LOWER, owners, span_hashes, text_slices, words
 
 TERM_BITS = 18
@@ -49,15 +50,37 @@ def _terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def term_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, distinct terms as int32)."""
+    """(label, text) to (label, distinct terms)."""
     for batch in batches:
         for row, end, data, off in text_slices(batch.column(1)):
             owner, term = _terms(data, off)
             key = np.unique((owner << TERM_BITS) | term)
             cut = np.searchsorted(key >> TERM_BITS, np.arange(end - row + 1))
-            low = (key & ((1 << TERM_BITS) - 1)).astype("<i4")
-            sets = [low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(sets, pa.binary())], names=["label", "terms"])
+            low = (key & ((1 << TERM_BITS) - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(low))], names=["label", "terms"])
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def strong_terms(seen: np.ndarray, hits: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """The places, of how many documents have a term of each place and how many of them are positive, that depart from chance, the farthest first."""
+    share = positive / n
+    z = (hits - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
+    rank = np.where(seen >= LEAST_DOCUMENTS, np.abs(z), 0.0)
+    terms = np.argsort(-rank, kind="stable")[:MOST_TERMS]
+    return terms[rank[terms] >= LEAST_Z]
+
+
+def _kept_terms(terms: np.ndarray):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x[np.isin(x, terms)] for x in _sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["label", "terms"])
+
+    return keep
 
 
 class FactorizationMachine:
@@ -69,19 +92,17 @@ class FactorizationMachine:
         self.place[terms] = np.arange(len(terms))
 
     @classmethod
-    def fit(cls, sets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> FactorizationMachine:
+    def fit(cls, sets: list[np.ndarray], labels: np.ndarray, terms: np.ndarray | None = None, seed: int = 7) -> FactorizationMachine:
+        """The machine over ``terms``, or where they are not given over the strong ones of the sets."""
         n, positive = len(sets), float(labels.sum())
         if not n or positive in (0.0, float(n)):  # nothing to tell apart: the share itself
             share = min(max(positive / n if n else 0.0, 1e-6), 1 - 1e-6)
             return cls(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
         flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-        seen = np.bincount(flat, minlength=1 << TERM_BITS)
-        hits = np.bincount(flat, weights=np.repeat(labels, sizes), minlength=1 << TERM_BITS)
         share = positive / n
-        z = (hits - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-        rank = np.where(seen >= LEAST_DOCUMENTS, np.abs(z), 0.0)
-        terms = np.argsort(-rank, kind="stable")[:MOST_TERMS]
-        terms = np.sort(terms[rank[terms] >= LEAST_Z])
+        if terms is None:
+            terms = strong_terms(np.bincount(flat, minlength=1 << TERM_BITS), np.bincount(flat, weights=np.repeat(labels, sizes), minlength=1 << TERM_BITS), n, positive)
+        terms = np.sort(terms)
         machine = cls(terms, float(np.log(share / (1 - share))), np.zeros(len(terms)), np.random.default_rng(seed).normal(0, 0.05, (len(terms), FACTORS)))
         x = np.zeros((n, len(terms)), np.float32)
         at = machine.place[flat]
@@ -126,9 +147,17 @@ def fit_toxicity(
         .limit(most_rows)
     )
     found = documents.select(F.col(id_col), F.col(text_col)).join(F.broadcast(sample), id_col)  # bounded by most_rows
-    table = found.select("label", text_col).mapInArrow(term_sets, "label int, terms binary").toArrow()
-    sets = [np.frombuffer(t.as_buffer(), "<i4") for t in table.column("terms").combine_chunks()]
-    return FactorizationMachine.fit(sets, (table.column("label").to_numpy() > 0).astype(float))
+    sets = stage(found.select("label", text_col).mapInArrow(term_sets, "label int, terms array<int>"))
+    total = sets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("label") > 0).cast("bigint")), F.lit(0)).alias("positive")).first()
+    # Counts by place, of which there are at most 2**TERM_BITS whatever the texts.
+    counted = sets.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") > 0).cast("bigint")).alias("hits")).toArrow()
+    seen, hits = np.zeros((2, 1 << TERM_BITS))
+    seen[counted.column("term").to_numpy()], hits[counted.column("term").to_numpy()] = counted.column("n").to_numpy(), counted.column("hits").to_numpy()
+    terms = strong_terms(seen, hits, total["n"], total["positive"]) if 0 < total["positive"] < total["n"] else np.zeros(0, np.int64)
+    held = sets.mapInArrow(_kept_terms(terms.astype(np.int32)), "label int, terms array<int>").toArrow()  # at most MOST_TERMS terms for each of at most most_rows rows
+    release(sets)
+    rows = _sets(held.column("terms").combine_chunks()) if held.num_rows else []
+    return FactorizationMachine.fit(rows, (held.column("label").to_numpy() > 0).astype(float), terms)
 
 
 def score_toxicity(documents: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
