@@ -21,6 +21,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stage
+
 # Notices that stand for a license, by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -159,16 +161,19 @@ def scan_licenses(
     """
     rows = documents.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("row", F.xxhash64("id", "path", "text"))
-    candidates = rows.where(F.col("text").rlike(TRIGGER)).select("row", "text").dropDuplicates(["row"])  # equal rows give equal lines
+    # Written once, as every kind of unit reads them; equal rows give equal lines.
+    candidates = stage(rows.where(F.col("text").rlike(TRIGGER)).select("row", "text").dropDuplicates(["row"]))
     notices = license_lines(candidates, ["row"], "text", templates).select("row", F.lit(0).alias("kind"), "pos", "words", "license", "cosine")
     once = notices.unionByName(license_units(candidates, ["row"], "text", full_templates())).where(F.col("cosine") >= least_cosine)
     top = F.max(F.struct("cosine", F.expr("transform(sequence(1, length(license)), i -> -ascii(substring(license, i, 1)))").alias("back"), "license"))
     units = once.groupBy("row", "kind", "pos").agg(top.alias("top"), F.first("words").alias("words"))
     kinds = units.groupBy("row", "kind").agg(F.max("top").alias("top"), F.sum("words").alias("words"))
     own = kinds.groupBy("row").agg(F.max("top").alias("top"), F.max("words").alias("license_words"))
-    marked = rows.where(F.col("text").rlike(TRIGGER)).select("row", "path", _words(F.col("text")).alias("n_words")).join(own, "row")
+    counted = candidates.select("row", _words(F.col("text")).alias("n_words")).join(own, "row")
+    marked = rows.select("row", "path").join(counted, "row")
     is_file = 100 * F.col("license_words") >= file_percent * F.col("n_words")
     owned = marked.select("row", "path", F.col("top.license").alias("own_license"), F.col("top.cosine").alias("cosine"), is_file.alias("is_file")).distinct()
+    owned = stage(owned, candidates)
 
     files = owned.where("is_file").select(directory(F.col("path")).alias("above"), F.struct(F.col("cosine"), F.expr("transform(sequence(1, length(own_license)), i -> -ascii(substring(own_license, i, 1)))").alias("back"), F.col("own_license")).alias("top"))
     speaks = files.groupBy("above").agg(F.max("top").alias("top")).select("above", F.col("top.own_license").alias("inherited_license"))

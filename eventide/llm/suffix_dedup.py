@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .storage import stage
 from .suffix_array import common_prefixes, suffix_array
-from .textnum import U, _powers, mix, text_slices
+from .textnum import U, _powers, frugal, mix, text_slices
 
 LENGTH, GRAM = 50, 16
 FILTER_BITS = 24
@@ -462,16 +462,16 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    records = named.mapInArrow(_emit(n * PARTS, length, gram, piece, most_held), "part int, " + ", ".join(f"{f} binary" for f in [*_SENT, "stop"]))
-    found = stage(records.repartition(n, "part").mapInArrow(_resolve(length), "id bigint, start int, stop int, anchor bigint, before int"))
+    records = named.mapInArrow(frugal(_emit(n * PARTS, length, gram, piece, most_held)), "part int, " + ", ".join(f"{f} binary" for f in [*_SENT, "stop"]))
+    found = stage(records.repartition(n, "part").mapInArrow(frugal(_resolve(length)), "id bigint, start int, stop int, anchor bigint, before int"))
     removed = found.where(F.col("anchor").isNull()).select("id", "start", "stop")
 
     open_ones = found.where(F.col("anchor").isNotNull())
     mask, bit = _bit_mask(open_ones)
     wanted = open_ones.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "stop", "before")).alias("wanted"))
     texts = _screened(named, spark.sparkContext.broadcast(mask), bit, "bigint", True)
-    contexts = texts.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_contexts, "anchor bigint, id bigint, start int, before int, bytes binary")
-    compared = contexts.repartition(n, "anchor").mapInArrow(_compare(length, gram), "id bigint, start int, stop int")
+    contexts = texts.join(wanted, "id").select("id", "text", "wanted").mapInArrow(frugal(_contexts), "anchor bigint, id bigint, start int, before int, bytes binary")
+    compared = contexts.repartition(n, "anchor").mapInArrow(frugal(_compare(length, gram)), "id bigint, start int, stop int")
     spans = stage(removed.union(compared).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
 
     mask, bit = _bit_mask(spans)
@@ -480,4 +480,4 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     empty = F.lit(None).cast("array<struct<start:int,stop:int>>")
     clear = _screened(rows.where(F.col("id").isNotNull()), shared, bit, "bigint", False).union(rows.where(F.col("id").isNull())).select("id", "text", empty.alias("spans"))
     schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept
-    return touched.union(clear).mapInArrow(_cut_out(id_col, with_kept), schema)
+    return touched.union(clear).mapInArrow(frugal(_cut_out(id_col, with_kept)), schema)
