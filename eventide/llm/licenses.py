@@ -104,30 +104,39 @@ def _words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
 
 
-def license_lines(documents: DataFrame, key: Sequence[str], text_col: str, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def license_lines(documents: DataFrame, key: Sequence[str], text_col: str, templates: Sequence[tuple[str, str]] = TEMPLATES, least_cosine: float = 0.0) -> DataFrame:
     """(key, pos, words, license, cosine): the best template of every candidate line that has a term in common with one."""
     lines = documents.where(F.col(text_col).rlike(TRIGGER)).select(*key, F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).where(F.col("line").rlike(TRIGGER))
-    return _best(lines, [*key, "pos"], templates)
+    return _best(lines, [*key, "pos"], templates, least_cosine)
 
 
-def _best(lines: DataFrame, key: Sequence[str], templates: Sequence[tuple[str, str]]) -> DataFrame:
-    """(key, words, license, cosine): the best template of every line, or longer text in that column, that has a term in common with one."""
+def _best(lines: DataFrame, key: Sequence[str], templates: Sequence[tuple[str, str]], least_cosine: float = 0.0) -> DataFrame:
+    """(key, words, license, cosine): the best template of every line, or longer text in that column, that has a term in common with one.
+
+    No cosine exceeds the share of a text's norm that lies in terms of templates, so
+    texts in which that is below ``least_cosine`` meet no template.
+    """
     weights, idf, unknown = template_weights(templates)
     spark = lines.sparkSession
     known = spark.createDataFrame(weights, "template int, license string, term string, weight double")
     ratios = spark.createDataFrame(list(idf.items()), "term string, idf double")
     terms = F.regexp_extract_all(F.translate("line", *_LOWER), F.lit("[a-z0-9]+"), F.lit(0))
-    counted = lines.select(*key, _words(F.col("line")).alias("words"), F.explode(terms).alias("term")).groupBy(*key, "words", "term").agg(F.count(F.lit(1)).alias("n"))
+    # Words are counted before the terms are dealt out, or every term would count its text's words again.
+    dealt = lines.select(*key, _words(F.col("line")).alias("words"), terms.alias("terms")).select(*key, "words", F.explode("terms").alias("term"))
+    counted = stage(dealt.groupBy(*key, "words", "term").agg(F.count(F.lit(1)).alias("n")))
     # The templates are a fixed list, so both tables of terms are small by construction.
     weighed = counted.join(F.broadcast(ratios), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unknown)))
-    norm = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(known), "term").groupBy(*key, "words", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    square = F.col("w") * F.col("w")
+    mass = weighed.groupBy(*key).agg(F.sqrt(F.sum(square)).alias("norm"), F.sqrt(F.sum(F.when(F.col("idf").isNotNull(), square).otherwise(0.0))).alias("known"))
+    norm = stage(mass.where(F.col("known") >= (least_cosine - 1e-5) * F.col("norm")).select(*key, "norm"))
+    dots = weighed.join(norm.select(*key), list(key), "left_semi").join(F.broadcast(known), "term").groupBy(*key, "words", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norm, key).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
     best = F.max(F.struct("cosine", F.expr("transform(sequence(1, length(license)), i -> -ascii(substring(license, i, 1)))").alias("back"), "license"))
-    return scored.groupBy(*key, "words").agg(best.alias("best")).select(*key, "words", F.col("best.license").alias("license"), F.col("best.cosine").alias("cosine"))
+    found = scored.groupBy(*key, "words").agg(best.alias("best")).select(*key, "words", F.col("best.license").alias("license"), F.col("best.cosine").alias("cosine"))
+    return stage(found, counted, norm)
 
 
-def license_units(documents: DataFrame, key: Sequence[str], text_col: str, templates: Sequence[tuple[str, str]]) -> DataFrame:
+def license_units(documents: DataFrame, key: Sequence[str], text_col: str, templates: Sequence[tuple[str, str]], least_cosine: float = LEAST_COSINE) -> DataFrame:
     """(key, kind, pos, words, license, cosine) of candidate lines (kind 0), paragraphs (1) and whole documents (2); an SPDX identifier has the cosine 1."""
     texts = documents.where(F.col(text_col).rlike(TRIGGER))
     parts = lambda kind, of: texts.select(*key, F.lit(kind).alias("kind"), F.posexplode(of).alias("pos", "line")).where(F.col("line").rlike(TRIGGER))
@@ -135,7 +144,7 @@ def license_units(documents: DataFrame, key: Sequence[str], text_col: str, templ
     names = documents.sparkSession.createDataFrame(sorted({(n.lower(), n) for n, _ in templates}), "low string, license string")
     tagged = units.where("kind = 0").withColumn("spdx", F.regexp_extract("line", SPDX, 1)).where("spdx != ''").withColumn("low", F.lower("spdx"))
     spdx = tagged.join(F.broadcast(names), "low", "left").select(*key, "kind", "pos", _words(F.col("line")).alias("words"), F.coalesce("license", "spdx").alias("license"), F.lit(1.0).alias("cosine"))
-    return _best(units, [*key, "kind", "pos"], templates).unionByName(spdx)
+    return _best(units, [*key, "kind", "pos"], templates, least_cosine).unionByName(spdx)
 
 
 def directory(path: Column) -> Column:
@@ -163,8 +172,8 @@ def scan_licenses(
     rows = rows.withColumn("row", F.xxhash64("id", "path", "text"))
     # Written once, as every kind of unit reads them; equal rows give equal lines.
     candidates = stage(rows.where(F.col("text").rlike(TRIGGER)).select("row", "text").dropDuplicates(["row"]))
-    notices = license_lines(candidates, ["row"], "text", templates).select("row", F.lit(0).alias("kind"), "pos", "words", "license", "cosine")
-    once = notices.unionByName(license_units(candidates, ["row"], "text", full_templates())).where(F.col("cosine") >= least_cosine)
+    notices = license_lines(candidates, ["row"], "text", templates, least_cosine).select("row", F.lit(0).alias("kind"), "pos", "words", "license", "cosine")
+    once = notices.unionByName(license_units(candidates, ["row"], "text", full_templates(), least_cosine)).where(F.col("cosine") >= least_cosine)
     top = F.max(F.struct("cosine", F.expr("transform(sequence(1, length(license)), i -> -ascii(substring(license, i, 1)))").alias("back"), "license"))
     units = once.groupBy("row", "kind", "pos").agg(top.alias("top"), F.first("words").alias("words"))
     kinds = units.groupBy("row", "kind").agg(F.max("top").alias("top"), F.sum("words").alias("words"))
