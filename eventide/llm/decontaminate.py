@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import ALNUM, LOWER, ngrams, span_hashes, text_slices, words
+from .textnum import ALNUM, LOWER, frugal, ngrams, span_hashes, text_slices, words
 
 WINDOW = 13
 #: The items are a test set held on the driver: at most so many bytes of text, checked before they are collected.
@@ -235,7 +235,7 @@ def overlaps(
 
     kind = documents.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean" + ", clean_text string" * clean
-    return documents.select(id_col, text_col).mapInArrow(judge, schema)
+    return documents.select(id_col, text_col).mapInArrow(frugal(judge), schema)
 
 
 def digest_items(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

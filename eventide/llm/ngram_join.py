@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .candidates import SKETCH, meet_hubs, pairs_across, sketches_close, spanning_entries
 from .components import components
 from .storage import stage
-from .textnum import LOWER, U, mix, ngrams, span_hashes, text_slices, words
+from .textnum import LOWER, U, frugal, mix, ngrams, span_hashes, text_slices, words
 
 WORDS, PERCENT = 4, 85
 #: Shingle frequencies are counted in so many hashed places, which bounds the table that every task gets.
@@ -202,10 +202,10 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([_long(_nodes(*shingle_sets(data, off, k))), left.column(1).slice(row, end - row)], names=["node", "text"])
 
         rows = self.documents.where(F.col(self.id_col).isNotNull()).select(F.col(self.id_col).alias("rep"), F.col(self.text_col).alias("text"))
-        texts = rows.select(bit.alias("bit"), "text").mapInArrow(texts_of, "node bigint, text string")
+        texts = rows.select(bit.alias("bit"), "text").mapInArrow(frugal(texts_of), "node bigint, text string")
         one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-        return stage(both.mapInArrow(_similar(self.k, self.percent), "a bigint, b bigint").distinct())
+        return stage(both.mapInArrow(frugal(_similar(self.k, self.percent)), "a bigint, b bigint").distinct())
 
 
 def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -222,11 +222,11 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(id_col, text_col)
-    found = stage(rows.mapInArrow(_profiles(k), f"id {kind}, n_shingles bigint, node bigint, sketch array<bigint>, place int, held bigint"))
+    found = stage(rows.mapInArrow(frugal(_profiles(k)), f"id {kind}, n_shingles bigint, node bigint, sketch array<bigint>, place int, held bigint"))
     profiles = found.where(F.col("place").isNull()).select(F.col("id").alias(id_col), "n_shingles", "node", "sketch")
     join = _Join(documents, profiles, id_col, text_col, k, percent)
     table = spark.sparkContext.broadcast(frequencies(found))
-    postings = rows.where(F.col(id_col).isNotNull()).mapInArrow(_postings(k, percent, table), "token bigint, node bigint, size int, matches tinyint, place int")
+    postings = rows.where(F.col(id_col).isNotNull()).mapInArrow(frugal(_postings(k, percent, table)), "token bigint, node bigint, size int, matches tinyint, place int")
     # Staged apart, so that the two shuffles of all postings don't lie on disk at once.
     shared = stage(postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token"))
     met = stage(postings.join(shared, "token"), shared)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .storage import stage
-from .textnum import LOWER, counts_by, mix, owners, span_hashes, text_slices, words
+from .textnum import LOWER, counts_by, frugal, mix, owners, span_hashes, text_slices, words
 
 CAPACITY = 2048
 END_ID = 1
@@ -148,7 +148,7 @@ def encoded(documents: DataFrame, id_col: str, text_col: str, tokenizer: str) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(curve_keys(data, off)), pa.array(ids, pa.binary()), pa.array(np.full(end - row, e.kind.itemsize, np.int8))], names=[batch.schema.names[0], "key", "ids", "width"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, key bigint, ids binary, width tinyint")
+    return documents.select(id_col, text_col).mapInArrow(frugal(encode), f"`{id_col}` {kind}, key bigint, ids binary, width tinyint")
 
 
 def pack(
@@ -219,7 +219,7 @@ def pack(
             yield batch_of(done)
 
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
-    return curve.mapInArrow(lay, schema)
+    return curve.mapInArrow(frugal(lay), schema)
 
 
 def sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stage
-from .textnum import LEADS, LOWER, NOT_SPACE, U, counts_by, covered, mix, ngrams, owners, repeated, span_hashes, text_slices, words
+from .textnum import LEADS, LOWER, NOT_SPACE, U, counts_by, covered, frugal, mix, ngrams, owners, repeated, span_hashes, text_slices, words
 
 # Languages with a reference of their own, and their common words.
 LANGUAGES = ("de", "en", "es", "fr")
@@ -91,7 +91,7 @@ def measures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = documents.schema[id_col].dataType.simpleString()
     return documents.select(id_col, F.col(lang_col).cast("string").alias("__lang"), text_col).mapInArrow(
-        measure, f"`{id_col}` {kind}, __lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, chars array<bigint>, common array<bigint>"
+        frugal(measure), f"`{id_col}` {kind}, __lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, chars array<bigint>, common array<bigint>"
     )
 
 
