@@ -188,6 +188,23 @@ def test_line_groups_of_many_kinds(spark):
     assert got == {i: first[roots[kinds.index(line)]] for i, line in enumerate(lines)}
 
 
+def test_rare_shingles_meet_each_pair_once(spark):
+    """Lines that share many rare shingles meet at the first of them, and none of the similar pairs is lost."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(700))
+    lines = []
+    for _ in range(30):
+        at = rng.randrange(700 - 90)
+        lines.append(base[:at] + "".join(rng.choice("0123456789") for _ in range(rng.randrange(20, 90))) + base[at + 90 :])
+    sets = [_shingles(x) for x in lines]
+    similar = {(i, j) for i in range(30) for j in range(30) if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    nodes = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    entries = line_dedup._rare_first(nodes, nodes.select("node", F.col("node").alias("component")), 7, 80)
+    met = line_dedup.pairs_across(entries, 80, "sketch", line_dedup.sketches_close(80, line_dedup.SKETCH), "earlier").collect()
+    pairs = {tuple(sorted((r.a, r.b))) for r in met}
+    assert similar and similar <= pairs and len(met) < 2 * len(pairs)
+
+
 @pytest.mark.parametrize(("seed", "options"), [(0, {}), (4, {}), (0, {"piece": 64, "most_held": 50}), (4, {"piece": 100, "most_held": 9})])
 def test_remove_repeats(spark, seed, options):
     """The last two cut the longer texts into pieces and send records a few at a time."""
