@@ -73,7 +73,12 @@ QUERIES = {
     # I: blends
     "i1_blend": S("I1", f"""WITH b AS (SELECT qid, pos, 0.6 * s + 0.4 * r AS prob, 0.6 / (60 + {_avg_rank('s')}) + 0.4 / (60 + {_avg_rank('r')}) AS rrf FROM {{sc}})
         SELECT qid, pos, round(prob / sum(prob) OVER (PARTITION BY qid), 9) AS probability, round(rrf / sum(rrf) OVER (PARTITION BY qid), 9) AS rrf FROM b"""),
-    "i2_temperature": S("I2", """WITH e AS (SELECT k, qid, max(tau) AS tau, (max(CASE WHEN pos = 0 THEN s END) - max(s)) / max(tau) - ln(sum(exp((s - m) / tau))) AS ll FROM (SELECT qid, pos, s, m, k, 0.05e0 * power(400e0, CAST(k AS DOUBLE) / 160) AS tau FROM (SELECT qid, pos, s, max(s) OVER (PARTITION BY qid) AS m, EACH(0, 160)) AS k FROM {sc}) x) y GROUP BY k, qid),
+    # Queries whose lists of differences to their best score are equal count as one, with their number; temperatures meet lists, not rows.
+    "i2_temperature": S("I2", """WITH m AS (SELECT qid, max(s) AS m, max(CASE WHEN pos = 0 THEN s END) AS s0, sort_array(collect_list(s)) AS l FROM {sc} GROUP BY qid),
+        c AS (SELECT d0, d, count(*) AS n FROM (SELECT s0 - m AS d0, transform(l, x -> x - m) AS d FROM m) x GROUP BY d0, d),
+        e AS (SELECT k, tau, n, d0 / tau - ln(aggregate(d, 0e0, (a, x) -> a + exp(x / tau))) AS ll FROM (SELECT d0, d, n, k, 0.05e0 * power(400e0, CAST(k AS DOUBLE) / 160) AS tau FROM (SELECT d0, d, n, explode(sequence(0, 160)) AS k FROM c) x) y),
+        n AS (SELECT k, max(tau) AS tau, round(-sum(n * ll) / sum(CASE WHEN ll IS NOT NULL THEN n END), 6) AS nll FROM e GROUP BY k) SELECT CAST(k AS BIGINT) AS k, round(tau, 6) AS tau, nll, k = (SELECT min(k) FROM n WHERE nll = (SELECT min(nll) FROM n)) AS chosen FROM n""",
+        """WITH e AS (SELECT k, qid, max(tau) AS tau, (max(CASE WHEN pos = 0 THEN s END) - max(s)) / max(tau) - ln(sum(exp((s - m) / tau))) AS ll FROM (SELECT qid, pos, s, m, k, 0.05e0 * power(400e0, CAST(k AS DOUBLE) / 160) AS tau FROM (SELECT qid, pos, s, max(s) OVER (PARTITION BY qid) AS m, EACH(0, 160)) AS k FROM {sc}) x) y GROUP BY k, qid),
         n AS (SELECT k, max(tau) AS tau, round(-avg(ll), 6) AS nll FROM e GROUP BY k) SELECT CAST(k AS BIGINT) AS k, round(tau, 6) AS tau, nll, k = (SELECT min(k) FROM n WHERE nll = (SELECT min(nll) FROM n)) AS chosen FROM n"""),
     "i3_weight_scan": S("I3 I8", f"""WITH g AS (SELECT w, qid, pos, round(w * 0.1 * s + (1 - w * 0.1) * r, 9) AS x FROM (SELECT qid, pos, s, r, EACH(0, 10)) AS w FROM {{sc}}) y)
         SELECT CAST(w AS BIGINT) AS w, round(avg(rr), 6) AS mrr FROM ({_reciprocal('g', 'x', 'w, qid')}) z GROUP BY w"""),

@@ -168,3 +168,16 @@ def test_bounded_cooccurrence_of_a_wide_source(spark):
     put = graph.insertions(_log(spark, [(1, d, d) for d in range(20)] + [(2, 3, 1), (2, 4, 2)]), 5)
     assert sorted((r.src, r.dst, r.k) for r in put.collect()) == [(1, d, d) for d in range(20)] + [(2, 3, 0), (2, 4, 1)]
     assert graph.paired(put, 5).count() == 2 * (5 * 15 + 10 + 1)
+
+
+def test_temperatures_meet_lists(spark):
+    """Every temperature takes the queries' score lists, equal ones once, not every candidate's row."""
+    scores = [[0.1, 0.9, 0.4], [0.9, 0.1, 0.4], [0.6, 0.6], [0.3]]
+    rows = [(q, p, s) for q, x in enumerate(scores * 3) for p, s in enumerate(x)]
+    got = registry.STATEMENTS["i2_temperature"].on(spark, sc=spark.createDataFrame(rows, "qid bigint, pos bigint, s double"))
+    for r in got.collect():
+        tau = 0.05 * 400 ** (r.k / 160)
+        loss = [math.log(sum(math.exp((s - x[0]) / tau) for s in x)) for x in scores]
+        assert abs(r.nll - sum(loss) / len(loss)) < 2e-6
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [d0" in plan[plan.index("Generate") :]
