@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -181,3 +182,21 @@ def test_temperatures_meet_lists(spark):
         assert abs(r.nll - sum(loss) / len(loss)) < 2e-6
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [d0" in plan[plan.index("Generate") :]
+
+
+def test_lift_counts_without_meeting_events(spark):
+    """The last day is counted at bounds; no query row is joined with the events behind its bound."""
+    rows = [(i % 3, i % 4, 1000 * i) for i in range(60)]
+    got = registry.STATEMENTS["d9_d10_cooccur_lift"].on(spark, ix=_log(spark, rows))
+    assert not re.search(r"\bt#\d+L > \(t#\d+L - 86400\)", got._jdf.queryExecution().optimizedPlan().toString())
+    last = {(r.qid, r.pos): r for r in got.where("short_window_support = 1").collect()}
+    end = rows[49][2]  # seq below floor(59 * 0.85) = 50
+    for q in (51, 55):
+        low, c = max(rows[q][2], end) - 86400, rows[q][1]
+        n = sum(d == c and low < t < end for _, d, t in rows[:50])
+        h = {d for s, d, t in rows[:50] if s == rows[q][0] and t < end}
+        first = {}
+        for s, d, t in rows:
+            first.setdefault((s, d), t)
+        m = sum(low < max(first[s, a], first[s, c]) < end for s in range(3) for a in h if a != c)
+        assert abs(last[q, 0].lift_short - (math.log(1 + m) - math.log(1 + n))) < 2e-6
