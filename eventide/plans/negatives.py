@@ -35,8 +35,14 @@ _STAGES = (
 )
 
 
-def _candidates(stage: int) -> str:
+#: The first stage with its draws worked out before they meet candidates: as one list of joins it is put in an order where each draw meets all candidates of its place.
+_DRAWN = f"""SELECT d.qid, o.c AS dst, d.j AS place FROM (SELECT u.qid, j.j, g.lo + {_draw(1)} % (g.hi - g.lo + 1) AS other, {_draw(2)} % 20 AS pos FROM u CROSS JOIN {_places(8)} j CROSS JOIN g) d
+        JOIN {{q}} o ON o.qid = d.other AND o.pos = d.pos"""
+
+
+def _candidates(stage: int, drawn: bool = False) -> str:
     rows, unmet = _STAGES[stage]
+    rows = _DRAWN if drawn and stage == 0 else rows
     return f"SELECT x.qid, x.dst, min(x.place) AS place FROM ({rows}) x JOIN u ON u.qid = x.qid AND u.positive <> x.dst {'LEFT JOIN known ON known.src = u.src AND known.dst = x.dst WHERE known.src IS NULL' if unmet else ''} GROUP BY x.qid, x.dst"
 
 
@@ -49,7 +55,7 @@ def mixed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     held: dict[str, DataFrame] = {}
     rows = frame(spark, sf_dir, "SELECT qid, c AS positive FROM {q} WHERE pos = 0", held)
     for i in range(len(_STAGES)):
-        found = frame(spark, sf_dir, f"{_HEAD} {_candidates(i)}", held)
+        found = frame(spark, sf_dir, f"{_HEAD} {_candidates(i, drawn=True)}", held)
         lists = found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "dst"))), lambda x: x["dst"]).alias(f"c{i}"))
         rows = rows.join(lists, "qid", "left")
     none = F.array().cast("array<bigint>")

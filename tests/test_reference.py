@@ -200,3 +200,9 @@ def test_lift_counts_without_meeting_events(spark):
             first.setdefault((s, d), t)
         m = sum(low < max(first[s, a], first[s, c]) < end for s in range(3) for a in h if a != c)
         assert abs(last[q, 0].lift_short - (math.log(1 + m) - math.log(1 + n))) < 2e-6
+
+
+def test_draws_meet_candidates_by_query_and_place(spark):
+    """A draw is worked out before the join; no draw meets all candidates of its place."""
+    plan = entry.queries()["m1_m2_mixed_negatives"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "48271" in plan and not re.search(r"Join \w+, \(pos#\d+L = .*% 20\)\)", plan)
