@@ -206,3 +206,22 @@ def test_draws_meet_candidates_by_query_and_place(spark):
     """A draw is worked out before the join; no draw meets all candidates of its place."""
     plan = entry.queries()["m1_m2_mixed_negatives"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "48271" in plan and not re.search(r"Join \w+, \(pos#\d+L = .*% 20\)\)", plan)
+
+
+def test_two_hop_counts_without_meeting_pairs(spark):
+    """The log is walked in order; no query is joined with the co-occurrences of its destinations, and ties in time, nulls and returning destinations count as by plain loops."""
+    rows = [(i * 7 % 3, (i * i + i // 4) % 5, 100 * (i // 2)) for i in range(60)]
+    q = [(k, p, s, t, c) for k, (s, t) in enumerate([(0, 900), (1, 3000), (2, 2900), (9, 3000), (0, 0)]) for p, c in enumerate([0, 1, 4, 77, None])]
+    frames = dict(ix=_log(spark, rows), q=spark.createDataFrame(q, "qid bigint, pos bigint, src bigint, t bigint, c bigint"))
+    got = registry.STATEMENTS["e16_two_hop_proxy"].on(spark, **frames)
+    assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+    first = {}
+    for s, d, t in rows:
+        first.setdefault((s, d), t)
+    co = [(a, b, max(t, u)) for (s, a), t in first.items() for (r, b), u in first.items() if s == r and a != b]
+    tau = rows[-1][2] * 0.05
+    got = {(r.qid, r.pos): (r.raw, r.decayed) for r in got.collect()}
+    assert len(got) == len(q)
+    for k, p, s, t, c in q:
+        met = [u for a, b, u in co if b == c and u < t and any(r == s and d == a and e < t for r, d, e in rows)]
+        assert got[k, p][0] == len(met) and abs(got[k, p][1] - sum(math.exp((u - t) / tau) for u in met)) < 2e-5
