@@ -45,9 +45,11 @@ LIMIT = 128
 define("put", lambda ix: graph.insertions(ix, LIMIT), "SELECT src, dst, t, CAST(row_number() OVER (PARTITION BY src ORDER BY t, seq) - 1 AS BIGINT) AS k FROM {firsts}")
 #: Co-occurrence: each destination that enters a history with those in it, both ways.
 define("co", lambda put: graph.paired(put, LIMIT), "SELECT a.dst AS a, b.dst AS b, greatest(a.t, b.t) AS t FROM {firsts} a JOIN {firsts} b ON a.src = b.src AND a.dst <> b.dst")
-#: Co-occurrences of a query's recent destinations with its candidates before its time; the widths of their decay in one row. No oracle reads these two.
+#: Co-occurrences of a query's recent destinations with its candidates before its time; paths of two steps likewise. The clocks have the width of the decay in one row. No oracle reads these.
 define("near_clock", "SELECT max_t, CAST(greatest(span * 0.05, 1) AS DOUBLE) AS width FROM {span}")
 define("co_recent", lambda ix, q, near_clock: hops.cooccurrence_of_recent(ix, q, near_clock, LIMIT))
+define("wide_clock", "SELECT max_t, CAST(greatest(ceil(span * 0.2), 1) AS DOUBLE) AS width FROM {span}")
+define("step_paths", lambda ix, steps, q, wide_clock: hops.two_steps(ix, steps, q, wide_clock))
 define("con", "SELECT a, b, count(*) AS n FROM {co} GROUP BY a, b")
 define("deg", "SELECT node, CAST(sum(n) AS BIGINT) AS deg FROM (SELECT src AS node, count(*) AS n FROM {ix} GROUP BY src UNION ALL SELECT dst, count(*) FROM {ix} GROUP BY dst) x GROUP BY node")
 #: Counts of different destinations at most 16 events of a source apart, both ways. Events meet by the stretch of 16 they or their successors lie in.

@@ -225,3 +225,21 @@ def test_two_hop_counts_without_meeting_pairs(spark):
     for k, p, s, t, c in q:
         met = [u for a, b, u in co if b == c and u < t and any(r == s and d == a and e < t for r, d, e in rows)]
         assert got[k, p][0] == len(met) and abs(got[k, p][1] - sum(math.exp((u - t) / tau) for u in met)) < 2e-5
+
+
+def test_two_steps_are_walked(spark):
+    """Paths of two steps by plain loops; no query is joined with the nodes in between."""
+    rows = [(i * 7 % 3, (i * i + i // 4) % 5, 100 * (i // 2)) for i in range(60)]
+    q = [(k, p, s, t, c) for k, (s, t) in enumerate([(0, 900), (1, 3000), (2, 2900), (9, 3000), (0, 0)]) for p, c in enumerate([0, 1, 4, 77, None])]
+    got = registry.STATEMENTS["g13_hop2"].on(spark, ix=_log(spark, rows), q=spark.createDataFrame(q, "qid bigint, pos bigint, src bigint, t bigint, c bigint"))
+    assert "LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+    own = lambda s, t: [d for r, d, u in rows if r == s and u < t]
+    steps = [(a[1], b[1], b[2]) for s in range(3) for of in [[r for r in rows if r[0] == s]] for a, b in zip(of, of[1:], strict=False)]
+    width = math.ceil(rows[-1][2] * 0.2)
+    w = lambda a, b, t: sum(math.exp((u - t) / width) for x, y, u in steps if (x, y) == (a, b) and u < t)
+    got = {(r.qid, r.pos): r.hop2 for r in got.collect()}
+    assert len(got) == len(q)
+    for k, p, s, t, c in q:
+        z = own(s, t)[-1:]
+        v = sum(w(a, c, t) + sum(w(a, m, t) * w(m, c, t) for m in set(own(a, t)[-64:])) for a in z)
+        assert abs(got[k, p] - math.log(1 + v)) < 2e-5
