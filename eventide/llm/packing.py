@@ -28,7 +28,7 @@ CAPACITY = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 16
 #: Bytes of ids that a stretch of the curve has at most on average, whatever the number of shuffle partitions.
-STRETCH = 64 << 20
+STRETCH = 8 << 20
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 20
 
@@ -87,8 +87,9 @@ class Encoder:
             return self.plain(texts)
         out = [b"" if any(m in t for m in self.marks) else np.array(self.ranked.encode_ordinary(t), self.kind).tobytes() for t in texts]
         odd = [i for i, t in enumerate(texts) if any(m in t for m in self.marks)]
-        for i, ids in zip(odd, self.plain([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+        if odd:  # else the tokenizer is not loaded
+            for i, ids in zip(odd, self.plain([texts[i] for i in odd]), strict=True):
+                out[i] = ids
         return out
 
     def plain(self, texts: list[str]) -> list[bytes]:
@@ -162,6 +163,7 @@ def pack(
     ids, or a smaller power of two at the end of a task's stretch. Documents of
     equal key (copies) are sorted by id, then by their ids of tokens, and may be split between tasks; rows that
     repeat an id are packed each. Other columns are ignored; no rows give no rows.
+    The result is a staged table; the documents' ids go when it is written.
     """
     path = tokenizer or default_tokenizer()
     kind = documents.schema[id_col].dataType.simpleString()
@@ -200,7 +202,7 @@ def pack(
                     if filled == capacity:
                         done += held
                         held, filled, sequence = [], 0, sequence + 1
-                if len(done) >= 4_000:
+                if len(done) >= 1_000:
                     yield batch_of(done)
                     done = []
         left = filled
@@ -219,7 +221,7 @@ def pack(
             yield batch_of(done)
 
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
-    return curve.mapInArrow(frugal(lay), schema)
+    return stage(curve.mapInArrow(frugal(lay), schema), table)  # so that tasks get their rows in batches of moderate size
 
 
 def sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

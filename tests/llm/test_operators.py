@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.llm import html, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, toxicity, urls
+from eventide.llm import html, licenses, line_dedup, ngram_join, packing, quality, storage, suffix_dedup, toxicity, urls
 from eventide.llm.decontaminate import decontaminate, digest_items, item_digest, overlaps
 from eventide.llm.suffix_array import common_prefixes, suffix_array
 
@@ -262,6 +263,16 @@ def test_packing(spark):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+def test_packing_leaves_no_ids_and_no_tokenizer(spark):
+    e = packing.Encoder(packing.default_tokenizer())
+    assert len(e.encode(["plain words", ""])) == 2 and "tokenizer" not in vars(e)
+    folder = storage.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    pieces = packing.pack(_docs(spark, _texts(3)))
+    assert {f"{folder}/{x}" for x in set(os.listdir(folder)) - before} == {pieces._staged_at.removeprefix("file:")}
+    assert pieces.agg(F.sum("length")).first()[0] == pieces.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+
+
 def test_hilbert_is_a_curve():
     points = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = packing.hilbert(points, 3)
