@@ -189,6 +189,24 @@ def test_line_groups_of_many_kinds(spark):
     assert got == {i: first[roots[kinds.index(line)]] for i, line in enumerate(lines)}
 
 
+def test_texts_of_lines_alone_go_before_pairs_are_sought(spark, monkeypatch):
+    alone = [" ".join(f"{zlib.crc32(f'{i} {k}'.encode()):x}" for k in range(8)) for i in range(40)]
+    docs = _docs(spark, [*alone, alone[0] + " again", alone[0]])
+    folder, held = storage.shared_folder(spark).removeprefix("file:"), []
+    verified, others = line_dedup._verified, set(os.listdir(folder))
+
+    def seen(pairs, texts, *rest):
+        for name in set(os.listdir(folder)) - others:
+            if "line" in (table := spark.read.parquet(f"{folder}/{name}")).columns:
+                held.append(table.count())
+        return verified(pairs, texts, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verified", seen)
+    kept = {r.id: r.kept for r in line_dedup.line_classes(docs).collect()}
+    assert held and max(held) < 10
+    assert kept == {i: i < 40 for i in range(42)}
+
+
 def test_rare_shingles_meet_each_pair_once(spark):
     """Lines that share many rare shingles meet at the first of them, and none of the similar pairs is lost."""
     rng = random.Random(8)
