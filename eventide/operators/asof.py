@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Width of the buckets in which running totals over all events are summed up first.
 BUCKET = 3600
+#: Events of a destination that queries meet as one list.
+STRETCH = 4096
 
 
 def before(*keys: str) -> Window:
@@ -60,3 +62,24 @@ def stats_features(events: DataFrame, recent: int = 32, digits: int = 6) -> Data
         "src_recency": recency(F.col("last_src")),
     }
     return seen.select("seq", "src", "dst", "t", *(F.round(c, digits).alias(n) for n, c in r.items()))
+
+
+def destination_views(ix: DataFrame, q: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(qid, src, t, seq): for the true candidate of each query, its events strictly before the query.
+
+    Events of a destination are numbered in order of time and cut into lists of
+    ``stretch``. A query counts the events before it and meets only the lists that
+    have some, so that a row per query and list is shuffled, not one per query and
+    event, and the lists of one destination go to different tasks.
+    """
+    n = int(ix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None)
+    events = ix.select(F.col("dst").alias("c"), "t", "seq", "src", none.alias("qid"), F.lit(1).alias("is_event"))
+    probes = q.where("pos = 0").select("c", "t", none.alias("seq"), none.alias("src"), "qid", F.lit(0).alias("is_event"))
+    # Queries come before the events of their time, so the running count is of earlier ones.
+    order = Window.partitionBy("c").orderBy("t", "is_event", "seq", "src").rowsBetween(Window.unboundedPreceding, 0)
+    placed = events.union(probes).where("c IS NOT NULL AND t IS NOT NULL").withColumn("n", F.sum("is_event").over(order))
+    lists = placed.where("is_event = 1").groupBy("c", F.floor((F.col("n") - 1) / stretch).alias("h")).agg(F.collect_list(F.struct("src", "t", "seq")).alias("list")).repartition(n, "c", "h")
+    met = placed.where("is_event = 0 AND n > 0").select("c", "qid", F.col("t").alias("at"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / stretch))).alias("h"))
+    each = met.repartition(n, "c", "h").join(lists.hint("shuffle_hash"), ["c", "h"]).select("qid", "at", F.explode("list").alias("e"))
+    return each.where("e.t < at").select("qid", "e.src", "e.t", "e.seq")

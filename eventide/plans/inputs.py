@@ -1,6 +1,6 @@
 """The canonical inputs of the registered queries."""
 
-from eventide.operators import graph, hops
+from eventide.operators import asof, graph, hops
 
 from .dialect import define
 
@@ -50,6 +50,8 @@ define("near_clock", "SELECT max_t, CAST(greatest(span * 0.05, 1) AS DOUBLE) AS
 define("co_recent", lambda ix, q, near_clock: hops.cooccurrence_of_recent(ix, q, near_clock, LIMIT))
 define("wide_clock", "SELECT max_t, CAST(greatest(ceil(span * 0.2), 1) AS DOUBLE) AS width FROM {span}")
 define("step_paths", lambda ix, steps, q, wide_clock: hops.two_steps(ix, steps, q, wide_clock))
+#: Earlier events of the destination of a query's candidate 0. No oracle reads them.
+define("dst_views", lambda ix, q: asof.destination_views(ix, q))
 define("con", "SELECT a, b, count(*) AS n FROM {co} GROUP BY a, b")
 define("deg", "SELECT node, CAST(sum(n) AS BIGINT) AS deg FROM (SELECT src AS node, count(*) AS n FROM {ix} GROUP BY src UNION ALL SELECT dst, count(*) FROM {ix} GROUP BY dst) x GROUP BY node")
 #: Counts of different destinations at most 16 events of a source apart, both ways. Events meet by the stretch of 16 they or their successors lie in.

@@ -243,3 +243,16 @@ def test_two_steps_are_walked(spark):
         z = own(s, t)[-1:]
         v = sum(w(a, c, t) + sum(w(a, m, t) * w(m, c, t) for m in set(own(a, t)[-64:])) for a in z)
         assert abs(got[k, p] - math.log(1 + v)) < 2e-5
+
+
+def test_destination_views_meet_lists(spark):
+    """Every earlier event of a query's destination by plain loops; queries meet lists of events, not events."""
+    rows = [(i * 7 % 5, (i * i + i // 4) % 3, 100 * (i // 3)) for i in range(60)] + [(1, None, 5), (2, 0, None)]
+    q = [(k, p, 0, t, c) for k, (t, c) in enumerate([(700, 0), (700, 0), (5000, 1), (0, 2), (100, 2), (900, 9), (900, None), (None, 1)]) for p in (0, 1)]
+    frames = dict(ix=_log(spark, rows), q=spark.createDataFrame([*q, q[0]], "qid bigint, pos bigint, src bigint, t bigint, c bigint"))
+    want = sorted((k, s, t, i) for k, p, _, at, c in [*q, q[0]] for i, (s, d, t) in enumerate(rows) if p == 0 and None not in (c, at, t) and d == c and t < at)
+    for stretch in (1, 4, 4096):
+        assert sorted(map(tuple, asof.destination_views(stretch=stretch, **frames).collect())) == want, stretch
+    got = registry.STATEMENTS["f2_destination_view"].on(spark, **frames)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
