@@ -207,6 +207,22 @@ def test_texts_of_lines_alone_go_before_pairs_are_sought(spark, monkeypatch):
     assert kept == {i: i < 40 for i in range(42)}
 
 
+def test_line_signatures_hold_the_least_of_each_class(spark):
+    """Few of a long line's hashes are looked at, but the cells are those of all of them; no string is made for each shingle."""
+    rng = random.Random(7)
+    lines = ["", "a", "sixsix", "seven77", "漢字かな交じり文です", "\U0001f600é" * 9, "abcdefgh" * 400]
+    lines += ["".join(rng.choice("abcdefghij é漢\U0001f600") for _ in range(rng.choice([20, 85, 90, 300, 2000]))) for _ in range(150)]
+    table = spark.createDataFrame(list(enumerate(lines)), "node bigint, line string")
+    got = line_dedup.signed(table)
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    sets = {r.node: r.h for r in table.select("node", line_dedup.shingles(F.col("line")).alias("h")).collect()}
+    assert {k: len(h) for k, h in sets.items()} == {k: len(_shingles(x)) for k, x in enumerate(lines)}
+    for r in got.collect():
+        classes = [sorted(x for x in sets[r.node] if x & 7 == c)[:3] for c in (4, 5, 6, 7, 0, 1, 2, 3)]
+        moved = [[((x + (1 << 63)) >> 3) + ((c - 8 if c > 3 else c) << 61) for c in [xs[0] & 7] for x in xs] for xs in classes if xs]
+        assert sorted(r.signature) == sorted(x for xs in moved for x in xs) and len(r.bands) == len(moved), lines[r.node]
+
+
 def test_rare_shingles_meet_each_pair_once(spark):
     """Lines that share many rare shingles meet at the first of them, and none of the similar pairs is lost."""
     rng = random.Random(8)
