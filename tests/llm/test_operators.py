@@ -240,6 +240,43 @@ def test_rare_shingles_meet_each_pair_once(spark):
     assert similar and similar <= pairs and len(met) < 2 * len(pairs)
 
 
+def test_long_lists_are_compared_without_rows_per_shingle(spark, monkeypatch):
+    """Lists of some dozens of lines that are not all similar: no shingle of theirs is shuffled, and no class is lost; very long lists still go by rare shingles."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(700))
+    lines = []
+    for k in range(60):
+        at, n = rng.randrange(700 - 150), rng.choice([60, 90, 150])
+        lines.append(f"{k:02d}" + base[:at] + "".join(rng.choice("0123456789") for _ in range(n)) + base[at + n :])
+    sets = [_shingles(x) for x in lines]
+    roots = _components(60, [(i, j) for j in range(60) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    assert 1 < len(set(roots)) < 50
+    called, rare, direct = [], line_dedup._rare_first, line_dedup._sketch_pairs
+    monkeypatch.setattr(line_dedup, "_rare_first", lambda *a: called.append("rare") or rare(*a))
+    monkeypatch.setattr(line_dedup, "_sketch_pairs", lambda *a: called.append("direct") or direct(*a))
+    for long, way in ((4096, "direct"), (16, "rare")):
+        called.clear()
+        monkeypatch.setattr(line_dedup, "LONG_LIST", long, raising=False)
+        got = {r.id: r.class_id for r in line_dedup.line_classes(_docs(spark, lines)).collect()}
+        assert called and called[0] == way and (way == "rare" or "rare" not in called)
+        assert [got[i] for i in range(60)] == roots
+
+
+def test_distinct_lines_and_shared_bands_in_parts(spark):
+    """The parts together are every distinct line and every shared band; a cell takes four bytes on disk."""
+    lines = spark.createDataFrame([(f"line {i % 70} with some words {i % 70 * 7919}",) for i in range(100)], "line string")
+    texts = line_dedup._distinct(lines)
+    got = texts.collect()
+    assert len({r.node for r in got}) == len(got) == 70 == len({r.line for r in got})
+    assert dict(line_dedup._signs(texts, 7).dtypes)["signature"] == "array<int>"
+    entries = [(i * i % 40 - 20, i) for i in range(60)]
+    held = collections.defaultdict(list)
+    for token, node in entries:
+        held[token].append(node)
+    shared = line_dedup._shared(spark.createDataFrame(entries, "token bigint, node bigint")).collect()
+    assert sorted(map(tuple, shared)) == sorted((k, min(v)) for k, v in held.items() if len(set(v)) > 1)
+
+
 @pytest.mark.parametrize(("seed", "options"), [(0, {}), (4, {}), (0, {"piece": 64, "most_held": 50}), (4, {"piece": 100, "most_held": 9})])
 def test_remove_repeats(spark, seed, options):
     """The last two cut the longer texts into pieces and send records a few at a time."""
