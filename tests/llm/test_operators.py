@@ -262,6 +262,20 @@ def test_long_lists_are_compared_without_rows_per_shingle(spark, monkeypatch):
         assert [got[i] for i in range(60)] == roots
 
 
+def test_pairs_of_long_lists_come_once(spark):
+    """Lines that share several lists meet at one of them, and no similar pair that shares a list is lost."""
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500))
+    lines = [base[:at] + "".join(rng.choice("0123456789") for _ in range(n)) + base[at + n :] for at, n in [(rng.randrange(400), rng.choice([10, 40, 90])) for _ in range(40)]]
+    sets = [_shingles(x) for x in lines]
+    nodes = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    sketched = line_dedup._sketched(line_dedup._entries(nodes, nodes.select("node", F.col("node").alias("component")), 7))
+    lists = spark.createDataFrame([(t, k) for k in range(40) for t in (k % 2, 2 + k % 3, 9)], "token long, node long")
+    met = [tuple(r) for r in line_dedup._sketch_pairs(lists, sketched, 80).collect()]
+    similar = {(i, j) for j in range(40) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert similar and similar <= set(met) and len(met) == len(set(met)) < 40 * 39 / 2
+
+
 def test_distinct_lines_and_shared_bands_in_parts(spark):
     """The parts together are every distinct line and every shared band; a cell takes four bytes on disk."""
     lines = spark.createDataFrame([(f"line {i % 70} with some words {i % 70 * 7919}",) for i in range(100)], "line string")
