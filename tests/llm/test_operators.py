@@ -246,7 +246,7 @@ def test_long_lists_are_compared_without_rows_per_shingle(spark, monkeypatch):
     base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(700))
     lines = []
     for k in range(60):
-        at, n = rng.randrange(700 - 150), rng.choice([60, 90, 150])
+        at, n = rng.randrange(700 - 150), rng.choice([30, 60, 150])
         lines.append(f"{k:02d}" + base[:at] + "".join(rng.choice("0123456789") for _ in range(n)) + base[at + n :])
     sets = [_shingles(x) for x in lines]
     roots = _components(60, [(i, j) for j in range(60) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
@@ -258,7 +258,7 @@ def test_long_lists_are_compared_without_rows_per_shingle(spark, monkeypatch):
         called.clear()
         monkeypatch.setattr(line_dedup, "LONG_LIST", long, raising=False)
         got = {r.id: r.class_id for r in line_dedup.line_classes(_docs(spark, lines)).collect()}
-        assert called and called[0] == way and (way == "rare" or "rare" not in called)
+        assert way in called and (way == "rare" or "rare" not in called)  # short lists of the further bands go directly in any case
         assert [got[i] for i in range(60)] == roots
 
 
